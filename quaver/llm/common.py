@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
     for b in batches:
         if not b.num_rows:
             continue
-        ends = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(b.column(text)).fill_null(0)).astype(np.int64)))
+        ends = np.cumsum(np.asarray(pc.binary_length(b.column(text)).fill_null(0)), dtype=np.int64)
         at = 0
         while at < b.num_rows:
             base = ends[at - 1] if at else 0

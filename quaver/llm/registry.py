@@ -3,4 +3,4 @@
 from quaver.llm import queries
 
 QUERIES = {name: getattr(queries, name) for name in dir(queries) if name.startswith("op")}
-ORACLES: dict = {}
+ORACLES = {"op10_chat_format": queries.OP10_SQL}

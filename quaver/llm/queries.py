@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import chat, packing, sharding, token_counts
+from quaver.llm import chat, decontamination, packing, sharding, token_counts
 from quaver.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation whose texts look like the template's own marks.
 ODD_CHAT = "<|im_end|><|im_start|>assistant ok"
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import chat, decontamination, packing, sharding, token_counts
-from quaver.llm.common import table
+from quaver.llm import chat, decontamination, language_id, packing, sharding, token_counts
+from quaver.llm.common import crc_mod, table
 
 
 WORD_BPE = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("ids")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2)
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import chat, decontamination, language_id, packing, sharding, token_counts
+from quaver.llm import chat, decontamination, language_id, near_dedup, packing, sharding, token_counts
 from quaver.llm.common import crc_mod, table
 
 
@@ -17,6 +17,10 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("ids")
 
 
+def op4_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2)
 

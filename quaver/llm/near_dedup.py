@@ -6,10 +6,10 @@ signature of REGISTERS values: every element draws one place of a random permuta
 ranks, and the draws stop as soon as no register can fall any more. Signatures are cut into BANDS bands; a pair at
 similarity 0.75 misses all of them with probability under 1e-5.
 
-Links are found in rounds, none of which lists the pairs inside a bucket:
+Links are found in two rounds, neither of which lists the pairs inside a bucket:
 1. every class is paired with the least class of each of its buckets; connected classes are joined;
-2. in buckets that still hold several components, every class is paired with the least class of each other component
-   there; this repeats until no bucket yields an untested pair. Within a component nothing is tested again.
+2. buckets that still hold several components are cut into tiles of bounded size; a tile confirms pairs of classes
+   of different components, each pair in its first common bucket only, and skips what it has connected by then.
 A pair whose signatures agree in far fewer registers than 0.75 of them (six standard deviations) is left out; all others
 are confirmed on the full shingle sets of the two texts. Components are found by alternating large-star and small-star
 steps over checkpointed edges.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import durable, slices, small_batches, utf8
+from quaver.llm.common import durable, ragged, slices, small_batches, utf8
 from quaver.llm.words import mix, shingles, words
 
 REGISTERS, BANDS = 128, 32
@@ -41,6 +41,8 @@ LEAST_EQUAL = 66
 GROUP_ROWS = 256
 #: Rows of two longs up to which a request for texts is broadcast (about 5 MB), beyond it the join is shuffled.
 MAX_BROADCAST_ROWS = 200_000
+#: Classes in a block of a bucket; a task holds the sets of two blocks.
+TILE_ROWS = 256
 
 _U = np.uint64
 
@@ -88,6 +90,14 @@ def set_ids(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
         return size, mix(sums ^ mix(size.astype(np.uint64))).view(np.int64)
 
 
+def alike_sets(one: np.ndarray | None, two: np.ndarray | None) -> bool:
+    """Whether two sorted sets are linked."""
+    if one is None or two is None:
+        return False
+    both = int((one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).sum())
+    return 100 * both >= SIMILARITY * (len(one) + len(two) - both)
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), cls (name of the set) and signature of every document."""
 
@@ -149,8 +159,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 if not k:
                     lead, mine = (to[i], part[i]), own
                 elif lead == (to[i], part[i]):
-                    both = int(mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)].__eq__(own).sum())
-                    if 100 * both >= SIMILARITY * (len(mine) + len(own) - both):
+                    if alike_sets(mine, own):
                         found.append((want[i], to[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -184,32 +193,135 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, cls) of all bands."""
-    keys = [F.xxhash64(F.lit(i), F.substring("sig", i * BAND_BYTES + 1, BAND_BYTES)) for i in range(BANDS)]
-    return classes.select("cls", F.explode(F.array(*keys)).alias("key"))
+    """(key, band, cls) of all bands."""
+    keys = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sig", i * BAND_BYTES + 1, BAND_BYTES)).alias("key")) for i in range(BANDS)]
+    return classes.select("cls", F.explode(F.array(*keys)).alias("x")).select("x.key", "x.band", "cls")
+
+
+TILE = ["key", "one", "two"]
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile in batches that hold whole tiles."""
+
+    def joined(held: list) -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def name(b: pa.RecordBatch, i: int) -> tuple:
+        return tuple(b.column(c)[i].as_py() for c in TILE)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        same = np.logical_and.reduce([b.column(c).to_numpy() == b.column(c)[-1].as_py() for c in TILE])
+        start = int(same.argmax())
+        if start:
+            yield joined([*held, b.slice(0, start)])
+            held = [b.slice(start)]
+        elif held and name(held[-1], -1) != name(b, 0):
+            yield joined(held)
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield joined(held)
+
+
+def crossing(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, tile of each row): rows of a tile and of different components that are alike by signature, in their first equal band."""
+    tile = np.cumsum(np.append(0, np.logical_or.reduce([np.diff(b.column(c).to_numpy()) != 0 for c in TILE])))
+    comp, cls, home, band = (b.column(c).to_numpy() for c in ("comp", "cls", "home", "band"))
+    inner = (b.column("one").to_numpy() == b.column("two").to_numpy())
+    sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, -1)
+    row = np.arange(b.num_rows)
+    more = np.searchsorted(tile, tile, "right") - row - 1
+    out = []
+    at = 0
+    while at < b.num_rows:  # about a million pairs at once
+        to = max(at + 1, int(np.searchsorted(np.cumsum(more[at:]), 1 << 20, "right")) + at)
+        i, j = np.repeat(row[at:to], more[at:to]), ragged(row[at:to] + 1, more[at:to])
+        ok = (comp[i] != comp[j]) & (cls[i] != cls[j]) & (inner[i] | (home[i] != home[j]))
+        i, j = i[ok], j[ok]
+        for lo in range(0, len(i), 1 << 15):
+            x, y = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+            same = sig[x] == sig[y]
+            first = same.reshape(len(x), BANDS, -1).all(2).argmax(1)
+            ok = (same.sum(1) >= LEAST_EQUAL) & (first == band[x])
+            out.append((x[ok], y[ok]))
+        at = to
+    i, j = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+    return i, j, tile
+
+
+def rest(shared: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket; none between the same two components of a tile twice.
+
+    A bucket is cut into blocks of about TILE_ROWS classes, and every two blocks are a tile. Tiles first tell, by
+    signature, which of their classes have a possible partner outside their component; the texts of those are sent to
+    the tile, which confirms pairs and skips those that are connected by then.
+    """
+    here = shared.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = here.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    here = here.join(sizes.select("key", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks")), "key")
+    here = here.withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("home", x).alias("one"), F.greatest("home", x).alias("two")))
+    here = here.select("key", "band", "cls", "comp", "home", F.explode(spread).alias("t")).select("key", "t.one", "t.two", "band", "cls", "comp", "home")
+    here = here.join(classes.select("cls", "sig", "doc_id"), "cls")
+    schema = "key long, one int, two int, band int, cls long, comp long, home int, sig binary, doc_id long"
+
+    def by_tile(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*TILE).sortWithinPartitions(*TILE, "cls")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tiles(batches):
+            i, j, _ = crossing(b)
+            yield b.take(pa.array(np.union1d(i, j)))
+
+    asked = durable(by_tile(here.select(*[x.split()[0] for x in schema.split(", ")])).mapInArrow(wanted, schema))
+    if asked.count() <= MAX_BROADCAST_ROWS // 10:
+        asked = F.broadcast(asked)
+    sent = by_tile(docs.select("doc_id", "text").join(asked, "doc_id"))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tiles(batches):
+            sets = []
+            for part in slices(iter([b]), "text"):
+                doc, h = shingles(words(*utf8(part.column("text"))))
+                _, got = set_ids(doc, h, part.num_rows)
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                sets += [h[cut[k] : cut[k + 1]] if right else None for k, right in enumerate(got == part.column("cls").to_numpy())]
+            i, j, tile = crossing(b)
+            _, top = np.unique(np.stack([tile, b.column("comp").to_numpy()]), axis=1, return_inverse=True)
+            up, top = list(range(b.num_rows)), top.reshape(-1).tolist()
+
+            def find(x: int) -> int:
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            found = []
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                a, c = find(top[x]), find(top[y])
+                if a != c and alike_sets(sets[x], sets[y]):
+                    up[a] = c
+                    found.append((x, y))
+            cls = b.column("cls")
+            yield pa.RecordBatch.from_arrays([cls.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)], ["a", "b"])
+
+    return sent.mapInArrow(confirm, "a long, b long")
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, comp) of the classes that are linked with another class."""
     rows = buckets(classes)
     shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("b")).where("c > 1").select("key", "b")
-    shared = durable(rows.join(shared, "key").select("key", "cls", "b"))
+    shared = durable(rows.join(shared, "key").select("key", "band", "cls", "b"))
     pairs = durable(alike(shared.where("cls <> b").select(F.col("cls").alias("a"), "b").distinct(), classes))
-    tested, edges = pairs, durable(confirmed(pairs, classes, docs))
-    while True:
-        comp = components(edges)
-        here = shared.select("key", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        some = here.groupBy("key", "comp").agg(F.min("cls").alias("b"))
-        mixed = some.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        some = some.join(mixed.select("key"), "key")
-        new = here.join(some.withColumnRenamed("comp", "other"), "key").where("comp <> other")
-        new = new.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
-        done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = durable(alike(new.join(done, ["a", "b"], "left_anti"), classes))
-        more = durable(confirmed(new, classes, docs))
-        if more.isEmpty():
-            return comp
-        tested, edges = tested.unionByName(new), edges.unionByName(more)
+    edges = durable(confirmed(pairs, classes, docs))
+    more = durable(rest(shared.select("key", "band", "cls"), components(edges), classes, docs))
+    return components(edges.unionByName(more))
 
 
 def group(docs: DataFrame) -> DataFrame:

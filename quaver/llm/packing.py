@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quaver.llm.common import durable, slices, small_batches, utf8
+from quaver.llm.common import durable, ragged, slices, small_batches, utf8
 from quaver.llm.words import Memo, word_bytes, words
 
 #: Mixture components; more sources than that share components by hash, so that the schedule stays small.
@@ -72,12 +72,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions starts[i], ..., starts[i]+sizes[i]-1 for each i, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, mix, part, before, n, ids (little-endian unsigned 16-bit) of every document.
 

@@ -38,6 +38,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits of the filter of marked(), in words of 32: at most 2 ** 18 rows are broadcast, whatever the number of keys.
+FILTER_BITS = 23
+
+
+def marked(rows: DataFrame, key: Column, few: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column `name` that is true for all keys in the one column of `few`, and rarely for others.
+
+    The keys go into a filter of fixed size, which is broadcast. It spares a shuffle of the rows it leaves out; if there
+    are so many keys that it fills up, more rows are marked, and the exact join that follows does more of the work.
+    """
+
+    def bit(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k.cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
+
+    at, word, mask = f"{name}_at", f"{name}_word", f"{name}_mask"
+    bits = few.select(bit(few[few.columns[0]]).alias(at))
+    words = bits.groupBy(F.shiftright(at, 5).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1, {at} & 31)")).alias(mask))
+    out = rows.withColumn(at, bit(key)).withColumn(word, F.shiftright(at, 5)).join(F.broadcast(words), word, "left")
+    return out.withColumn(name, F.coalesce(F.expr(f"({mask} & shiftleft(1, {at} & 31)) <> 0"), F.lit(False))).drop(at, word, mask)
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key written as text, modulo n."""
     return (F.crc32(key.cast("string").cast("binary")) % n).cast("int")

@@ -15,7 +15,8 @@ are confirmed on the full shingle sets of the two texts. Components are found by
 steps over checkpointed edges.
 
 Null texts and texts without words have the empty set, n_shingles 0 and are linked with nothing. Repeated rows are
-linked with each other and each returned. A null doc_id is never a component_id unless its whole component has none.
+linked with each other and each returned. Documents without a doc_id are linked where their sets are equal, not by near
+links, as nothing names their texts; their component_id is null where no other of the class has one.
 Only doc_id and text are read; other columns can't clash. An empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import durable, ragged, slices, small_batches, utf8
+from quaver.llm.common import durable, marked, ragged, slices, small_batches, utf8
 from quaver.llm.words import mix, shingles, words
 
 REGISTERS, BANDS = 128, 32
@@ -39,8 +40,6 @@ SIMILARITY = 75
 LEAST_EQUAL = 66
 #: Members tested in one group against one leader; a larger group is split.
 GROUP_ROWS = 256
-#: Rows of two longs up to which a request for texts is broadcast (about 5 MB), beyond it the join is shuffled.
-MAX_BROADCAST_ROWS = 200_000
 #: Classes in a block of a bucket; a task holds the sets of two blocks.
 TILE_ROWS = 256
 
@@ -128,21 +127,21 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """asked with the text of each doc_id; only texts that may be asked for are shuffled."""
+    some = marked(docs.select("doc_id", "text"), F.col("doc_id"), asked.select("doc_id"), "_asked").where("_asked").drop("_asked")
+    return some.join(asked, "doc_id")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets. Texts are sent once to each group of pairs with the same b."""
-    n = pairs.count()
-    if not n:
-        return pairs
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
     rows = pairs.join(groups, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     asked = rows.select("b", "part", F.col("a").alias("cls"), F.lit(1).alias("kind"))
     leaders = rows.select("b", "part").distinct().select("b", "part", F.col("b").alias("cls"), F.lit(0).alias("kind"))
     asked = asked.unionByName(leaders).join(classes.select("cls", "doc_id"), "cls")
-    texts = docs.select("doc_id", "text")
     asked = durable(asked)
-    if 2 * n <= MAX_BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    sent = texts.join(asked, "doc_id").select("b", "part", "kind", "cls", "text").repartition("b", "part").sortWithinPartitions("b", "part", "kind", "cls")
+    sent = texts_of(asked, docs).select("b", "part", "kind", "cls", "text").repartition("b", "part").sortWithinPartitions("b", "part", "kind", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, mine = None, np.zeros(0, np.uint64)
@@ -279,9 +278,7 @@ def rest(shared: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame
             yield b.take(pa.array(np.union1d(i, j)))
 
     asked = durable(by_tile(here.select(*[x.split()[0] for x in schema.split(", ")])).mapInArrow(wanted, schema))
-    if asked.count() <= MAX_BROADCAST_ROWS // 10:
-        asked = F.broadcast(asked)
-    sent = by_tile(docs.select("doc_id", "text").join(asked, "doc_id"))
+    sent = by_tile(texts_of(asked, docs))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tiles(batches):
@@ -344,8 +341,16 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the least doc_id, all columns kept; repeated rows of it count as one."""
-    ids = group(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    """One document of each group, that with the least doc_id, all columns kept; repeated rows of it count as one.
+
+    Only documents that may go, or whose doc_id repeats, are shuffled; all others pass through.
+    """
+    found = durable(group(docs))
+    several = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.max("kept").alias("_kept")).where("n > 1 or not _kept")
+    several = durable(several.select("_id", "_kept"))
+    rows = marked(docs, F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), several.select(F.coalesce("_id", F.lit(0))), "_doubt")
+    doubtful = rows.where("_doubt").drop("_doubt")
+    doubtful = doubtful.join(several, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").where("coalesce(_kept, true)")
     first = Window.partitionBy("doc_id").orderBy(F.lit(0))
-    kept = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
+    doubtful = doubtful.withColumn("_copy", F.when(F.col("_kept").isNull(), 1).otherwise(F.row_number().over(first))).where("_copy = 1")
+    return rows.where("not _doubt").drop("_doubt").unionByName(doubtful.select(docs.columns))

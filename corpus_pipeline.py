@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from quaver.llm import decontamination, language_id, near_dedup, packing
 from quaver.llm.common import durable, table
 
-#: Under the probability that an even guess among three languages gives a text has no known language.
-LEAST_LANGUAGE = 0.34
+#: A text whose best language has a lower mean probability than this has no known language.
+LEAST_LANGUAGE = 0.3
 WORD_BPE = "word_bpe_49k.json"
 
 

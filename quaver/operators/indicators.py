@@ -84,14 +84,20 @@ def hurst_rs(candles: DataFrame, step: int, n: int = 64) -> DataFrame:
     sizes = [s for s in (8, 16, 32, 64, 128, 256) if s <= n // 2]
     rows = rolled(candles, step, n).withColumn("xs", when_full(F.collect_list("r").over(last(n)), last(n), n, "r"))
 
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(float("-inf")).alias("hi"), F.lit(float("inf")).alias("lo"), F.lit(0.0).alias("q"))
+
     def range_over_deviation(x: Column, size: int) -> Column:
-        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / size
-        sums = F.aggregate(x, F.struct(F.lit(0.0).alias("c"), F.lit(float("-inf")).alias("hi"), F.lit(float("inf")).alias("lo"), F.lit(0.0).alias("q")), lambda s, v: F.struct((s["c"] + v - mean).alias("c"), F.greatest(s["hi"], s["c"] + v - mean).alias("hi"), F.least(s["lo"], s["c"] + v - mean).alias("lo"), (s["q"] + (v - mean) * (v - mean)).alias("q")))
-        return F.when(sums["q"] > 0, (sums["hi"] - sums["lo"]) / F.sqrt(sums["q"] / (size - 1)))
+        def step_on(mean: Column):
+            return lambda s, v: F.struct((s["c"] + v - mean).alias("c"), F.greatest(s["hi"], s["c"] + v - mean).alias("hi"), F.least(s["lo"], s["c"] + v - mean).alias("lo"), (s["q"] + (v - mean) * (v - mean)).alias("q"))
+
+        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v, lambda s: s / size)
+        once = F.array(F.struct(x.alias("x"), mean.alias("m")))  # so that neither is worked out again for each element
+        return F.transform(once, lambda t: F.aggregate(t["x"], zero, step_on(t["m"]), lambda s: F.when(s["q"] > 0, (s["hi"] - s["lo"]) / F.sqrt(s["q"] / (size - 1)))))[0]
 
     def level(size: int) -> Column:
-        parts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n // size)), lambda i: range_over_deviation(F.slice("xs", (i - 1) * size + 1, size), size)), lambda v: v.isNotNull())
-        return F.when(F.size(parts) > 0, F.log(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / F.size(parts)))
+        parts = F.transform(F.sequence(F.lit(1), F.lit(n // size)), lambda i: range_over_deviation(F.slice("xs", (i - 1) * size + 1, size), size))
+        total = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        return F.aggregate(parts, total, lambda t, v: F.when(v.isNull(), t).otherwise(F.struct((t["s"] + v).alias("s"), (t["n"] + 1).alias("n"))), lambda t: F.when(t["n"] > 0, F.log(t["s"] / t["n"])))
 
     for s in sizes:
         rows = rows.withColumn(f"l{s}", level(s))

@@ -105,7 +105,7 @@ FEATURE_COLUMNS = "symbol, epoch, " + ", ".join(f"{unsigned(c)} AS {c}" for c in
 
 def trades(h: int, fixed: bool = False, signal: str = "CAST(sign(close - open) AS DOUBLE)", stop: float = 0.5, commission: float = 0.1, spread: float = 0.002) -> str:
     if fixed:
-        gross, why, costs = "CASE WHEN move > 0 THEN 16.0 ELSE -20.0 END", "'expiry'", "0.2 - 20.0 * 0.01"
+        gross, why, costs = "CAST(CASE WHEN move > 0 THEN 16 ELSE -20 END AS DOUBLE)", "'expiry'", "0.2 - 20.0 * 0.01"
     else:
         out = f"50.0 * worst <= -10.0 * {stop}"
         gross, why, costs = f"CASE WHEN {out} THEN -10.0 * {stop} ELSE 50.0 * move END", f"CASE WHEN {out} THEN 'stop_out' ELSE 'horizon' END", f"{commission} - 50.0 * {spread}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,3 +88,53 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
     up = Window.orderBy(p)
     rows = tests.where(F.col(p).isNotNull()).withColumn("_k", F.row_number().over(up)).withColumn("_m", F.count("*").over(Window.partitionBy()))
     return rows.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(Window.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)))).drop("_k", "_m")
+
+
+def variance_ratio_test(candles: DataFrame, step: int, h: int = 2) -> DataFrame:
+    """z of the variance of sums of h returns, inside contiguous candles, against that of one; 0 without variance."""
+    rows = rolled(candles, step, h).withColumn("s", when_full(F.sum("r").over(last(h)), last(h), h, "r")).where("not halo and r is not null")
+    ends = rows.groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.var_samp("r").alias("v"))
+    many = F.sum(F.pow(F.col("s") - h * F.col("m"), 2)) / (h * (F.first("n") - h + 1) * (1 - h / F.first("n")))
+    scale = F.sqrt(2.0 * (2 * h - 1) * (h - 1) / (3.0 * h * F.first("n")))
+    out = rows.join(F.broadcast(ends), "symbol").groupBy("symbol").agg(F.first("n").alias("n"), F.coalesce((F.try_divide(many, F.first("v")) - 1) / scale, F.lit(0.0)).alias("z"))
+    return out.where(F.col("n") > h)
+
+
+def arch_lm(candles: DataFrame, step: int, lags: int = 1) -> DataFrame:
+    """n times R squared of squared returns on their lags; the sums of products are Spark's, a task solves one small system."""
+    rows = rolled(candles, step, lags).withColumn("y0", F.col("r") * F.col("r"))
+    rows = rows.withColumns({f"y{k}": F.lag("y0", k).over(order()) for k in range(1, lags + 1)}).where("not halo").dropna(subset=[f"y{k}" for k in range(lags + 1)])
+    # Squared returns are small: they are taken in units of their mean, which leaves R squared as it is.
+    unit = F.broadcast(rows.groupBy("symbol").agg(F.avg("y0").alias("unit")))
+    rows = rows.join(unit, "symbol")
+    x = [F.lit(1.0), *[F.coalesce(F.try_divide(F.col(f"y{k}"), F.col("unit")), F.lit(0.0)) for k in range(1, lags + 1)], F.coalesce(F.try_divide(F.col("y0"), F.col("unit")), F.lit(0.0))]
+    sums = rows.groupBy("symbol").agg(F.array(*[F.sum(a * b) for a in x for b in x]).alias("xx"))
+
+    def solve(parts):
+        for pdf in parts:
+            out = []
+            for symbol, xx in zip(pdf["symbol"], pdf["xx"], strict=True):
+                m = np.array(xx).reshape(lags + 2, lags + 2)
+                n, sst = m[0, 0], m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+                beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+                lm = max(0.0, n * (1 - (m[-1, -1] - beta @ m[:-1, -1]) / sst)) if sst > 1e-12 * m[-1, -1] else 0.0
+                out.append((symbol, int(n), lm))
+            yield pd.DataFrame(out, columns=["symbol", "n", "lm"])
+
+    return sums.mapInPandas(solve, "symbol string, n long, lm double")
+
+
+def breach_rate(monitor: DataFrame, step: int, n: int, rate: float = 0.01) -> DataFrame:
+    """Alerts among windows that don't overlap, every n-th, and a one-sided exact test of their rate."""
+    from quaver.operators.edge import numbered
+
+    rows = numbered(monitor, step, ["symbol"]).where(F.col("at") % n == 0)
+    rows = rows.groupBy("symbol").agg(F.count("*").alias("windows"), F.count(F.when(F.col("alert"), 1)).alias("breaches"))
+    return benjamini_hochberg(rows.withColumn("p", binomial_sf("breaches", "windows", F.lit(rate))))
+
+
+def identical_ratios(monitor: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Pairs of symbols whose last realised volatility over the stated one is equal to three places."""
+    rows = monitor.groupBy("symbol").agg(F.max_by("realized", "epoch").alias("realized")).join(F.broadcast(symbols), "symbol")
+    same = rows.groupBy(F.round(F.col("realized") / F.col("stated_vol"), 3)).agg(F.count("*").alias("k"))
+    return same.agg(F.coalesce(F.sum(F.floor(F.col("k") * (F.col("k") - 1) / 2)), F.lit(0)).cast("long").alias("pairs"))

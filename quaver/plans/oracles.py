@@ -212,3 +212,57 @@ l AS (SELECT *, sum((net < 0)::INT) OVER (PARTITION BY symbol, day, wins ORDER B
 y AS (SELECT symbol, day, exit_epoch, CASE WHEN running <= -60 THEN 'daily_loss' WHEN losses >= 4 THEN 'streak' END AS why FROM l)
 SELECT symbol, day, min(exit_epoch) AS halted, arg_min(why, exit_epoch) AS why FROM y WHERE why IS NOT NULL GROUP BY ALL""",
 }
+
+
+def tail(k: str, n: str, p: str) -> str:
+    """P(X >= k) of a binomial."""
+    return f"least(1.0, list_sum(list_transform(range({k}, {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p})))))"
+
+
+def outcomes(h: int, name: str, value: float) -> str:
+    """Trades of every candle, and the row numbers that tell splits and the distance from a run's first candle in its split."""
+    ahead = f"OVER (PARTITION BY symbol, run, split ORDER BY place ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    return f"""SELECT symbol, epoch AS decision, {h} AS horizon, '{name}' AS direction, split, {value} * 5.0 * 10000 AS k, leave, entry, lo, hi FROM (
+SELECT *, lead(open) OVER (PARTITION BY symbol, run, split ORDER BY place) AS entry, lead(close, {h}) OVER (PARTITION BY symbol, run, split ORDER BY place) AS leave, min(low) {ahead} AS lo, max(high) {ahead} AS hi FROM runs)
+WHERE inside % {h} = 0 AND leave IS NOT NULL AND entry > 0"""
+
+
+EDGE = f"""places AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY epoch) - 1 AS place, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY epoch) - 1 < floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE) THEN 'discovery' ELSE 'confirmation' END AS split FROM seg),
+runs AS (SELECT symbol, epoch, open, high, low, close, place, split, segment AS run, row_number() OVER (PARTITION BY symbol, segment, split ORDER BY epoch) - 1 AS inside FROM places),
+paths AS ({' UNION ALL '.join(outcomes(h, d, v) for h in (1, 5, 15) for d, v in (('long', 1.0), ('short', -1.0)))}),
+settled AS (SELECT *, CASE WHEN k / 10000 * ((CASE WHEN k > 0 THEN lo ELSE hi END) - entry) / entry <= -0.5 THEN -5000.0 ELSE k * (leave - entry) / entry END AS gross FROM paths),
+edges AS (SELECT symbol, decision, horizon, direction, split, gross, gross - 200.0 AS net FROM settled)"""
+LONG = "long AS (SELECT symbol, epoch AS decision, flag FROM (UNPIVOT flags ON overbought, stretched, vol_mismatch, trending_regime, mean_reverting_regime INTO NAME flag VALUE yes) WHERE yes)"
+
+
+def hypothesis_rows(key: str) -> str:
+    return f"""SELECT {key}flag, horizon, direction, split, count(*) AS n_effective, count(CASE WHEN net <> 0 THEN 1 END) AS n_non_tied, count(CASE WHEN net > 0 THEN 1 END) AS wins,
+{unsigned('avg(gross)')} AS gross_mean_bps, {unsigned('avg(net)')} AS net_mean_bps, {unsigned('count(CASE WHEN net > 0 THEN 1 END) / nullif(count(CASE WHEN net <> 0 THEN 1 END), 0)')} AS hit_rate FROM edges JOIN long USING (symbol, decision) GROUP BY ALL"""
+
+
+MONITOR = f"""{NAMED}, k AS (SELECT symbol, epoch, {full(f'var_samp(r) {w(100)}', 100)} * {YEAR} AS v FROM ret),
+monitor AS (SELECT symbol, epoch, stated_vol, sqrt(v) AS realized, stated_vol < sqrt(v * 99 / {chi2_ppf(0.995, 99)!r}) OR stated_vol > sqrt(v * 99 / {chi2_ppf(0.005, 99)!r}) AS alert FROM k JOIN symbols USING (symbol) WHERE v IS NOT NULL)"""
+ADJUSTED = "round(least(1.0, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS q"
+PAYOUTS = f"""{FEATURES}, {EDGE}, {LONG}, h AS ({hypothesis_rows('')}), b AS (SELECT *, 1 / 1.95 AS break_even, wins / n_non_tied * 1.95 - 1 AS expected_value, {tail('wins', 'n_non_tied', '(1 / 1.95::DOUBLE)')} AS p FROM h WHERE n_non_tied > 0),
+r AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM b),
+be AS (SELECT flag, horizon, direction, split, n_effective, n_non_tied, wins, gross_mean_bps, net_mean_bps, hit_rate, round(break_even, 6) + 0.0 AS break_even, round(expected_value, 6) + 0.0 AS expected_value, round(p, 6) + 0.0 AS p, {ADJUSTED} FROM r)"""
+ORACLES |= {
+    "variance_ratio_test": f"""{BASE}, e AS (SELECT symbol, count(r) AS n, avg(r) AS m, var_samp(r) AS v FROM ret GROUP BY symbol)
+SELECT symbol, n, round(coalesce((sum(pow(s - 2 * m, 2)) / (2 * (n - 1) * (1 - 2.0::DOUBLE / n)) / nullif(v, 0) - 1) / sqrt(6.0::DOUBLE / (6 * n)), 0), 6) + 0.0 AS z FROM {sums(2)} JOIN e USING (symbol) WHERE r IS NOT NULL GROUP BY symbol, n, v HAVING n > 2""",
+    "arch_lm": f"""{BASE}, l AS (SELECT symbol, r * r AS y, lag(r * r) {O} AS x FROM ret) SELECT symbol, count(*) AS n, round(greatest(0, count(*) * regr_r2(y, x)), 6) + 0.0 AS lm FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY symbol""",
+    "vol_breach_rate": f"""{BASE}, {MONITOR}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY epoch) - 1 AS place FROM monitor), c AS (SELECT symbol, count(*) AS windows, count(CASE WHEN alert THEN 1 END) AS breaches FROM a WHERE place % 100 = 0 GROUP BY symbol),
+p AS (SELECT *, {tail('breaches', 'windows', '0.01::DOUBLE')} AS p FROM c), r AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM p) SELECT symbol, windows, breaches, round(p, 6) + 0.0 AS p, {ADJUSTED} FROM r""",
+    "identical_ratio_pairs": f"""{BASE}, {MONITOR}, t AS (SELECT symbol, arg_max(realized / stated_vol, epoch) AS x FROM monitor GROUP BY symbol) SELECT count(*) AS pairs FROM t a JOIN t b ON a.symbol < b.symbol AND round(a.x, 3) = round(b.x, 3)""",
+    "edge_candidates": f"{BASE}, {EDGE} SELECT symbol, decision, horizon, direction, split, {unsigned('gross')} AS gross, {unsigned('net')} AS net FROM edges",
+    "edge_symbol_rows": f"{FEATURES}, {EDGE}, {LONG} {hypothesis_rows('symbol, ')}",
+    "edge_pooled_rows": f"{FEATURES}, {EDGE}, {LONG} {hypothesis_rows('')}",
+    "payout_breakeven": f"{PAYOUTS} SELECT * FROM be",
+    "payout_top8": f"{PAYOUTS} SELECT * FROM be WHERE n_non_tied >= 30 ORDER BY p, expected_value DESC, flag, horizon, direction, split LIMIT 8",
+    "data_window": f"WITH {DAILY}, e AS (SELECT symbol, count(*) AS n, min(epoch) AS a, max(epoch) AS b FROM daily GROUP BY symbol) SELECT min(n) AS candles, max(a) AS first_epoch, min(b) AS last_epoch FROM e",
+    "technical_read": f"""{FEATURES}, t AS (SELECT * FROM features QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY epoch DESC) = 1)
+SELECT symbol, CASE WHEN close > ema THEN 'up' WHEN close < ema THEN 'down' ELSE 'unclear' END AS trend,
+coalesce(CASE WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' ELSE 'neutral' END || printf(' (RSI %.0f)', rsi), 'n/a') AS momentum,
+coalesce(CASE WHEN z >= 2 THEN 'far above average' WHEN z >= 1 THEN 'above average' WHEN z <= -2 THEN 'far below average' WHEN z <= -1 THEN 'below average' ELSE 'near average' END || printf(' (z %+.1f)', z), 'n/a') AS stretch,
+coalesce(CASE WHEN vol_ratio > 1.15 THEN 'running hotter than stated' WHEN vol_ratio < 0.85 THEN 'running cooler than stated' ELSE 'as stated' END || printf(' (%.2fx)', vol_ratio), 'n/a') AS volatility,
+CASE WHEN hurst IS NULL OR vr IS NULL THEN 'n/a' WHEN hurst BETWEEN 0.45 AND 0.55 AND vr BETWEEN 0.85 AND 1.15 THEN 'consistent with a random walk' ELSE 'small deviation from a random walk' END AS behaviour FROM t""",
+}

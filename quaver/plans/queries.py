@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaver.operators import indicators as ind
-from quaver.operators import ledger, quality, screen, stats, trades
+from quaver.operators import edge, ledger, quality, risk, screen, stats, trades
 from quaver.operators.trades import Product, body_signal
 from quaver.sources import market
 from quaver.sources.market import DAY, HOUR
@@ -125,6 +125,23 @@ def randomness_battery(spark: SparkSession, d: str) -> DataFrame:
     return stats.benjamini_hochberg(one.unionByName(two))
 
 
+def edge_rows(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    return edge.hypotheses(edge.flagged_candidates(market.daily(spark, d), market.symbols(spark), DAY, PRODUCT), keys)
+
+
+def edge_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    net = trades.forward_trades(market.daily(spark, d), DAY, body_signal(), 1, PRODUCT).select("symbol", F.col("decision").alias("epoch"), "net")
+    return rounded(edge.bootstrap_interval(edge.bootstrap_means(net, DAY, ["symbol"], "net", 200, 7), ["symbol"]))
+
+
+def vol_breach_rate(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.breach_rate(stats.volatility_monitor(market.daily(spark, d), market.symbols(spark), DAY, 100), DAY, 100))
+
+
+def pooled_tests(spark: SparkSession, d: str) -> DataFrame:
+    return edge.tested(edge_rows(spark, d, []))
+
+
 QUERIES: dict[str, Query] = {
     "scan_ticks_range": scan_ticks_range,
     "scan_candles_range": scan_candles_range,
@@ -177,4 +194,20 @@ QUERIES: dict[str, Query] = {
     "size_positions": sizes,
     "size_kelly": kelly,
     "circuit_breaker_running": circuit_breaker,
+    "variance_ratio_test": on_daily(stats.variance_ratio_test),
+    "arch_lm": on_daily(stats.arch_lm, 1),
+    "arch_lm_lags": on_daily(stats.arch_lm, 5),
+    "vol_breach_rate": vol_breach_rate,
+    "identical_ratio_pairs": with_symbols(lambda c, s, step: stats.identical_ratios(stats.volatility_monitor(c, s, step, 100), s)),
+    "edge_candidates": on_daily(edge.candidates, PRODUCT),
+    "edge_symbol_rows": lambda spark, d: rounded(edge_rows(spark, d, ["symbol"])),
+    "edge_pooled_rows": lambda spark, d: rounded(edge_rows(spark, d, [])),
+    "edge_analysis": lambda spark, d: rounded(edge.tested(edge_rows(spark, d, ["symbol"]).unionByName(edge_rows(spark, d, []).withColumn("symbol", F.lit("ALL"))))),
+    "edge_confirmed": lambda spark, d: edge.confirmed(pooled_tests(spark, d), []),
+    "payout_breakeven": lambda spark, d: rounded(edge.break_even(edge_rows(spark, d, []), 0.95)),
+    "payout_top8": lambda spark, d: rounded(edge.ranked(edge.break_even(edge_rows(spark, d, []), 0.95))),
+    "edge_bootstrap": edge_bootstrap,
+    "data_window": lambda spark, d: edge.data_window(market.daily(spark, d)),
+    "technical_read": with_symbols(lambda c, s, step: edge.technical_read(screen.latest(c, s, step))),
+    "mc_risk": lambda spark, d: rounded(risk.risk_report(risk.simulations(spark, 0.5, 2, PRODUCT, 80, 200, 707))),
 }

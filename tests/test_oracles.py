@@ -1,4 +1,4 @@
-"""Every registered query of the library against its SQL, on the smallest tables."""
+"""Every registered query of the library against its SQL, on the smallest tables that give it rows."""
 
 import duckdb
 import pytest
@@ -6,6 +6,8 @@ import pytest
 from quaver.registry import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
+#: The smallest tables have too many gaps for a full window of any flag.
+FLAGGED = "/root/testdata/sf0.01"
 
 
 def keyed(columns, rows):
@@ -15,8 +17,9 @@ def keyed(columns, rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
+    d = FLAGGED if name.startswith(("edge_", "payout_", "technical_")) else D
     for t in ("lineitem", "events", "orders"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     sql = con.sql(ORACLES[name])
-    got = QUERIES[name](spark, D)
+    got = QUERIES[name](spark, d)
     assert keyed(got.columns, map(tuple, got.collect())) == keyed(sql.columns, sql.fetchall())

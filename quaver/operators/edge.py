@@ -91,8 +91,9 @@ def break_even(rows: DataFrame, payout: float) -> DataFrame:
 
 
 def ranked(rows: DataFrame, least: int = 30, top: int = 8) -> DataFrame:
+    """The best hypotheses by p, to six places as sums of tails near 1 differ by rounding, then by expected value."""
     names = [c for c in ("flag", "horizon", "direction", "split") if c in rows.columns]
-    return rows.where(F.col("n_non_tied") >= least).orderBy("p", F.desc("expected_value"), *names).limit(top)
+    return rows.where(F.col("n_non_tied") >= least).orderBy(F.round("p", 6), F.desc("expected_value"), *names).limit(top)
 
 
 def bootstrap_means(rows: DataFrame, step: int, keys: list[str], value: str, replications: int, seed: int) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.common import durable, marked, ragged, slices, small_batches, utf8
@@ -321,14 +321,19 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return components(edges.unionByName(more))
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls and sig of every document; cls, doc_id and comp of the classes whose texts a doc_id names)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = durable(signed(docs))
     classes = durable(rows.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("doc_id")).where("sig is not null"))
     comp = links(classes, docs)
-    named = classes.select("cls", "doc_id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return rows, classes.select("cls", "doc_id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    rows, named = classified(docs)
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = durable(named.join(least, "comp").select("cls", "component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -341,16 +346,22 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the least doc_id, all columns kept; repeated rows of it count as one.
+    """One row of each group of near copies, that with the least doc_id (null is last), all columns kept.
 
-    Only documents that may go, or whose doc_id repeats, are shuffled; all others pass through.
+    Rows are named by numbers of their own, so null and repeated ids neither hide links nor make any; of one doc_id in
+    one group, the row whose set and text have the least hashes stays. Texts without words are copies only of those with
+    the same doc_id. Only rows that may go are looked up; all others pass through.
     """
-    found = durable(group(docs))
-    several = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.max("kept").alias("_kept")).where("n > 1 or not _kept")
-    several = durable(several.select("_id", "_kept"))
-    rows = marked(docs, F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), several.select(F.coalesce("_id", F.lit(0))), "_doubt")
-    doubtful = rows.where("_doubt").drop("_doubt")
-    doubtful = doubtful.join(several, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").where("coalesce(_kept, true)")
-    first = Window.partitionBy("doc_id").orderBy(F.lit(0))
-    doubtful = doubtful.withColumn("_copy", F.when(F.col("_kept").isNull(), 1).otherwise(F.row_number().over(first))).where("_copy = 1")
-    return rows.where("not _doubt").drop("_doubt").unionByName(doubtful.select(docs.columns))
+    docs_columns = docs.columns
+    docs = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows, named = classified(docs.select(F.col("_row").alias("doc_id"), "text"))
+    ids = docs.select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    found = rows.select(F.col("doc_id").alias("_row"), "n", "cls").join(named.select("cls", "comp"), "cls", "left").join(ids, "_row")
+    found = durable(found.where("n > 0 or _id is not null"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "cls", "_text", "_row")
+    first = found.where("n > 0").groupBy("comp").agg(F.min(order).alias("f")).select("f._row")
+    first = first.unionByName(found.where("n = 0").groupBy("_id").agg(F.min("_row").alias("_row")).select("_row"))
+    gone = durable(found.select("_row").join(first, "_row", "left_anti"))
+    rows = marked(docs, F.col("_row"), gone, "_doubt")
+    doubtful = rows.where("_doubt").join(gone, "_row", "left_anti")
+    return rows.where("not _doubt").select(docs_columns).unionByName(doubtful.select(docs_columns))

@@ -106,6 +106,20 @@ def test_near_dedup(spark, odd):
     assert near_dedup.group(make(spark, odd).limit(0)).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    r = random.Random(11)
+    one, two, three, four = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    near = " ".join([*one.split()[:-1], "changed"])
+    rows = [(None, two, 1), (None, three, 2), (None, near, 3), (None, "", 4), (None, None, 5), (5, one, 6), (5, four, 7), (5, four, 8), (9, near, 9), (7, None, 10), (7, "", 11)]
+    rows += [(None, three, 12), (None, " ".join([*two.split()[:-1], "changed"]), 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long")
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    got = [(g.doc_id, g.text, g.at) for g in got.collect()]
+    assert len(got) == 7 and sum(g[:2] == (5, four) for g in got) == 1 and sum(g[0] == 7 for g in got) == 1
+    assert {4, 5, 6} <= {g[2] for g in got} and {2, 12} & {g[2] for g in got} and len({1, 13} & {g[2] for g in got}) == 1
+
+
 def test_near_dedup_brute_force(spark):
     r = random.Random(7)
     docs = []

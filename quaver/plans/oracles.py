@@ -130,8 +130,11 @@ LOW, HIGH = chi2_ppf(0.005, 499), chi2_ppf(0.995, 499)
 
 ORACLES: dict[str, str] = {
     "scan_ticks_range": f"WITH {TICKS} SELECT symbol, epoch, round(quote, 6) + 0.0 AS quote, tick_id FROM ticks WHERE symbol = 'click' AND epoch % 3600 < 600",
+    "scan_ticks_bounds": f"WITH {TICKS} SELECT symbol, epoch, round(quote, 6) + 0.0 AS quote, tick_id FROM ticks WHERE symbol = 'click' AND epoch BETWEEN 1704672000 AND 1705276800",
     "scan_candles_range": f"WITH {DAILY} SELECT * FROM daily WHERE symbol = 'A' AND epoch BETWEEN 820454400 AND 852076800",
     "upsert_latest_wins": f"""WITH {TICKS}, two AS (SELECT symbol, epoch, quote, CAST(tick_id AS BIGINT) AS id, 0 AS new FROM ticks WHERE CAST(tick_id AS BIGINT) % 2 = 0 UNION ALL SELECT symbol, epoch, quote, CAST(tick_id AS BIGINT), 1 FROM ticks WHERE CAST(tick_id AS BIGINT) % 3 = 0)
+SELECT symbol, epoch, round(quote, 6) + 0.0 AS quote, id AS tick_id FROM two QUALIFY row_number() OVER (PARTITION BY symbol, epoch ORDER BY new DESC, id DESC) = 1""",
+    "upsert_all_ticks": f"""WITH {TICKS}, two AS (SELECT symbol, epoch, quote, CAST(tick_id AS BIGINT) AS id, 0 AS new FROM ticks UNION ALL SELECT symbol, epoch, quote + 1, CAST(tick_id AS BIGINT), 1 FROM ticks)
 SELECT symbol, epoch, round(quote, 6) + 0.0 AS quote, id AS tick_id FROM two QUALIFY row_number() OVER (PARTITION BY symbol, epoch ORDER BY new DESC, id DESC) = 1""",
     "symbol_registry_diff": f"""WITH {NAMED}, active AS (SELECT DISTINCT l_returnflag AS symbol FROM lineitem)
 SELECT symbol, CASE WHEN a.symbol IS NULL THEN 'missing' WHEN s.symbol IS NULL THEN 'unregistered' ELSE 'available' END AS state FROM symbols s FULL JOIN active a USING (symbol)""",

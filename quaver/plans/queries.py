@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PRODUCT = Product(stop_out=0.5, commission=0.1, spread=0.002)
 PAYOUT = Product(kind="fixed_payout", stake=20.0, payout=0.8, commission=0.2, spread=0.01)
 RANGE = (820_454_400, 852_076_800)  # 1996
+TICK_RANGE = (1_704_672_000, 1_705_276_800)  # 8 to 15 January 2024
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -43,6 +44,15 @@ def scan_ticks_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.ticks(spark, d).where("symbol = 'click' and epoch % 3600 < 600").select("symbol", "epoch", "quote", "tick_id"))
 
 
+def ticks_between(rows: DataFrame, symbol: str, start: int, end: int) -> DataFrame:
+    """The ticks of a symbol from start to end, both inclusive."""
+    return rows.where(F.col("epoch").between(start, end) & (F.col("symbol") == symbol)).select("symbol", "epoch", "quote", "tick_id")
+
+
+def scan_ticks_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ticks_between(market.ticks(spark, d), "click", *TICK_RANGE))
+
+
 def scan_candles_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(market.daily(spark, d).where(F.col("epoch").between(*RANGE) & (F.col("symbol") == "A")))
 
@@ -53,6 +63,14 @@ def upsert_latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.upserted(stored, ticks.where("tick_id % 3 = 0").withColumn("at", F.col("tick_id")), ["symbol", "epoch"], "at"))
 
 
+def upsert_all_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Every tick is stored; then every tick comes again with its quote raised by one."""
+    ticks = market.ticks(spark, d).select("symbol", "epoch", "quote", F.col("tick_id").cast("long").alias("tick_id"))
+    ticks = ticks.withColumn("at", F.col("tick_id"))
+    stored = quality.upserted(ticks.drop("at").limit(0), ticks, ["symbol", "epoch"], "at")
+    return rounded(quality.upserted(stored, ticks.withColumn("quote", F.col("quote") + 1), ["symbol", "epoch"], "at"))
+
+
 def symbol_registry_diff(spark: SparkSession, d: str) -> DataFrame:
     active, known = market.daily(spark, d).select("symbol").distinct(), market.symbols(spark).select("symbol")
     return known.join(active, "symbol", "left_anti").select("symbol", F.lit("missing").alias("state")).unionByName(active.join(known, "symbol", "left_anti").select("symbol", F.lit("unregistered").alias("state"))).unionByName(active.join(known, "symbol", "left_semi").select("symbol", F.lit("available").alias("state")))
@@ -144,8 +162,10 @@ def pooled_tests(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "scan_ticks_range": scan_ticks_range,
+    "scan_ticks_bounds": scan_ticks_bounds,
     "scan_candles_range": scan_candles_range,
     "upsert_latest_wins": upsert_latest_wins,
+    "upsert_all_ticks": upsert_all_ticks,
     "symbol_registry_diff": symbol_registry_diff,
     "dq_duplicate_epochs": on_ticks(quality.duplicate_epochs),
     "dq_non_monotonic": on_ticks(quality.non_monotonic),

@@ -7,6 +7,8 @@ import pytest
 from quaver.functions import dist, series
 from quaver.operators import indicators as ind
 from quaver.operators import quality, stats, trades
+from quaver.plans import queries
+from quaver.sources import market
 
 
 def candles(spark, closes, step=60, epochs=None):
@@ -93,3 +95,13 @@ def test_stream(spark, tmp_path):
     live.write_latest(live.candles(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = live.latest(spark.read.parquet(str(tmp_path / "out"))).orderBy("epoch").collect()
     assert [(r.open, r.high, r.low, r.close) for r in got] == [(m, m + 40.0, m, m + 40.0) for m in (0.0, 1.0, 2.0)]
+
+
+def test_whole_tick_table_is_scanned_and_upserted(spark):
+    d = "/root/testdata/sf0.001"
+    ticks = market.ticks(spark, d)
+    mine = sorted(r.epoch for r in ticks.where("symbol = 'click'").collect())
+    assert sorted(r.epoch for r in queries.ticks_between(ticks, "click", mine[0], mine[-1]).collect()) == mine
+    assert queries.ticks_between(ticks, "click", mine[0] + 1, mine[-1] - 1).count() == len([e for e in mine if mine[0] < e < mine[-1]])
+    got = {(r.symbol, r.epoch) for r in queries.upsert_all_ticks(spark, d).collect()}
+    assert got == {(r.symbol, r.epoch) for r in ticks.collect()}

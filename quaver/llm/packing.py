@@ -18,87 +18,43 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from quaver.llm.common import durable, ragged, slices, small_batches, utf8
-from quaver.llm.words import Memo, word_bytes, words
+from quaver.llm.common import durable, ragged, slices, small_batches
+from quaver.llm.token_counts import Coder, merges
 
-#: Mixture components; more sources than that share components by hash, so that the schedule stays small.
-MAX_COMPONENTS = 1024
-#: (task, component) totals up to this number are broadcast, beyond it they are joined by a shuffle.
+#: Sources that a schedule can hold, 24 bytes each in every task; more are refused, not merged.
+MAX_SOURCES = 1_000_000
+#: Numbers (rows times sources) that are worked out at once.
+MAX_CELLS = 1 << 21
+#: (task, source) totals up to this number are broadcast, beyond it they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
 
-class Encoder:
-    """Ids of words, many in one call: words are parted by a special token whose id marks where each ends."""
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, one after another; number of ids of each)."""
-        odd = {i for i, w in enumerate(found) if any(s in w for s in self.specials)} if any(s in w for w in found for s in self.specials) else set()
-        alone = {i: np.array(self.tokenizer.encode(found[i], add_special_tokens=False).ids, np.int64) for i in odd}
-        ids, n = [], []
-        for at in range(0, len(found), 2000):
-            part = found[at : at + 2000]
-            line = f" {self.mark} ".join("" if at + k in odd else w for k, w in enumerate(part))
-            got = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.int64)
-            ends = np.append(np.flatnonzero(got == self.mark_id), len(got))
-            starts = np.append(0, ends[:-1] + 1)
-            size = ends - starts
-            if any(at <= i < at + len(part) for i in odd):
-                pieces = [alone.get(at + k, got[a:b]) for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
-                got, size = np.concatenate(pieces), np.array([len(p) for p in pieces])
-            else:
-                got = got[got != self.mark_id]
-            ids.append(got)
-            n.append(size)
-        return (np.concatenate(ids), np.concatenate(n)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, mix, part, before, n, ids (little-endian unsigned 16-bit) of every document.
+    """doc_id, mix, part, before, n, ids (little-endian unsigned, as wide as the vocabulary needs) of every document.
 
-    `part` is the task; `before` counts the ids of the same component earlier in that task.
+    `part` is the task; `before` counts the ids of the same source earlier in that task.
     """
+    kind = id_kind(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, memo = encoder(path), Memo()
+        coder = Coder(merges(path))
         part, totals = TaskContext.get().partitionId(), {}
-        known, first, size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in slices(batches, "text"):
-            data, offs = utf8(b.column("text"))
-            w = words(data, offs, lower=False)
-            number, new, void = memo.number(w.hash)
-            got, n = enc.encode([x.decode() for x in word_bytes(data, w, new)])
-            if void:
-                known, first, size = known[:0], first[:0], size[:0]
-            first = np.concatenate([first, len(known) + np.cumsum(n) - n])
-            known, size = np.concatenate([known, got.astype(np.uint16)]), np.concatenate([size, n])
-            ids = known[ragged(first[number], size[number])]
-            sums = np.concatenate([[0], np.cumsum(size[number])])[w.bounds]
+            ids, bounds = coder.encode(b.column("text").to_pylist())
+            ids, end = ids.astype(kind), np.array([end_id], kind).tobytes()
             rows, before = [], []
-            for i, mix in enumerate(b.column("mix").to_pylist()):
-                rows.append(ids[sums[i] : sums[i + 1]].astype("<u2").tobytes() + end_id.to_bytes(2, "little"))
+            counts = np.diff(bounds) + 1
+            for i, (mix, n) in enumerate(zip(b.column("mix").to_pylist(), counts.tolist(), strict=True)):
+                rows.append(ids[bounds[i] : bounds[i + 1]].tobytes() + end)
                 before.append(totals.get(mix, 0))
-                totals[mix] = before[-1] + len(rows[-1]) // 2
-            counts = np.diff(sums) + 1
+                totals[mix] = before[-1] + n
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("mix"), pa.array([part] * len(rows), pa.int32()), pa.array(before, pa.int64()), pa.array(counts), pa.array(rows, pa.binary())],
                 ["doc_id", "mix", "part", "before", "n", "ids"],
@@ -107,8 +63,13 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mix string, part int, before long, n long, ids binary")
 
 
+def id_kind(path: str, end_id: int) -> str:
+    """The narrowest type that holds every id."""
+    return "<u2" if max(merges(path).width, end_id + 1) <= 1 << 16 else "<u4"
+
+
 class Schedule:
-    """How many ids of each component lie before each window."""
+    """How many ids of each source lie before each window."""
 
     def __init__(self, totals: list[int], weights: list[float], window: int):
         self.totals, self.weights, self.window = np.array(totals, np.int64), np.array(weights, float), window
@@ -122,8 +83,13 @@ class Schedule:
     def _earned(self, credit: np.ndarray) -> np.ndarray:
         return np.minimum(self.totals, np.floor(credit[:, None] * self.weights + 0.5).astype(np.int64))
 
+    def _blocks(self, n: int) -> list[slice]:
+        """Parts of n rows that need about MAX_CELLS numbers each."""
+        rows = max(1, MAX_CELLS // max(1, len(self.totals)))
+        return [slice(at, at + rows) for at in range(0, n, rows)]
+
     def served(self, w: np.ndarray) -> np.ndarray:
-        """Row i: ids of each component in windows before w[i]; they add up to w[i] windows."""
+        """Row i: ids of each source in windows before w[i]; they add up to w[i] windows."""
         goal = np.minimum(w.astype(np.int64) * self.window, self.total)
         low, high = np.zeros(len(w)), np.full(len(w), (self.totals / self.weights).max(initial=0) + 1)
         for _ in range(80):
@@ -136,7 +102,7 @@ class Schedule:
         return base + np.clip(more - (np.cumsum(spare, 1) - spare), 0, spare)
 
     def window_of(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """The window of id number x[i] of component s[i]."""
+        """The window of id number x[i] of source s[i]."""
         credit = (x + 0.5) / self.weights[s]
         w = np.clip(self._earned(credit).sum(1) // self.window, 0, self.total // self.window)
         every = np.arange(len(x))
@@ -148,15 +114,27 @@ class Schedule:
             every = every[early | late]
         return w
 
+    def bounds(self, w: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of source s[i] before window w[i], before the window after it, ids of earlier sources in the window)."""
+        order = np.argsort(w, kind="stable")
+        out = np.empty((3, len(w)), np.int64)
+        for part in self._blocks(len(w)):
+            at = order[part]
+            some, back = np.unique(w[at], return_inverse=True)
+            now, then = self.served(some), self.served(some + 1)
+            lead = np.cumsum(then - now, 1) - (then - now)
+            for k, a in enumerate((now, then, lead)):
+                out[k, at] = a[back, s[at]]
+        return out[0], out[1], out[2]
+
     def pieces(self, s: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, start, length, sequence, offset) of what documents of n ids, from x on in the queue of s, are cut into."""
-        low, high = self.window_of(x, s), self.window_of(x + n - 1, s)
+        low, high = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+        for part in self._blocks(len(x)):
+            low[part], high[part] = self.window_of(x[part], s[part]), self.window_of((x + n - 1)[part], s[part])
         doc = np.repeat(np.arange(len(x)), high - low + 1)
         w = ragged(low, high - low + 1)
-        some, back = np.unique(w, return_inverse=True)
-        now, then = self.served(some), self.served(some + 1)
-        lead = np.cumsum(then - now, 1) - (then - now)
-        now, then, lead = (a[back, s[doc]] for a in (now, then, lead))
+        now, then, lead = self.bounds(w, s[doc])
         begin, end = np.maximum(x[doc], now), np.minimum((x + n)[doc], then)
         offset = lead + begin - now
         start, length = begin - x[doc], end - begin
@@ -175,17 +153,20 @@ class Schedule:
 def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, targets: dict[str, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
-    targets: weight of each source in a window; sources it lacks, or all, weigh as many as they have ids.
+    targets: weight of each source in a window; a source it lacks weighs as many as it has ids, so without targets the
+    windows are mixed as the corpus is. A null source is named "". ids are little-endian unsigned 32-bit.
     """
     small_batches(docs.sparkSession)
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    many = len(docs.select(source).distinct().limit(MAX_COMPONENTS + 1).collect()) > MAX_COMPONENTS
-    mix = (F.crc32(source.cast("binary")) % MAX_COMPONENTS).cast("string") if many else source
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), mix.alias("mix"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), source.alias("mix"))
+    kind = id_kind(path, end_id)
     coded = durable(encode(rows, path, end_id))
 
     by_task = durable(coded.groupBy("mix", "part").agg(F.sum("n").alias("m")))
-    totals = {r.mix: r.m for r in by_task.groupBy("mix").agg(F.sum("m").alias("m")).collect()}
+    by_source = by_task.groupBy("mix").agg(F.sum("m").alias("m")).limit(MAX_SOURCES + 1).collect()
+    if len(by_source) > MAX_SOURCES:
+        raise ValueError(f"a schedule holds a number for each source; over {MAX_SOURCES} sources are no mixture")
+    totals = {r.mix: r.m for r in by_source}
     names = sorted(totals)
     sure = {m: i for i, m in enumerate(names)}
     weights = [float((targets or {}).get(m, totals[m])) or 1e-9 for m in names]
@@ -205,7 +186,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, target
             n = b.column("n").to_numpy()
             doc, start, length, seq, offset = plan.pieces(s, b.column("x").to_numpy(), n)
             raw = b.column("ids").to_pylist()
-            ids = [np.frombuffer(raw[d], "<u2")[a : a + m].astype("<u4").tobytes() for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            ids = [np.frombuffer(raw[d], kind)[a : a + m].astype("<u4").tobytes() for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(take), *map(pa.array, (start, length)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), b.column("n").take(take), *map(pa.array, (seq, offset)), b.column("mix").take(take), pa.array(ids, pa.binary())],

@@ -11,9 +11,11 @@ remain, those with a set bit are kept if they are enough; the boundary is resolv
 Queries go to all tasks in batches of at most MAX_QUERIES; every block answers a batch with its top k of each query,
 and Spark's aggregate joins these, k rows a query and task. So nothing is shuffled but candidates.
 
-Vectors that are null, of another length than most, or that hold null or non-finite components take no part. A query
-never finds its own row; repeated rows of one vec_id are rows of their own and none of them is found by a query of the
-same vec_id. Only vec_id and embedding are read; other columns can't clash. An empty table gives an empty result.
+Vectors that are null or empty, or that hold null or non-finite components, take no part. Vectors of different lengths
+have no inner product: a query is answered from those of its own length. Every query row is answered on its own, so a
+query that occurs twice gives its answer twice; rows with the query's vec_id are never found by it, and other rows that
+share a vec_id are each a candidate. Only vec_id and embedding are read; other columns can't clash. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.common import durable
@@ -33,7 +36,7 @@ BLOCK_ROWS, MAX_QUERIES = 8192, 20_000
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and q, the integers floor(SCALE * x); only complete, finite vectors of the most common length."""
+    """vec_id and q, the integers floor(SCALE * x); only complete, finite vectors."""
     q = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * SCALE))
     whole = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -119,47 +122,53 @@ def subtract(a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray) -> list
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other rows of every query, ties to the smaller vec_id."""
+    """query_id, rank, vec_id, score: the k best other rows of every query row, ties to the smaller vec_id."""
     spark = vectors.sparkSession
-    rows = durable(quantised(vectors))
-    size = rows.groupBy(F.size("q").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.size("q") == size.n)
+    rows = durable(quantised(vectors).withColumn("row", F.monotonically_increasing_id()))
     low, high = rows.agg(F.min(F.array_min("q")), F.max(F.array_max("q"))).first()
-    shift, bits = max(0, -low), max(1, int(high + max(0, -low)).bit_length())
     queries = rows.where(is_query)
     many = -(-queries.count() // MAX_QUERIES)
+    if not many:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shift, bits = max(0, -low), max(1, int(high + max(0, -low)).bit_length())
     found = None
     for part in range(many):
-        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(many)) == part).select("vec_id", "q").toArrow()
-        ids = some.column("vec_id").to_numpy()
-        q = np.asarray(some.column("q").combine_chunks().flatten()).reshape(len(ids), -1)
-        answer = ask(rows, ids, q, shift, bits, k)
-        found = answer if found is None else found.unionByName(answer)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.negative("score").alias("less"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", F.negative("x.less").alias("score"))
+        some = queries.where(F.pmod(F.xxhash64("row"), F.lit(many)) == part).select("row", "vec_id", "q").toArrow()
+        answer = ask(rows, some, shift, bits, k)
+        best = answer.groupBy("query_row").agg(F.first("query_id").alias("query_id"), F.slice(F.sort_array(F.collect_list(F.struct(F.negative("score").alias("less"), "vec_id"))), 1, k).alias("best"))
+        best = durable(best) if many > 1 else best
+        found = best if found is None else found.unionByName(best)
+    return found.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", F.negative("x.less").alias("score"))
+
+
+def by_length(q: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(places of the vectors, their components [vector, component]) by their number of components."""
+    q = q.combine_chunks() if isinstance(q, pa.ChunkedArray) else q
+    size = np.asarray(pc.list_value_length(q))
+    return {n: (at := np.flatnonzero(size == n), np.asarray(q.take(pa.array(at)).flatten()).reshape(len(at), n)) for n in np.unique(size).tolist()}
 
 
-def ask(rows: DataFrame, ids: np.ndarray, q: np.ndarray, shift: int, bits: int, k: int) -> DataFrame:
-    """query_id, vec_id, score: every task's best k for each query."""
-    shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+def ask(rows: DataFrame, queries: pa.Table, shift: int, bits: int, k: int) -> DataFrame:
+    """query_row, query_id, vec_id, score: every task's best k for each query row."""
+    names, numbers = (queries.column(c).to_numpy() for c in ("vec_id", "row"))
+    shared = rows.sparkSession.sparkContext.broadcast((names, numbers, by_length(queries.column("q"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights = shared.value
+        names, numbers, asked = shared.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2] * len(names)
 
         def block(held: list[pa.RecordBatch]) -> None:
             t = pa.Table.from_batches(held)
-            x = np.asarray(t.column("q").combine_chunks().flatten()).reshape(t.num_rows, -1)
-            index = Slices(t.column("vec_id").to_numpy(), x, shift, bits)
-            for i, (name, w) in enumerate(zip(names.tolist(), weights, strict=True)):
-                v, s = index.top(name, w, k)
-                v, s = np.concatenate([best[i][0], v]), np.concatenate([best[i][1], s])
-                order = np.lexsort((v, -s))[:k]
-                best[i] = v[order], s[order]
+            ids = t.column("vec_id").to_numpy()
+            for n, (at, x) in by_length(t.column("q")).items():
+                if n not in asked:
+                    continue
+                index = Slices(ids[at], x, shift, bits)
+                for i, w in zip(*asked[n], strict=True):
+                    v, s = index.top(int(names[i]), w, k)
+                    v, s = np.concatenate([best[i][0], v]), np.concatenate([best[i][1], s - shift * w.sum()])
+                    order = np.lexsort((v, -s))[:k]
+                    best[i] = v[order], s[order]
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -170,8 +179,7 @@ def ask(rows: DataFrame, ids: np.ndarray, q: np.ndarray, shift: int, bits: int,
         if sum(x.num_rows for x in held):
             block(held)
         size = [len(v) for v, _ in best]
-        m = shift * weights.sum(1)
-        offset = np.repeat(m, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)), pa.array(np.concatenate([v for v, _ in best] or [[]]).astype(np.int64)), pa.array(np.concatenate([s for _, s in best] or [[]]).astype(np.int64) - offset)], ["query_id", "vec_id", "score"])
+        columns = [np.repeat(numbers, size), np.repeat(names, size), *(np.concatenate([b[j] for b in best]).astype(np.int64) for j in (0, 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_row", "query_id", "vec_id", "score"])
 
-    return rows.select("vec_id", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.select("vec_id", "q").mapInArrow(run, "query_row long, query_id long, vec_id long, score long")

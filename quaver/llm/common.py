@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,14 +31,40 @@ def small_batches(spark: SparkSession) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local one is taken.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and all runs in one process (tests, bench)
+    a local one is taken; on a cluster a folder that all machines share must be named.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quaver")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^,]*(, *\d+)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints/quaver")
     return df.checkpoint()
 
 
+#: A key with at least this fraction of the rows is hot; so there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1 / 512
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, count: str = "count") -> list:
+    """The keys of (key, count) with at least HOT_SHARE of all `total` rows, at most 1 / HOT_SHARE of them."""
+    return [r[0] for r in counts.where(F.col(count) >= F.lit(total * HOT_SHARE)).select(key).collect()]
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """left joined with right, which has at most one row for each key.
+
+    The rows of right for hot keys of left, as hot_keys() bounds them, are sent to all tasks, so no task gets all rows of
+    such a key; only the other rows are shuffled by key.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    few = F.broadcast(right.where(F.col(key).isin(hot)))
+    other = left.where(F.col(key).isNull() | ~F.col(key).isin(hot)).join(right.where(~F.col(key).isin(hot)), key, how)
+    return left.where(F.col(key).isin(hot)).join(few, key, how).unionByName(other)
+
+
 #: Bits of the filter of marked(), in words of 32: at most 2 ** 18 rows are broadcast, whatever the number of keys.
 FILTER_BITS = 23
 

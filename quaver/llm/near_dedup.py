@@ -15,9 +15,13 @@ are confirmed on the full shingle sets of the two texts. Components are found by
 steps over checkpointed edges.
 
 Null texts and texts without words have the empty set, n_shingles 0 and are linked with nothing. Repeated rows are
-linked with each other and each returned. Documents without a doc_id are linked where their sets are equal, not by near
-links, as nothing names their texts; their component_id is null where no other of the class has one.
-Only doc_id and text are read; other columns can't clash. An empty table gives an empty result.
+linked with each other and each returned. Rows have numbers of their own: a null or repeated doc_id neither hides a link
+nor makes one. The component_id is the least doc_id among all rows of a component, null where none has one; a null
+doc_id equals a null component_id. Only doc_id and text are read; other columns can't clash. An empty table gives an
+empty result.
+
+Joins by class, bucket, leader or component split hot keys (quaver.llm.common.split_join), so that a large group of
+copies is dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import durable, marked, ragged, slices, small_batches, utf8
+from quaver.llm.common import durable, hot_keys, marked, ragged, slices, small_batches, split_join, utf8
 from quaver.llm.words import mix, shingles, words
 
 REGISTERS, BANDS = 128, 32
@@ -98,7 +102,7 @@ def alike_sets(one: np.ndarray | None, two: np.ndarray | None) -> bool:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cls (name of the set) and signature of every document."""
+    """row, doc_id, text_hash, n (set size), cls (name of the set) and signature of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -106,9 +110,9 @@ def signed(docs: DataFrame) -> DataFrame:
             size, cls = set_ids(doc, h, b.num_rows)
             sig = superminhash(doc, h, b.num_rows)
             sig = pa.array([x.tobytes() if k else None for x, k in zip(sig, size, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(cls), sig], ["doc_id", "n", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, ("row", "doc_id", "text_hash")), pa.array(size), pa.array(cls), sig], ["row", "doc_id", "text_hash", "n", "cls", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, sig binary")
+    return docs.mapInArrow(run, "row long, doc_id long, text_hash long, n long, cls long, sig binary")
 
 
 def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -123,23 +127,25 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
+    hot = hot_keys(pairs.groupBy("b").count(), "b", pairs.count())
+    sized = split_join(pairs.join(one, "a"), two, "b", hot).where(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """asked with the text of each doc_id; only texts that may be asked for are shuffled."""
-    some = marked(docs.select("doc_id", "text"), F.col("doc_id"), asked.select("doc_id"), "_asked").where("_asked").drop("_asked")
-    return some.join(asked, "doc_id")
+    """asked with the text of each row; only texts that may be asked for are shuffled."""
+    some = marked(docs.select("row", "text"), F.col("row"), asked.select("row"), "_asked").where("_asked").drop("_asked")
+    return some.join(asked, "row")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets. Texts are sent once to each group of pairs with the same b."""
-    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
-    rows = pairs.join(groups, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    groups = pairs.groupBy("b").agg(F.count("*").alias("count"), F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
+    hot = hot_keys(groups, "b", pairs.count())
+    rows = split_join(pairs, groups.drop("count"), "b", hot).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     asked = rows.select("b", "part", F.col("a").alias("cls"), F.lit(1).alias("kind"))
     leaders = rows.select("b", "part").distinct().select("b", "part", F.col("b").alias("cls"), F.lit(0).alias("kind"))
-    asked = asked.unionByName(leaders).join(classes.select("cls", "doc_id"), "cls")
+    asked = asked.unionByName(leaders).join(classes.select("cls", "row"), "cls")
     asked = durable(asked)
     sent = texts_of(asked, docs).select("b", "part", "kind", "cls", "text").repartition("b", "part").sortWithinPartitions("b", "part", "kind", "cls")
 
@@ -153,7 +159,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             to, part, want = (b.column(c).to_pylist() for c in ("b", "part", "cls"))
             for i, (k, c) in enumerate(zip(b.column("kind").to_pylist(), cls.tolist(), strict=True)):
                 if c != want[i]:
-                    continue  # another text under the same doc_id
+                    continue  # another text
                 own = h[cut[i] : cut[i + 1]]
                 if not k:
                     lead, mine = (to[i], part[i]), own
@@ -178,8 +184,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         two = both(edges)
-        least = two.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = two.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = two.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("count"))
+        large = split_join(two, least.drop("count"), "a", hot_keys(least, "a", 2 * seen[0])).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = durable(small.where("a <> b").distinct())
@@ -253,7 +259,7 @@ def crossing(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i, j, tile
 
 
-def rest(shared: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def rest(shared: DataFrame, hot: list, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between components that share a bucket; none between the same two components of a tile twice.
 
     A bucket is cut into blocks of about TILE_ROWS classes, and every two blocks are a tile. Tiles first tell, by
@@ -262,12 +268,12 @@ def rest(shared: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame
     """
     here = shared.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     sizes = here.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    here = here.join(sizes.select("key", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks")), "key")
+    here = split_join(here, sizes.select("key", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks")), "key", hot)
     here = here.withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("home", x).alias("one"), F.greatest("home", x).alias("two")))
     here = here.select("key", "band", "cls", "comp", "home", F.explode(spread).alias("t")).select("key", "t.one", "t.two", "band", "cls", "comp", "home")
-    here = here.join(classes.select("cls", "sig", "doc_id"), "cls")
-    schema = "key long, one int, two int, band int, cls long, comp long, home int, sig binary, doc_id long"
+    here = here.join(classes.select("cls", "sig", "row"), "cls")
+    schema = "key long, one int, two int, band int, cls long, comp long, home int, sig binary, row long"
 
     def by_tile(rows: DataFrame) -> DataFrame:
         return rows.repartition(*TILE).sortWithinPartitions(*TILE, "cls")
@@ -313,55 +319,61 @@ def rest(shared: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, comp) of the classes that are linked with another class."""
     rows = buckets(classes)
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("b")).where("c > 1").select("key", "b")
-    shared = durable(rows.join(shared, "key").select("key", "band", "cls", "b"))
-    pairs = durable(alike(shared.where("cls <> b").select(F.col("cls").alias("a"), "b").distinct(), classes))
+    first = durable(rows.groupBy("key").agg(F.count("*").alias("count"), F.min("cls").alias("b")).where("count > 1"))
+    hot = hot_keys(first, "key", BANDS * classes.count())
+    shared = durable(split_join(rows, first.select("key", "b"), "key", hot).select("key", "band", "cls", "b"))
+    pairs = durable(shared.where("cls <> b").select(F.col("cls").alias("a"), "b").distinct())
+    pairs = durable(alike(pairs, classes))
     edges = durable(confirmed(pairs, classes, docs))
-    more = durable(rest(shared.select("key", "band", "cls"), components(edges), classes, docs))
+    more = durable(rest(shared.select("key", "band", "cls"), hot, components(edges), classes, docs))
     return components(edges.unionByName(more))
 
 
-def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls and sig of every document; cls, doc_id and comp of the classes whose texts a doc_id names)."""
+def classified(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text_hash, n, cls and comp (null without words) of all documents (row, doc_id, text)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = durable(signed(docs))
-    classes = durable(rows.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("doc_id")).where("sig is not null"))
-    comp = links(classes, docs)
-    return rows, classes.select("cls", "doc_id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min_by("sig", "row").alias("sig"), F.min("row").alias("row"), F.count("*").alias("count"))
+    classes = durable(classes)
+    comp = classes.select("cls").join(links(classes, docs), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = rows.drop("sig")
+    return durable(split_join(rows.where("n > 0"), comp, "cls", hot_keys(classes, "cls", rows.count())).unionByName(rows.where("n = 0").withColumn("comp", F.lit(None).cast("long"))))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, and the name of that column, which docs doesn't have."""
+    name = "_row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return durable(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def group(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    rows, named = classified(docs)
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = durable(named.join(least, "comp").select("cls", "component_id"))
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return (
-        rows.select("doc_id", "n", "cls")
-        .join(named, "cls", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    docs, row = numbered(docs.select("doc_id", "text"))
+    found = classified(docs.select(F.col(row).alias("row"), "doc_id", "text"))
+    least = durable(found.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("count")))
+    linked = split_join(found.where("n > 0"), least.drop("count"), "comp", hot_keys(least, "comp", found.count()))
+    alone = found.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    rows = linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, that with the least doc_id (null is last), all columns kept.
 
-    Rows are named by numbers of their own, so null and repeated ids neither hide links nor make any; of one doc_id in
-    one group, the row whose set and text have the least hashes stays. Texts without words are copies only of those with
-    the same doc_id. Only rows that may go are looked up; all others pass through.
+    Of one doc_id in one group, the row whose set and text have the least hashes stays. Texts without words are copies
+    only of those with the same doc_id. Only rows that may go are looked up; all others pass through.
     """
-    docs_columns = docs.columns
-    docs = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows, named = classified(docs.select(F.col("_row").alias("doc_id"), "text"))
-    ids = docs.select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
-    found = rows.select(F.col("doc_id").alias("_row"), "n", "cls").join(named.select("cls", "comp"), "cls", "left").join(ids, "_row")
-    found = durable(found.where("n > 0 or _id is not null"))
-    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "cls", "_text", "_row")
-    first = found.where("n > 0").groupBy("comp").agg(F.min(order).alias("f")).select("f._row")
-    first = first.unionByName(found.where("n = 0").groupBy("_id").agg(F.min("_row").alias("_row")).select("_row"))
-    gone = durable(found.select("_row").join(first, "_row", "left_anti"))
-    rows = marked(docs, F.col("_row"), gone, "_doubt")
-    doubtful = rows.where("_doubt").join(gone, "_row", "left_anti")
-    return rows.where("not _doubt").select(docs_columns).unionByName(doubtful.select(docs_columns))
+    columns = docs.columns
+    docs, row = numbered(docs)
+    found = classified(docs.select(F.col(row).alias("row"), "doc_id", "text")).where("n > 0 or doc_id is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "text_hash", "row")
+    first = found.where("n > 0").groupBy("comp").agg(F.min(order).alias("f")).select("f.row")
+    first = first.unionByName(found.where("n = 0").groupBy("doc_id").agg(F.min("row").alias("row")).select("row"))
+    gone = durable(found.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row))
+    rows = marked(docs, F.col(row), gone, f"{row}doubt")
+    doubtful = rows.where(f"`{row}doubt`").join(gone, row, "left_anti")
+    return rows.where(f"not `{row}doubt`").select(columns).unionByName(doubtful.select(columns))

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quaver.llm import chat, decontamination, html_wrappers, language_id, near_dedup, packing, sharding, suffix_tree, token_counts, top_k
+from quaver.llm import chat, common, decontamination, html_wrappers, language_id, near_dedup, packing, sharding, suffix_tree, token_counts, top_k
 from quaver.llm.common import crc_mod
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -81,23 +82,93 @@ def test_packing(spark, odd):
     assert packing.pack(make(spark, odd).limit(0), BPE).count() == 0
 
 
+def scheduled(totals, weights, window):
+    """ids of each source in every full window, as the closed form has it."""
+    plan = packing.Schedule(totals, weights, window)
+    return np.diff(np.stack([plan.served(np.array([w]))[0] for w in range(plan.full + 1)]), axis=0)
+
+
+def brute_windows(totals, weights, window):
+    """Token by token: every id of a source has the credit at which it is earned; the windows take ids by rising credit."""
+    order = sorted(((x + 0.5) / weights[s], s) for s in range(len(totals)) for x in range(totals[s]))
+    out = []
+    for w in range(sum(totals) // window):
+        part = [s for _, s in order[w * window : (w + 1) * window]]
+        out.append([part.count(s) for s in range(len(totals))])
+    return np.array(out)
+
+
+@pytest.mark.parametrize(("totals", "weights"), [([500, 300, 200], [0.5, 0.3, 0.2]), ([500, 300, 200], [0.2, 0.2, 0.6]), ([900, 7, 93], [0.1, 0.45, 0.45]), ([64, 64], [0.5, 0.5])])
+def test_windows_are_those_of_a_plain_round_robin(totals, weights):
+    assert (scheduled(totals, weights, 50) == brute_windows(totals, weights, 50)).all()
+
+
+def window_shares(rows, window):
+    out = {}
+    for r in rows:
+        if r.offset + r.length <= window:
+            out.setdefault(r.sequence_id, {}).setdefault(r.source, 0)
+            out[r.sequence_id][r.source] += r.length
+    return {k: v for k, v in out.items() if sum(v.values()) == window}
+
+
+def test_packing_holds_targets_until_a_source_is_dry(spark):
+    r = random.Random(4)
+    say = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    docs = [(i, say(60), "en", "ab"[i % 2] if i % 5 else "c") for i in range(120)]
+    rows = packing.pack(make(spark, docs), BPE, window=256, targets={"a": 0.25, "b": 0.25, "c": 0.5}).collect()
+    shares = window_shares(rows, 256)
+    total = {k: sum(x.length for x in rows if x.source == k) for k in "abc"}
+    dry = int(total["c"] // 128)  # c, with half of each window, runs dry first
+    for k in sorted(shares)[: dry - 1]:
+        assert abs(shares[k]["c"] - 128) <= 2 and abs(shares[k]["a"] - 64) <= 2
+    for k in sorted(shares)[dry + 1 :]:
+        assert "c" not in shares[k] and abs(shares[k].get("a", 0) - shares[k].get("b", 0)) <= 256
+    assert sum(total.values()) == sum(x.length for x in rows)
+
+
+def test_packing_many_sources(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and some more of it", f"source {i}") for i in range(2000)], "doc_id long, text string, source string")
+    rows = packing.pack(docs, BPE, window=256).collect()
+    assert {(x.doc_id, x.source) for x in rows} == {(i, f"source {i}") for i in range(2000)}
+    used = {}
+    for x in rows:
+        used.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for pieces in used.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end & (end - 1) == 0
+    assert sum(len(set(p)) for p in used.values()) == len(rows)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     x = np.round(r.normal(0, 0.4, (300, 8)), 2)
-    rows = [(i % 290, [float(v) for v in x[i]]) for i in range(300)] + [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8)]
+    short = np.round(r.normal(0, 0.4, (12, 3)), 2)
+    rows = [(i % 290, [float(v) for v in x[i]]) for i in range(300)] + [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (None, [0.5] * 8), (403, [])]
+    rows += [(550 + i, [float(v) for v in short[i]]) for i in range(12)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    q = np.floor(x * 256).astype(int)
     got = top_k.search(table, F.col("vec_id") % 50 == 0, 5).collect()
+    vectors = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
     want = []
-    for i in range(300):
-        if i % 290 % 50 == 0 and i < 290:
-            found = sorted((-int(q[i] @ q[j]), j % 290) for j in range(300) if j % 290 != i)[:5]
+    for i, q in vectors:
+        if i % 50 == 0:
+            found = sorted((-int(q @ w), j) for j, w in vectors if j != i and len(w) == len(q))[:5]
             want += [(i, k + 1, v, -s) for k, (s, v) in enumerate(found)]
-    keep = {w[0] for w in want} - {i % 290 for i in range(290, 300)}
-    assert sorted(tuple(g) for g in got if g.query_id in keep) == sorted(w for w in want if w[0] in keep)
+    assert sorted(tuple(g) for g in got) == sorted(want) and sum(g.query_id == 0 for g in got) == 10
     assert top_k.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_in_many_batches(spark, monkeypatch):
+    x = np.round(np.random.default_rng(4).normal(0, 0.4, (200, 6)), 2)
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(200)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, top_k.search(table, F.col("vec_id") % 10 == 0).collect()))
+    monkeypatch.setattr(top_k, "MAX_QUERIES", 7)
+    assert sorted(map(tuple, top_k.search(table, F.col("vec_id") % 10 == 0).collect())) == whole
+
+
 def test_near_dedup(spark, odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.group(make(spark, odd)).collect()}
     assert {(1, 76, 1, True), (2, 76, 1, False), (3, 76, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 8, True)} <= got
@@ -120,6 +191,43 @@ def test_keep_one_decides_by_row(spark):
     assert {4, 5, 6} <= {g[2] for g in got} and {2, 12} & {g[2] for g in got} and len({1, 13} & {g[2] for g in got}) == 1
 
 
+def test_near_links_of_rows_without_id(spark):
+    r = random.Random(13)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    near, other = " ".join([*text.split()[:-1], "changed"]), " ".join(reversed(text.split()))
+    rows = [(1, text), (None, near), (None, other), (4, near), (4, other), (7, None), (None, None)]
+    got = near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted((tuple(g) for g in got.collect()), key=key) == sorted(
+        [(1, 76, 1, True), (None, 76, 1, False), (None, 76, 4, False), (4, 76, 1, False), (4, 76, 4, True), (7, 0, 7, True), (None, 0, None, True)], key=key
+    )
+
+
+def test_keep_one_with_clashing_columns(spark):
+    r = random.Random(14)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    docs = spark.createDataFrame([(1, text, 5, "x"), (2, text, 6, "y"), (3, None, 7, "z")], "doc_id long, text string, _row int, _row_doubt string")
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, text, 5, "x"), (3, None, 7, "z")]
+
+
+def test_hot_keys_change_no_component(spark, monkeypatch):
+    """The same components whether no key counts as hot or nearly every one does."""
+    r = random.Random(15)
+    docs = []
+    for g in range(6):
+        base = ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(60)]
+        for i in range(10):
+            w = list(base)
+            w[r.randrange(60)] = f"z{r.randrange(3)}"
+            docs.append((len(docs), " ".join(w), "en", "a"))
+    group = lambda: sorted(map(tuple, near_dedup.group(make(spark, docs)).collect()))
+    monkeypatch.setattr(common, "HOT_SHARE", 2.0)
+    cool = group()
+    monkeypatch.setattr(common, "HOT_SHARE", 1e-9)
+    assert group() == cool and len({c[2] for c in cool}) < len(docs)
+
+
 def test_near_dedup_brute_force(spark):
     r = random.Random(7)
     docs = []
@@ -181,17 +289,66 @@ def test_gradients():
         assert grads[name][place] == pytest.approx((up - down) / (2 * eps), rel=0.05, abs=1e-4)
 
 
+def least_capacity(sizes, shards):
+    """The smallest capacity by trying all cuts: the largest shard of several groups, over all contiguous partitions."""
+    best = [[None] * (shards + 1) for _ in range(len(sizes) + 1)]
+    best[0] = [0] * (shards + 1)
+    for n in range(1, len(sizes) + 1):
+        for k in range(1, shards + 1):
+            found = [max(best[m][k - 1], 0 if n - m == 1 else sum(sizes[m:n])) for m in range(n) if best[m][k - 1] is not None]
+            best[n][k] = min(found) if found else None
+    return best[len(sizes)][shards]
+
+
+def shards_of(sizes, starts):
+    ends = [*starts, len(sizes)]
+    return [sum(sizes[a:b]) for a, b in zip([0, *starts], ends, strict=True)], [b - a for a, b in zip([0, *starts], ends, strict=True)]
+
+
+def test_cuts_are_minimax():
+    r = random.Random(12)
+    for _ in range(200):
+        sizes = [r.choice([1, 2, 3, 5, 8, 40]) for _ in range(r.randrange(1, 14))]
+        shards = r.randrange(1, 6)
+        capacity, starts, _ = sharding.cuts(sizes, shards)
+        totals, groups = shards_of(sizes, starts)
+        assert len(totals) <= shards
+        assert max((t for t, g in zip(totals, groups, strict=True) if g > 1), default=0) <= capacity
+        several = least_capacity(sizes, shards)
+        assert several <= capacity and len(sharding.greedy(sizes, several)[0]) <= shards and (not capacity or len(sharding.greedy(sizes, capacity - 1)[0]) > shards)
+
+
 def test_shards(spark, odd):
-    rows = sharding.shard(make(spark, odd), 5).collect()
-    assert len(rows) == len(odd)
-    slots = {}
-    for r in rows:
-        slots.setdefault(r.shard, []).append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(slots) < 5
-    assert sharding.cuts([3, 1, 1, 3, 2], 3)[0] == 4
+    r = random.Random(6)
+    rows = [*odd, (None, "no id", "en", "a"), (None, "no id", "en", "a")] + [(1000 + i, "".join(r.choice("ab é") for _ in range(r.randrange(200))), "en", "a") for i in range(400)]
+    rows += [(3000 + i, "many copies of one text " * 20, "en", "a") for i in range(150)]
+    got = sharding.shard(make(spark, rows), 5).collect()
+    assert len(got) == len(rows) and {g.law for g in got} == {"bytes"}
+    want = sorted((i is None, i or 0, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
+    assert sorted((g.doc_id is None, g.doc_id or 0, g["size"], g.text_crc32) for g in got) == want
+    slots, text = {}, dict((i, t or "") for i, t, _, _ in rows)
+    home: dict = {}
+    for g in got:
+        slots.setdefault(g.shard, []).append(g.slot)
+        home.setdefault(text[g.doc_id], set()).add(g.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(5))
+    assert all(len(h) == 1 for h in home.values())
     assert sharding.shard(make(spark, odd).limit(0), 5).count() == 0
 
 
+def test_shards_find_the_capacity_of_all_groups(spark, monkeypatch):
+    """Starting from few, wide ranges of keys, the search ends with the capacity of a search over every single group."""
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, "".join(r.choice("abc ") for _ in range(r.choice([3, 30, 300])))) for i in range(1500)], "doc_id long, text string")
+    groups = docs.select(F.xxhash64("text").alias("key"), (F.octet_length("text") + 16).cast("long").alias("size")).groupBy("key").agg(F.sum("size").alias("size")).orderBy("key").collect()
+    sizes = [g["size"] for g in groups]
+    capacity, starts, _ = sharding.cuts(sizes, 7)
+    monkeypatch.setattr(sharding, "FIRST_BITS", 4)
+    got = sharding.shard(docs, 7).groupBy("shard").agg(F.sum("size").alias("total")).orderBy("shard").collect()
+    assert [g.total for g in got] == shards_of(sizes, starts)[0]
+    assert max(g.total for g in got) <= capacity and min(g.total for g in got) > 0.9 * sum(sizes) / 7
+
+
 def test_token_counts(spark, odd):
     t = Tokenizer.from_file(BPE)
     got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(make(spark, odd), BPE).collect())
@@ -199,6 +356,30 @@ def test_token_counts(spark, odd):
     assert got == sorted((*x, x[2] > 2048) for x in n)
 
 
+def test_token_counts_of_long_words(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(60_000)), "a" * 100_001, "".join(r.choice("aab") for _ in range(3000)), "ab" * 5000 + " <|endoftext|>x<|endoftext|> é" + "é" * 3000, "z" * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = Tokenizer.from_file(BPE)
+    began = time.time()
+    got = {g.doc_id: g.n_tokens for g in token_counts.count_tokens(docs, BPE).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert time.time() - began < 60
+    assert token_counts.count_tokens(docs.limit(0), BPE).count() == 0
+
+
+def test_token_counts_of_parts(monkeypatch):
+    """Where a text is cut into parts makes no difference, nor does what a task remembers."""
+    r = random.Random(10)
+    text = " ".join("".join(r.choice("abcétœ'.,<|") for _ in range(r.randrange(1, 12))) for _ in range(3000))
+    t, coder = Tokenizer.from_file(BPE), token_counts.Coder(token_counts.merges(BPE))
+    want = t.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(token_counts, "PART_CHARS", 100)
+    monkeypatch.setattr(token_counts, "MAX_PIECES", 50)
+    for _ in range(2):
+        assert coder.encode([text, None, ""])[0].tolist() == want
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><ul><li>menu</li></ul></nav><div class='cookie-notice'>We use</div>{}<div class='comments'><p>first!</p></div><footer>&copy; x</footer></body></html>"
 
 

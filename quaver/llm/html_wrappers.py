@@ -6,13 +6,18 @@ is aligned with it, level by level: what only one side has becomes optional, wha
 group, and texts that differ become slots. Alignment is associative up to the order of pages, so tasks align their own
 pages first, and the wrappers of a host are aligned in two shuffles, of which the first splits hosts by a salt.
 
-A wrapper's slots are then labelled: menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
+A wrapper's blocks are then labelled: menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
 told by tag, class, id and role; of what is left the article is kept, or, on hosts without such an element, the
 innermost block that holds most of the text that isn't links. A page is matched with the wrapper of its host, and the
-texts in kept slots are its blocks. A page in which nothing matches is matched with a wrapper of its own.
-
-Null and empty pages have an empty text. A null url is a host of its own. Repeated rows are returned each. Only page_id,
-url and html are read; other columns can't clash. An empty table gives an empty result.
+texts in kept blocks are its main text. On hosts whose pages have no article or main element, it is the slots that
+decide: a place in the tree whose text is the same on over half of the host's different pages holds fixed text of the
+wrapper, which drops out, whatever its neighbours fold into; the texts of slots stay. Inside an article nothing is taken
+for fixed, as a line that many articles share is still part of each. A page in which nothing matches, and a page of a
+host that has only one, is matched with a wrapper of its own.
+
+Blocks nested deeper than MAX_DEPTH are read at that depth, as browsers do; no text is lost by it. Null and empty pages
+have an empty text. A null url is a host of its own. Repeated rows are returned each, and count once where fixed text is
+told. Only page_id, url and html are read; other columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,17 +25,21 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import durable, slices, small_batches
+from quaver.llm.common import durable, hot_keys, slices, small_batches, split_join
 
 MAX_PERIOD = 4
-#: A fixed text longer than this counts as a slot.
-MAX_FIXED = 80
+#: Blocks inside one another; deeper ones stand at this depth.
+MAX_DEPTH = 160
+#: Steps of an exact alignment of two levels; larger ones are aligned with the next equal block.
+MAX_STEPS = 1_000_000
 #: Wrappers up to this size in all are sent to all tasks; beyond it pages are joined with them by host.
 MAX_BROADCAST_BYTES = 8_000_000
 #: Parts into which a host's wrappers are split before the last alignment.
@@ -50,9 +59,10 @@ DROP_WORDS = re.compile(
 MAIN_WORDS = re.compile(r"(?:^|[-_ .])(?:article|content|post|entry|story|main|text|body)(?=$|[-_ .])")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*)>|<[/!?][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
-# A text is ["#", fixed text or None, optional, characters, of these in links, place of the page's text];
+# A text is ["#", fixed text's hash or None, optional, characters, of these in links, place of the page's text];
 # a block is [key, items, optional, repeated]; a repeated run of several blocks has the key "()".
 
 
@@ -79,7 +89,7 @@ def parse(page: str) -> tuple[list, list[str]]:
             text = " ".join(html.unescape("".join(part)).split())
             part.clear()
             if text:
-                stack[-1][1][1].append(["#", text if len(text) <= MAX_FIXED else None, False, len(text), min(links, len(text)), len(texts)])
+                stack[-1][1][1].append(["#", hash_of(text), False, len(text), min(links, len(text)), len(texts)])
                 texts.append(text)
             links = 0
 
@@ -125,13 +135,22 @@ def parse(page: str) -> tuple[list, list[str]]:
             at = stop.end() if stop else end
             continue
         node: list = [key_of(tag, m[3] or ""), [], False, False]
-        stack[-1][1][1].append(node)
+        stack[-2 if len(stack) > MAX_DEPTH and tag not in VOID else -1][1][1].append(node)
         if tag not in VOID and not (m[3] or "").endswith("/"):
+            if len(stack) > MAX_DEPTH:
+                above = stack.pop()  # its end tag will find nothing to close
+                if unwanted(above[1][0]) and not node[0].endswith("!"):
+                    node[0] += "!"
             stack.append((tag, node))
     flush()
     return root[1], texts
 
 
+def hash_of(text: str) -> int:
+    """63 bits that name a text."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+
+
 def copied(items: list) -> list:
     """Items without places in a page."""
     return [x[:5] if x[0] == "#" else [x[0], copied(x[1]), x[2], x[3]] for x in items]
@@ -183,24 +202,54 @@ def aligned(one: list, two: list) -> list:
     if shape(one) == shape(two):
         return [joined(x, y) for x, y in zip(one, two, strict=True)]
     n, m = len(one), len(two)
+    if n * m > MAX_STEPS:
+        pairs = next_equal(shape(one), shape(two))
+    else:
+        pairs = common(shape(one), shape(two))
+    out, i, j = [], 0, 0
+    for x, y in [*pairs, (n, m)]:
+        for z in one[i:x] + two[j:y]:
+            z = list(z)
+            z[2] = True
+            out.append(z)
+        if x < n:
+            out.append(joined(one[x], two[y]))
+        i, j = x + 1, y + 1
+    return folded(out) if any(x[0] == y[0] for x, y in zip(out, out[1:], strict=False)) else out
+
+
+def common(one: tuple, two: tuple) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence."""
+    n, m = len(one), len(two)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if one[i][0] == two[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if one[i] == two[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and one[i][0] == two[j][0]:
-            out.append(joined(one[i], two[j]))
+    while i < n and j < m:
+        if one[i] == two[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            if j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-                x, i = one[i], i + 1
-            else:
-                x, j = two[j], j + 1
-            x = list(x)
-            x[2] = True
-            out.append(x)
-    return folded(out) if any(x[0] == y[0] for x, y in zip(out, out[1:], strict=False)) else out
+            j += 1
+    return out
+
+
+def next_equal(one: tuple, two: tuple) -> list[tuple[int, int]]:
+    """The places of a common subsequence: each of one with the next equal of two that isn't far ahead."""
+    places: dict[str, list[int]] = {}
+    for j, k in enumerate(two):
+        places.setdefault(k, []).append(j)
+    out, j, near = [], 0, max(16, len(two) // max(1, len(one)) * 16)
+    for i, k in enumerate(one):
+        at = places.get(k, [])
+        p = bisect_left(at, j)
+        if p < len(at) and at[p] - j <= near:
+            out.append((i, at[p]))
+            j = at[p] + 1
+    return out
 
 
 def mass(items: list) -> int:
@@ -224,41 +273,57 @@ def roots(items: list, wanted) -> list:
     return out
 
 
-def main_blocks(items: list) -> list[int]:
-    """The ids of the wrapper's blocks whose texts are the main text."""
+def main_blocks(items: list) -> tuple[list[int], bool]:
+    """(the ids of the wrapper's blocks whose texts are the main text; whether an article or main element says so)."""
     for tag in ("article", "main"):
         found = [x for x in roots(items, lambda k, t=tag: k.partition(".")[0] == t or (t == "main" and "main" in k.partition(".")[2].split())) if mass(x[1])]
         if found:
-            return [id(x) for x in found]
+            return [id(x) for x in found], True
     named = roots(items, lambda k: MAIN_WORDS.search(k.partition(".")[2]) is not None and k.partition(".")[0] not in ("body", "html"))
     named.sort(key=lambda x: -mass(x[1]))
     if named and 2 * mass(named[0][1]) > mass(items):
-        return [id(named[0])]
+        return [id(named[0])], False
     block: list = ["", items]
     while True:
         inner = [x for x in block[1] if x[0] != "#" and not unwanted(x[0]) and x[0].partition(".")[0] in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center", "()")]
         best = max(inner, key=lambda x: mass(x[1]), default=None)
         if best is None or 2 * mass(best[1]) <= mass(block[1]) or best[0] == "()":
-            return [id(block) if block[0] else 0]
+            return [id(block) if block[0] else 0], False
         block = best
 
 
+def places_of(items: list, above: int = 0) -> Iterator[tuple[int, int]]:
+    """(name of a text together with the blocks that it is in, its place) of a page's texts."""
+    for x in items:
+        if x[0] == "#":
+            yield hash_of(f"{above}#{x[1]}"), x[5]
+        else:
+            yield from places_of(x[1], hash_of(f"{above}/{x[0]}"))
+
+
 class Extractor:
-    """A labelled wrapper."""
+    """A labelled wrapper; fixed holds the names of texts that the host's pages share."""
 
-    def __init__(self, items: list):
+    def __init__(self, items: list, fixed: set[int]):
         self.items = items
-        self.main = set(main_blocks(items))
+        blocks, sure = main_blocks(items)
+        self.main, self.fixed = set(blocks), set() if sure else fixed
 
     def places(self, page: list) -> list[int]:
         """The places of the page's texts that fall into kept slots."""
         out: list[int] = []
         self._match(page, self.items, 0 in self.main, out)
+        if self.fixed and out:
+            still = {at for name, at in places_of(page) if name in self.fixed}
+            out = [at for at in out if at not in still]
         return out
 
     def _match(self, page: list, items: list, keep: bool, out: list[int]) -> None:
         flat = [y for x in items for y in (x[1] if x[0] == "()" else [x])]
         inside = {id(y): id(x) in self.main for x in items if x[0] == "()" for y in x[1]}
+        where: dict[str, list[int]] = {}
+        for k, y in enumerate(flat):
+            where.setdefault(y[0], []).append(k)
         at = 0
         for x in page:
             if x[0] == "#":
@@ -267,13 +332,12 @@ class Extractor:
                 continue
             if unwanted(x[0], keep):
                 continue
-            for k in [*range(at, len(flat)), *range(at)]:
-                if flat[k][0] == x[0]:
-                    at = k
-                    break
-            else:
+            found = where.get(x[0])
+            if not found:
                 self._match(x[1], [], keep, out)  # no page of the host that was aligned has it here
                 continue
+            p = bisect_left(found, at)
+            at = found[p] if p < len(found) else found[0]
             w = flat[at]
             self._match(x[1], w[1], keep or id(w) in self.main or inside.get(id(w), False), out)
 
@@ -282,10 +346,36 @@ def main_text(page: str, wrapper: Extractor | None) -> str:
     items, texts = parse(page)
     places = wrapper.places(items) if wrapper else []
     if not places and texts:
-        places = Extractor(folded(copied(items))).places(items)
+        places = Extractor(folded(copied(items)), set()).places(items)
     return "\n\n".join(texts[i] for i in places)
 
 
+def shared_texts(pages: DataFrame) -> DataFrame:
+    """(host, fixed): the names of texts, in their blocks, that over half of a host's different pages have; two at least.
+
+    Pages with an article or main tag aren't read for it. A text that so many pages have is at most twice as common
+    as an average page is long, so a row is as small as a page.
+    """
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html"):
+            hosts, names = [], []
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                if page and not ARTICLE.search(page):
+                    items = parse(page)[0]
+                    mine = {name for name, _ in places_of(items)}
+                    body = hash_of(",".join(map(str, sorted(mine))))
+                    hosts += [host] * (len(mine) + 1)
+                    names += [(body, None), *((body, name) for name in mine)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64())], ["host", "body", "name"])
+
+    rows = durable(pages.select("host", "html").mapInArrow(named, "host string, body long, name long").distinct())
+    many = rows.where("name is null").groupBy("host").agg(F.count("*").alias("pages"))
+    often = rows.where("name is not null").groupBy("host", "name").agg(F.count("*").alias("c"))
+    fixed = often.where("c > 1").join(many, "host").where("2 * c > pages")
+    return fixed.groupBy("host").agg(F.collect_list("name").alias("fixed"))
+
+
 def infer(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) of every host."""
 
@@ -326,25 +416,27 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select("page_id", url.alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     kind = dict(rows.dtypes)["page_id"]
-    wrappers = durable(infer(rows))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    known: dict[str, str] | None = None
+    wrappers = durable(infer(rows).join(shared_texts(rows), "host", "left"))
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + 8 * F.coalesce(F.size("fixed"), F.lit(0))), F.lit(0))).first()[0]
+    known: dict[str, tuple] | None = None
     if size <= MAX_BROADCAST_BYTES:
-        known = {r.host: r.wrapper for r in wrappers.collect()}
+        known = {r.host: (r.wrapper, r.fixed) for r in wrappers.collect()}
     else:
-        rows = rows.join(wrappers, "host", "left")
+        counts = rows.groupBy("host").count()
+        rows = split_join(rows, wrappers, "host", hot_keys(counts, "host", rows.count()), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[str, Extractor] = {}
         for b in slices(batches, "html"):
             texts = []
-            found = [known.get(h) for h in b.column("host").to_pylist()] if known is not None else b.column("wrapper").to_pylist()
-            for host, page, wrapper in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), found, strict=True):
-                if wrapper and host not in ready:
+            hosts = b.column("host").to_pylist()
+            found = [known.get(h, (None, None)) for h in hosts] if known is not None else zip(b.column("wrapper").to_pylist(), b.column("fixed").to_pylist(), strict=True)
+            for name, page, (wrapper, fixed) in zip(hosts, b.column("html").to_pylist(), found, strict=True):
+                if wrapper and name not in ready:
                     if len(ready) > 1000:
                         ready.clear()
-                    ready[host] = Extractor(json.loads(wrapper))
-                texts.append(main_text(page, ready.get(host)) if page else "")
+                    ready[name] = Extractor(json.loads(wrapper), set(fixed or []))
+                texts.append(main_text(page, ready.get(name)) if page else "")
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

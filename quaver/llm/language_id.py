@@ -1,23 +1,22 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions, labels every position, and a document's probabilities are
-the mean over all positions of all its words. Words (runs of bytes other than ASCII white space, long ones in pieces
-of SEGMENT bytes) are read apart from each other, so each distinct word of a task is read once, whatever the number of
-documents that hold it. Training is plain numpy: backpropagation through time and Adam, on the driver, on words of a
-bounded sample of labelled documents.
+The network reads a text's bytes (A-Z as a-z) in both directions, white space included, labels every position, and a
+document's probabilities are the mean over all positions of the whole text that aren't white space. A text is read in
+stretches of CORE bytes with MARGIN bytes before and after, which only warm up the state: so the state runs on over
+words, a stretch costs bounded memory, and every byte is labelled once with its surroundings known. Training is plain
+numpy: backpropagation through time and Adam, on the driver, over windows of a bounded sample of labelled documents.
 
-The sample: for each language up to SAMPLE_DOCS documents of at most SAMPLE_BYTES together, by hash of doc_id, whole
-texts; documents for which `held_out` holds are never learned from. All other rows are only predicted, from their text
-alone. At most MAX_LANGUAGES languages are learned, the most frequent ones.
+The sample: for each language up to SAMPLE_DOCS documents of at most SAMPLE_BYTES together (SAMPLE_TOTAL over all
+languages), by hash of doc_id, whole texts; documents for which `held_out` holds are never learned from. All languages
+are learned. All other rows are only predicted, from their text alone.
 
 Null texts and texts without a letter are `und` with score 0; so is everything if there is nothing to learn from.
-Repeated rows are predicted alike. predict() reads doc_id, text and lang only; other columns can't clash. An empty
-table gives an empty result.
+Repeated rows are predicted alike. A null doc_id stays null. predict() reads doc_id, text and lang only; other columns
+can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +26,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.llm.common import slices, small_batches, utf8
-from quaver.llm.words import Memo, Words, word_bytes, words
-
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 300, 1_000_000, 200
-SEGMENT = 24
-EMBED, HIDDEN = 12, 16
-STEPS, BATCH, RATE, SEED = 260, 512, 0.012, 7
+from quaver.llm.words import LOWER, SPACE
+
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOTAL = 300, 1_000_000, 64_000_000
+#: Bytes of a stretch that are labelled, and bytes read before and after them; stretches read at once.
+CORE, MARGIN, STRETCHES = 448, 32, 512
+EMBED, HIDDEN = 12, 12
+#: Training: batches of BATCH windows of WINDOW bytes.
+STEPS, BATCH, WINDOW, RATE, SEED = 320, 96, 80, 0.012, 7
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): between -1 and 1 like tanh, with slope (1 - |y|)**2, at a seventh of its cost."""
+    return x / (1 + np.abs(x))
 
 
 class Network:
@@ -66,9 +68,9 @@ class Network:
         for t in steps:
             g = table[x[t]]
             a = h @ u
-            zr = _sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+            zr = 0.5 * squash(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]) + 0.5
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(g[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+            n = squash(g[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
             new = n + z * (h - n)
             m = mask[t][:, None]
             if keep:
@@ -77,12 +79,49 @@ class Network:
             out[t] = h
         return out, saved
 
-    def posteriors(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Probabilities [time, word, language]."""
-        both = np.concatenate([self._pass(x, mask, "f", False)[0], self._pass(x, mask, "b", False)[0]], axis=2)
-        s = both @ self.p["V"] + self.p["c"]
-        s = np.exp(s - s.max(2, keepdims=True))
-        return s / s.sum(2, keepdims=True)
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """States [time, hidden, stretch] of one direction over bytes [time, stretch], read from the first on."""
+        table = np.ascontiguousarray((self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]).T)
+        u, x = np.ascontiguousarray(self.p[f"U{d}"].T), x.astype(np.intp)
+        n = x.shape[1]
+        out, h = np.empty((len(x), HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+        g, a, zr, low, new = (np.empty((k * HIDDEN, n), np.float32) for k in (3, 3, 2, 2, 1))
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+
+        def squashed(v: np.ndarray, w: np.ndarray) -> None:
+            np.abs(v, out=w)
+            w += 1
+            v /= w
+
+        for t in range(len(x)):
+            np.take(table, x[t], axis=1, out=g, mode="clip")
+            np.matmul(u, h, out=a)
+            np.add(g[: 2 * HIDDEN], a[: 2 * HIDDEN], out=zr)
+            squashed(zr, low)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(r, a[2 * HIDDEN :], out=new)
+            new += g[2 * HIDDEN :]
+            squashed(new, low[:HIDDEN])
+            h -= new
+            h *= z
+            h += new
+            out[t] = h
+        return out
+
+    def posteriors(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Probabilities [time, language, stretch] of stretches of size[i] bytes; what lies beyond a stretch has no meaning."""
+        ahead = self.p["V"][:HIDDEN].T @ self._states(x, "f") + self.p["c"][:, None]
+        if size.min() == size.max():
+            back = (self.p["V"][HIDDEN:].T @ self._states(x[::-1], "b"))[::-1]
+        else:
+            turned, column = np.maximum(size - 1 - np.arange(len(x))[:, None], 0), np.arange(x.shape[1])
+            back = np.moveaxis((self.p["V"][HIDDEN:].T @ self._states(x[turned, column], "b"))[turned, :, column], 2, 1)
+        s = ahead + back
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(1, keepdims=True)
+        return s
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """(loss, gradient) of the mean cross-entropy over positions; y: language of each word."""
@@ -105,9 +144,9 @@ class Network:
             for t, h, z, r, n, a, m in reversed(runs[d][1]):
                 dh = back + up[t][:, part]
                 live = dh * m
-                dn = live * (1 - z) * (1 - n * n)
-                dz = live * (h - n) * z * (1 - z)
-                dr = dn * a * r * (1 - r)
+                dn = live * (1 - z) * (1 - np.abs(n)) ** 2
+                dz = live * (h - n) * (1 - np.abs(2 * z - 1)) ** 2 / 2
+                dr = dn * a * (1 - np.abs(2 * r - 1)) ** 2 / 2
                 gate, inner = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
                 grads[f"U{d}"] += h.T @ inner
                 np.add.at(into, x[t], gate)
@@ -117,15 +156,18 @@ class Network:
             grads["E"] += into @ w.T
         return loss, grads
 
-    def train(self, found: list[bytes], y: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> float:
-        """Adam over batches of words drawn by weight; the mean loss of the last 20 steps."""
+    def train(self, texts: list[np.ndarray], y: np.ndarray, steps: int = STEPS) -> float:
+        """Adam over batches of windows, as many of each language; the mean loss of the last 20 steps."""
         r = np.random.default_rng(SEED)
-        weight = weight / weight.sum()
-        first, second, losses = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), None, []
-        first, second = first
+        weight = np.sqrt(np.array([len(t) for t in texts], float))
+        weight = weight / np.bincount(y, weight)[y]
+        weight /= weight.sum()
+        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        losses = []
         for step in range(1, steps + 1):
-            pick = r.choice(len(found), BATCH, p=weight)
-            x, mask = pad([found[i] for i in pick])
+            pick = r.choice(len(texts), BATCH, p=weight)
+            begin = [int(r.integers(0, max(1, len(texts[i]) - WINDOW + 1))) for i in pick]
+            x, mask = pad([texts[i][a : a + WINDOW].tobytes() for i, a in zip(pick, begin, strict=True)])
             loss, grads = self.gradients(x, mask, y[pick])
             losses.append(loss)
             rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
@@ -135,19 +177,23 @@ class Network:
                 self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
         return float(np.mean(losses[-20:]))
 
-    def word_sums(self, found: list[bytes]) -> np.ndarray:
-        """For each word, the sum of its positions' probabilities."""
-        pieces, owner = [], []
-        for i, w in enumerate(found):
-            for a in range(0, len(w), SEGMENT):
-                pieces.append(w[a : a + SEGMENT])
-                owner.append(i)
-        out = np.zeros((len(found), len(self.languages)), np.float64)
-        order, owner = sorted(range(len(pieces)), key=lambda i: len(pieces[i])), np.array(owner)
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            x, mask = pad([pieces[i] for i in some])
-            np.add.at(out, owner[some], (self.posteriors(x, mask) * mask[:, :, None]).sum(0))
+    def text_sums(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """For each text data[offs[i]:offs[i+1]], the sum of its positions' probabilities, white space left out."""
+        out = np.zeros((len(offs) - 1, len(self.languages)))
+        parts = -(-np.diff(offs) // CORE)
+        doc = np.repeat(np.arange(len(parts)), parts)
+        core = offs[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * CORE
+        stop = np.minimum(core + CORE, offs[doc + 1])
+        start, end = np.maximum(core - MARGIN, offs[doc]), np.minimum(stop + MARGIN, offs[doc + 1])
+        order = np.argsort(end - start, kind="stable")
+        for at in range(0, len(order), STRETCHES):
+            some = order[at : at + STRETCHES]
+            size = end[some] - start[some]
+            place = start[some] + np.arange(size.max())[:, None]
+            x = data[np.minimum(place, len(data) - 1)]
+            counts = ((place >= core[some]) & (place < stop[some]) & ~SPACE[x]).astype(np.float32)
+            sums = np.einsum("tks,ts->sk", self.posteriors(x, size), counts)
+            np.add.at(out, doc[some], sums)
         return out
 
 
@@ -163,68 +209,42 @@ def sample(docs: DataFrame, held_out: Column) -> list:
     """(text, lang) rows to learn from, within the bounds of the module."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    known = rows.groupBy("lang").count().collect()
     if not known:
         return []
+    most = min(SAMPLE_BYTES, SAMPLE_TOTAL // len(known))
     scale = 1 << 20
     limits = rows.sparkSession.createDataFrame([(r["lang"], min(scale, -(-4 * SAMPLE_DOCS * scale // r["count"]))) for r in known], "lang string, most long")
     few = rows.join(F.broadcast(limits), "lang").where(F.pmod("h", F.lit(scale)) < F.col("most"))
     first = Window.partitionBy("lang").orderBy("h", "text")
     few = few.withColumn("i", F.row_number().over(first)).where(F.col("i") <= SAMPLE_DOCS)
     few = few.withColumn("bytes", F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, 0)))
-    return few.where((F.col("bytes") <= SAMPLE_BYTES) | (F.col("i") == 1)).select("text", "lang").orderBy("lang", "h").collect()
+    return few.where((F.col("bytes") <= most) | (F.col("i") == 1)).select("text", "lang").orderBy("lang", "h").collect()
 
 
 def train(docs: DataFrame, held_out: Column) -> Network | None:
     """A network trained on a sample of docs; None if there is none."""
-    counts: Counter = Counter()
-    for row in sample(docs, held_out):
-        data, offs = utf8(pa.array([row.text]))
-        w = words(data, offs)
-        for x in word_bytes(data, w, np.arange(len(w.hash)), lower=True):
-            for a in range(0, len(x), SEGMENT):
-                counts[x[a : a + SEGMENT], row.lang] += 1
-    if not counts:
+    rows = [(r.lang, LOWER[np.frombuffer(r.text.encode(), np.uint8)]) for r in sample(docs, held_out) if r.text.strip()]
+    if not rows:
         return None
-    languages = sorted({lang for _, lang in counts})
-    at = {lang: i for i, lang in enumerate(languages)}
-    pairs = sorted(counts)
-    y = np.array([at[lang] for _, lang in pairs])
-    n = np.sqrt(np.array([counts[p] for p in pairs], float))
-    weight = n / np.bincount(y, n)[y]  # every language weighs alike
-    net = Network(languages)
-    net.train([x for x, _ in pairs], y, weight)
+    net = Network(sorted({lang for lang, _ in rows}))
+    at = {lang: i for i, lang in enumerate(net.languages)}
+    net.train([t for _, t in rows], np.array([at[lang] for lang, _ in rows]))
     return net
 
 
-class Labeller:
-    """Document probabilities, with each distinct word of a task read once."""
-
-    def __init__(self, net: Network | None):
-        self.net, self.memo = net, Memo(300_000)
-        self.sums = np.zeros((0, len(net.languages) if net else 1))
-        self.letters = np.zeros(0, bool)
-
-    def label(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        """(language, probability) of each text."""
-        data, offs = utf8(column)
-        w: Words = words(data, offs)
-        n = len(w.bounds) - 1
-        if self.net is None:
-            return [UNKNOWN] * n, np.zeros(n)
-        number, new, void = self.memo.number(w.hash)
-        found = word_bytes(data, w, new, lower=True)
-        sums, letters = self.net.word_sums(found), np.array([_LETTER.search(x.decode()) is not None for x in found], bool)
-        if void:
-            self.sums, self.letters = sums, letters
-        else:
-            self.sums, self.letters = np.concatenate([self.sums, sums]), np.concatenate([self.letters, letters])
-        total = np.stack([np.bincount(w.doc, self.sums[number, k], n) for k in range(len(self.net.languages))], 1)
-        known = np.bincount(w.doc, self.letters[number], n) > 0
-        mean = total / np.maximum(total.sum(1, keepdims=True), 1e-12)
-        best = mean.argmax(1)
-        lang = [self.net.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-        return lang, np.where(known, np.clip(mean[np.arange(n), best], 0, 1), 0.0)
+def label(net: Network | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(language, probability) of each text."""
+    data, offs = utf8(column)
+    n = len(offs) - 1
+    if net is None:
+        return [UNKNOWN] * n, np.zeros(n)
+    total = net.text_sums(LOWER[data], offs)
+    known = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
+    mean = total / np.maximum(total.sum(1, keepdims=True), 1e-12)
+    best = mean.argmax(1)
+    lang = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+    return lang, np.where(known, np.clip(mean[np.arange(n), best], 0, 1), 0.0)
 
 
 def predict(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -233,9 +253,8 @@ def predict(docs: DataFrame, held_out: Column) -> DataFrame:
     net = train(docs, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(net)
         for b in slices(batches, "text"):
-            lang, score = labeller.label(b.column("text"))
+            lang, score = label(net, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -248,9 +267,8 @@ def keep_known(docs: DataFrame, held_out: Column, least: float) -> DataFrame:
     net = train(docs, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(net)
         for b in slices(batches, "text"):
-            lang, score = labeller.label(b.column("text"))
+            lang, score = label(net, b.column("text"))
             yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,10 +55,10 @@ def test_suffix_tree_is_a_distribution(spark):
     docs = rows.select("doc_id", "text")
     counts = suffix_tree.counted(docs, lambda c: suffix_tree.tokens(c)[0])
     m = suffix_tree.learn(docs, counts)
-    assert m.state1.any()
-    for k in np.flatnonzero(m.state1):
-        mine = m.keys1 // len(m.hash) == k
-        assert m.add1[mine].sum() + m.rest1[k] == pytest.approx(1)
+    assert len(m.levels) == suffix_tree.DEPTH and m.levels[0].count()
+    for rows in m.levels:
+        for r in rows.groupBy("a").agg(F.sum(F.col("p") - F.col("rest") * F.col("below")).alias("stored"), F.first("rest").alias("rest")).collect():
+            assert r.stored + r.rest == pytest.approx(1)
 
 
 def test_packing(spark, odd):
@@ -273,6 +273,35 @@ def test_language_learns(spark):
     assert all(g.lang_pred == ("xx", "yy")[g.doc_id % 2] for g in got) and len(got) == 20
 
 
+def test_stretches_are_the_network(monkeypatch):
+    """Labels of the fast reading are those of a plain pass over each stretch, and the state runs on over words."""
+    net = language_id.Network(["a", "b", "c"], 3)
+    texts = [b"one two", b"", b"x" * 700 + b" and more words behind it " * 30, b" \n ", "\u00e9t\u00e9".encode() * 200]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = net.text_sums(data, offs)
+    for text, sums in zip(texts, got, strict=True):
+        want = np.zeros(3)
+        for core in range(0, len(text), language_id.CORE):
+            start, stop = max(0, core - language_id.MARGIN), min(len(text), core + language_id.CORE)
+            x, mask = language_id.pad([text[start : min(len(text), stop + language_id.MARGIN)]])
+            both = np.concatenate([net._pass(x, mask, d, False)[0] for d in "fb"], axis=2)
+            e = np.exp(both @ net.p["V"] + net.p["c"])
+            p = (e / e.sum(2, keepdims=True))[:, 0]
+            want += sum((p[i - start] for i in range(core, stop) if text[i] not in b" \t\n\x0b\x0c\r"), np.zeros(3))
+        assert sums == pytest.approx(want, rel=1e-3, abs=1e-4)
+    one, other = (net.text_sums(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b"word next", b"next word"))
+    assert np.abs(one - other).max() > 1e-3
+    monkeypatch.setattr(language_id, "STRETCHES", 2)
+    assert net.text_sums(data, offs) == pytest.approx(got, rel=1e-4)
+
+
+def test_language_without_ids(spark):
+    docs = spark.createDataFrame([(None, "abc abc", "xx"), (1, "abc", "xx"), (None, None, "yy"), (1, "abc", None)], "doc_id long, text string, lang string")
+    got = [tuple(r)[:3] for r in language_id.predict(docs, F.col("doc_id") == 1).collect()]
+    assert sorted(got, key=str) == sorted([(None, False, "xx"), (1, True, "xx"), (None, False, "und"), (1, True, "xx")], key=str)
+    assert {c for c in language_id.keep_known(docs, F.lit(False), 0.3).columns} == {"doc_id", "text", "lang"}
+
+
 def test_gradients():
     net = language_id.Network(["a", "b"], 1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -395,6 +424,34 @@ def test_html(spark):
     assert html_wrappers.extract(table.limit(0)).count() == 0
 
 
+def test_slots_decide_where_no_element_says_article(spark):
+    """Lines that the pages of a host share drop out, wherever they stand; the texts that differ stay."""
+    page = "<html><body><div class='x'><p>Share this story</p>{}<p>Copyright notice of site</p></div></body></html>"
+    bodies = [[f"body {i} {k} with words of its own" for k in range(1 + i % 3)] for i in range(6)]
+    rows = [(i, f"http://one.host/{i}", page.format("".join(f"<p>{t}</p>" for t in body))) for i, body in enumerate(bodies)]
+    rows += [(10, "http://two.host/1", page.format("<p>first of two</p>")), (11, "http://two.host/2", page.format("<p>second of two</p>"))]
+    same = "<html><body><article><p>a line of every article</p>{}</article></body></html>"
+    rows += [(20 + i, f"http://three.host/{i}", same.format(f"<p>number {i}</p>")) for i in range(4)]
+    rows += [(30 + i, "http://four.host/", "<body><p>one page, stored twice</p></body>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == ["\n\n".join(b) for b in bodies]
+    assert got[10] == "first of two" and got[11] == "second of two"
+    assert all(got[20 + i] == f"a line of every article\n\nnumber {i}" for i in range(4))
+    assert got[30] == got[31] == "one page, stored twice"
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 100_000 + "<p>deep text</p>" + "</div>" * 100_000 + "<p>after</p>"
+    wide = "".join(f"<p>t{i}</p><hr class='c{i * i % 97}'>" for i in range(6000))
+    menu = "<div>" * 1000 + "<nav><ul><li>menu</li></ul></nav><p>text</p>"
+    rows = [(1, "http://d/1", deep), (2, "http://d/2", deep.replace("deep", "other")), (3, "http://w/1", wide), (4, "http://w/2", wide.replace("c5'", "d5'").replace("t", "u")), (5, "http://m/1", menu), (6, "http://s/", "</x>" * 100_000 + "<li>" * 3000 + "end")]
+    began = time.time()
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "deep text" in got[1] and "other text" in got[2] and got[3].split("\n\n") == [f"t{i}" for i in range(6000)]
+    assert "text" in got[5] and "menu" not in got[5] and got[6] == "end"
+    assert time.time() - began < 120
+
+
 def test_wrappers_fold():
     items = html_wrappers.folded(html_wrappers.copied(html_wrappers.parse("<ul><li>a<li>b<li>c</ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>")[0]))
     assert items[0][0] == "ul" and items[0][1][0][3] and items[1][0] == "()" and [x[0] for x in items[1][1]] == ["h2", "p"]

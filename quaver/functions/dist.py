@@ -53,14 +53,43 @@ def binomial_log_pmf(k: int, n: int, p: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
 
 
+def beta_inc(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction; the cost doesn't grow with a or b beyond a root."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_inc(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    h = d
+    for m in range(1, 100_000):
+        for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + numerator * d or 1e-300)
+            c = 1 + numerator / c or 1e-300
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return min(1.0, front * h)
+
+
 def binomial_sf(k: int, n: int, p: float = 0.5) -> float:
     """P(X >= k)."""
-    return min(1.0, math.fsum(math.exp(binomial_log_pmf(i, n, p)) for i in range(max(0, k), n + 1)))
+    return 1.0 if k <= 0 else 0.0 if k > n else beta_inc(k, n - k + 1, p)
 
 
 def binomial_two_sided(k: int, n: int, p: float = 0.5) -> float:
-    at = binomial_log_pmf(k, n, p) + 1e-7
-    return min(1.0, math.fsum(math.exp(v) for v in (binomial_log_pmf(i, n, p) for i in range(n + 1)) if v <= at))
+    """The probability of all outcomes that are no more likely than k."""
+    bar = binomial_log_pmf(k, n, p) + 1e-7
+    mode = min(n, int((n + 1) * p))
+    if k == mode:
+        return 1.0
+    low, high = (mode, n + 1) if k < mode else (-1, mode)
+    while high - low > 1:  # the tail on the other side begins where the probability falls to that of k
+        mid = (low + high) // 2
+        rare = binomial_log_pmf(mid, n, p) <= bar
+        low, high = (low, mid) if rare == (k < mode) else (mid, high)
+    left, right = (k, high) if k < mode else (low, k)
+    return min(1.0, (1 - binomial_sf(left + 1, n, p)) + binomial_sf(right, n, p))
 
 
 def least_detectable_deviation(n: int, alpha: float = 0.05, power: float = 0.8) -> float:

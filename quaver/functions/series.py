@@ -1,8 +1,8 @@
 """Time series in chunks: rolling windows and recursions that need not have a whole symbol in one task.
 
 A chunk is a fixed span of time of one symbol. Rolling windows run inside chunks, whose rows are preceded by a halo of
-as many rows as the window is long. Recursions are affine, y = a * y_before + b: each chunk is summed up as one such
-step, the few steps of a symbol are chained, and every chunk then runs from its own start.
+as many rows as the window is long. Recursions are affine, y = a * y_before + b: the steps of a chunk are composed, the
+few composed steps of a symbol are chained, and every row then follows from the start of its chunk.
 """
 
 from __future__ import annotations
@@ -54,41 +54,35 @@ def when_full(value: Column, over: Window, n: int, counted: str) -> Column:
     return F.when(F.count(counted).over(over) == n, value)
 
 
-def affine(rows: DataFrame, a: str, bs: dict[str, str]) -> DataFrame:
-    """Adds, for each name: b of `bs`, y = a * y_before + b along each symbol's epochs; y before the first row is 0."""
-    names = list(bs)
-    slim = rows.select("symbol", "chunk", "epoch", F.col(a).cast("double").alias("_a"), *[F.col(b).cast("double").alias(f"_b{i}") for i, b in enumerate(bs.values())])
-
-    def run(pdf: pd.DataFrame, start: list[float]) -> np.ndarray:
-        steps = pdf["_a"].to_numpy()
-        adds = pdf[[f"_b{i}" for i in range(len(names))]].to_numpy()
-        out, y = np.empty_like(adds), np.array(start, float)
-        for i in range(len(steps)):
-            y = steps[i] * y + adds[i]
-            out[i] = y
-        return out
-
-    ends = ", ".join(f"y{i} double" for i in range(len(names)))
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        end = run(pdf, [0.0] * len(names))[-1]
-        return pd.DataFrame([[pdf["symbol"].iloc[0], pdf["chunk"].iloc[0], pdf["_a"].prod(), *end]], columns=["symbol", "chunk", "product", *[f"y{i}" for i in range(len(names))]])
-
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, y, out = pdf.sort_values("chunk"), np.zeros(len(names)), []
-        for row in pdf.itertuples(index=False):
-            out.append([row.symbol, row.chunk, *y])
-            y = row.product * y + np.array(row[3:])
-        return pd.DataFrame(out, columns=["symbol", "chunk", *[f"y{i}" for i in range(len(names))]])
-
-    starts = slim.groupBy("symbol", "chunk").applyInPandas(summed, f"symbol string, chunk long, product double, {ends}")
-    starts = starts.groupBy("symbol").applyInPandas(chained, f"symbol string, chunk long, {ends}")
-
-    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        out = run(pdf, [pdf[f"y{i}"].iloc[0] for i in range(len(names))])
-        return pd.concat([pdf[["symbol", "epoch"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
-
-    done = slim.join(starts, ["symbol", "chunk"]).groupBy("symbol", "chunk").applyInPandas(placed, "symbol string, epoch long, " + ", ".join(f"{n} double" for n in names))
+def scanned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The steps y = a * y_before + b put one after another: after row i, y is a[i] * start + b[i]. log2(n) rounds of whole arrays."""
+    a, b, d = a.copy(), b.copy(), 1
+    while d < len(a):
+        b[d:] = a[d:] * b[:-d] + b[d:]
+        a[d:] = a[d:] * a[:-d]
+        d *= 2
+    return a, b
+
+
+def affine(rows: DataFrame, **steps: tuple[Column, Column]) -> DataFrame:
+    """Adds, for each name, y = a * y_before + b along each symbol's epochs, from its columns (a, b); y before the first row is 0.
+
+    A chunk's rows are composed as arrays, chunks are chained by their last rows, and the values follow from both.
+    """
+    names = list(steps)
+    slim = rows.select("symbol", "chunk", "epoch", *[c.cast("double").alias(f"{k}{i}") for i, pair in enumerate(steps.values()) for k, c in zip("ab", pair, strict=True)])
+    columns = [f"{k}{i}" for i in range(len(names)) for k in "ab"]
+    ends = ", ".join(f"{c} double" for c in columns)
+
+    def composed(pdf: pd.DataFrame, order: str) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        a, b = scanned(pdf[[f"a{i}" for i in range(len(names))]].to_numpy(), pdf[[f"b{i}" for i in range(len(names))]].to_numpy())
+        return pdf.assign(**{f"a{i}": a[:, i] for i in range(len(names))}, **{f"b{i}": b[:, i] for i in range(len(names))})
+
+    done = slim.groupBy("symbol", "chunk").applyInPandas(lambda pdf: composed(pdf, "epoch"), f"symbol string, chunk long, epoch long, {ends}")
+    last_rows = done.groupBy("symbol", "chunk").agg(*[F.max_by(c, "epoch").alias(c) for c in columns])
+    chained = last_rows.groupBy("symbol").applyInPandas(lambda pdf: composed(pdf, "chunk"), f"symbol string, chunk long, {ends}")
+    before = Window.partitionBy("symbol").orderBy("chunk")
+    starts = chained.select("symbol", "chunk", *[F.coalesce(F.lag(f"b{i}").over(before), F.lit(0.0)).alias(f"y{i}") for i in range(len(names))])
+    done = done.join(starts, ["symbol", "chunk"]).select("symbol", "epoch", *[(F.col(f"a{i}") * F.col(f"y{i}") + F.col(f"b{i}")).alias(n) for i, n in enumerate(names)])
     return rows.join(done, ["symbol", "epoch"])

@@ -1,4 +1,4 @@
-"""Edge research: outcomes of non-overlapping trades, one row for each hypothesis, pooled rows, break-even, resampling.
+"""Edge research: outcomes of non-overlapping trades, one row for each hypothesis, pooled rows, break-even.
 
 A hypothesis is (flag, horizon, direction, split) of one symbol, or of all. Candidates stand at every `horizon`-th candle
 of a contiguous run inside a split; the first 70 % of a symbol's candles are for discovery, the rest for confirmation.
@@ -6,133 +6,230 @@ of a contiguous run inside a split; the first 70 % of a symbol's candles are for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.functions.series import chunk_of, segmented
-from quaver.operators import screen, stats
-from quaver.operators.trades import Product, forward_trades
+from quaver.operators import ledger, resampling, screen, stats
+from quaver.operators.trades import Product, numbered, paths, settled
 
 HORIZONS, DISCOVERY = (1, 5, 15), 0.7
 DIRECTIONS = {"long": 1.0, "short": -1.0}
-
-
-def numbered(rows: DataFrame, step: int, keys: list[str]) -> DataFrame:
-    """Adds at, a row's number from 0 by epoch among its keys: its number in its chunk plus the rows of chunks before."""
-    rows = rows.withColumn("_chunk", chunk_of(step))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_c")).select(*keys, "_chunk", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("epoch"))
-    return rows.withColumn("_in", inside).join(base, [*keys, "_chunk"]).withColumn("at", F.col("_base") + F.col("_in") - 1).drop("_chunk", "_base", "_in")
+SPLITS = ("discovery", "confirmation")
+KEYS = ["flag", "horizon", "direction", "split"]
+#: Candidates of a hypothesis in one symbol that are turned in memory; longer series are refused, not cut.
+MAX_SERIES = 1 << 22
 
 
 def split_starts(candles: DataFrame, step: int) -> DataFrame:
     """(symbol, boundary): the epoch of the first candle for confirmation; null where there is none."""
     rows = numbered(candles.select("symbol", "epoch"), step, ["symbol"])
     n = candles.groupBy("symbol").agg(F.count("*").alias("n"))
-    return rows.join(F.broadcast(n), "symbol").groupBy("symbol").agg(F.min(F.when(F.col("at") >= F.floor(F.col("n") * DISCOVERY), F.col("epoch"))).alias("boundary"))
+    return rows.join(n, "symbol").groupBy("symbol").agg(F.min(F.when(F.col("at") >= F.floor(F.col("n") * DISCOVERY), F.col("epoch"))).alias("boundary"))
 
 
 def candidates(candles: DataFrame, step: int, product: Product, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """(symbol, decision, horizon, direction, split, gross, net in basis points of the stake)."""
-    starts = segmented(candles, step).select("symbol", F.col("epoch").alias("decision"), "segment")
-    bounds = split_starts(candles, step)
-
-    def of(horizon: int, name: str) -> DataFrame:
-        made = forward_trades(candles, step, F.lit(DIRECTIONS[name]), horizon, product)
-        return made.select("symbol", "decision", "exit_epoch", F.lit(horizon).alias("horizon"), F.lit(name).alias("direction"), *[(F.col(c) / product.stake * 10_000).alias(c) for c in ("gross", "net")])
+    """(symbol, decision, run, horizon, direction, split, gross, net in basis points of the stake); decision is the epoch of its candle.
 
-    rows = reduce(DataFrame.unionByName, [of(h, d) for h in horizons for d in DIRECTIONS])
-    rows = rows.join(starts, ["symbol", "decision"]).join(F.broadcast(bounds), "symbol")
-    late = F.coalesce(F.col("decision") >= F.col("boundary"), F.lit(False))
+    One frame of paths serves all horizons; a direction is a sign."""
+    rows = paths(candles, step, horizons).join(split_starts(candles, step), "symbol")
+    late = F.coalesce(F.col("at") >= F.col("boundary"), F.lit(False))
     begin = F.when(late, F.greatest("segment", "boundary")).otherwise(F.col("segment"))
-    apart = (F.col("decision") - begin) % (F.col("horizon") * step) == 0
-    inside = late | F.col("boundary").isNull() | (F.col("exit_epoch") < F.col("boundary"))
-    rows = rows.where(apart & inside).withColumn("split", F.when(late, "confirmation").otherwise("discovery"))
-    return rows.select("symbol", "decision", "horizon", "direction", "split", "gross", "net")
+    apart = (F.col("at") - begin) % (F.col("horizon") * step) == 0
+    inside = late | F.col("boundary").isNull() | (F.col("last") < F.col("boundary"))
+    rows = rows.withColumn("split", F.when(late, SPLITS[1]).otherwise(SPLITS[0])).withColumn("run", begin).where(apart & inside)
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("sign")) for n, v in DIRECTIONS.items()]))
+    rows = rows.withColumn("side", sides).withColumn("direction", F.col("side.sign"))
+    scale = 10_000 / product.stake
+    return settled(rows, step, product).select(
+        "symbol", F.col("at").alias("decision"), "run", "horizon", F.col("side.name").alias("direction"), "split", (F.col("gross") * scale).alias("gross"), (F.col("net") * scale).alias("net")
+    )
+
+
+def marked(candles: DataFrame, symbols: DataFrame, step: int) -> DataFrame:
+    """(symbol, decision, flags): the active flags of every candle that has one."""
+    active = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in screen.FLAGS]))
+    return screen.flagged(candles, symbols, step).select("symbol", F.col("epoch").alias("decision"), active.alias("flags")).where(F.size("flags") > 0)
 
 
 def flagged_candidates(candles: DataFrame, symbols: DataFrame, step: int, product: Product) -> DataFrame:
-    names = F.array(*[F.when(F.col(n), F.lit(n)) for n in screen.FLAGS])
-    flags = screen.flagged(candles, symbols, step).select("symbol", F.col("epoch").alias("decision"), F.explode(F.array_compact(names)).alias("flag"))
-    return candidates(candles, step, product).join(flags, ["symbol", "decision"])
+    rows = candidates(candles, step, product).join(marked(candles, symbols, step), ["symbol", "decision"])
+    return rows.withColumn("flag", F.explode("flags")).drop("flags")
 
 
-def hypotheses(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, means and the hit rate (ties left out) of each hypothesis; null means where nothing counts."""
+def outcomes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, means and the hit rate (ties left out) of each hypothesis that has a trade."""
     wins, real = F.count(F.when(F.col("net") > 0, 1)), F.count(F.when(F.col("net") != 0, 1))
-    return rows.groupBy(*keys, "flag", "horizon", "direction", "split").agg(
+    return rows.groupBy(*keys, *KEYS).agg(
         F.count("net").alias("n_effective"), real.alias("n_non_tied"), wins.alias("wins"), F.avg("gross").alias("gross_mean_bps"), F.avg("net").alias("net_mean_bps"), F.try_divide(wins, real).alias("hit_rate"),
     )
 
 
+def signals(candles: DataFrame, symbols: DataFrame, step: int) -> DataFrame:
+    """(symbol, flag, split, n_signals): flagged candles, whether a trade follows or not."""
+    rows = marked(candles, symbols, step).join(split_starts(candles, step), "symbol")
+    late = F.coalesce(F.col("decision") >= F.col("boundary"), F.lit(False))
+    rows = rows.withColumn("split", F.when(late, SPLITS[1]).otherwise(SPLITS[0])).withColumn("flag", F.explode("flags"))
+    return rows.groupBy("symbol", "flag", "split").agg(F.count("*").alias("n_signals"))
+
+
+def grid(candles: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Every hypothesis of every symbol, with a trade or without."""
+    rows = candles.select("symbol").distinct()
+    for name, values in zip(KEYS, (screen.FLAGS, horizons, DIRECTIONS, SPLITS), strict=True):
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows
+
+
+def hypotheses(candles: DataFrame, symbols: DataFrame, step: int, product: Product) -> DataFrame:
+    """Every hypothesis of every symbol and, as symbol ALL, of all together; those without trades have counts of 0 and null means."""
+    both = F.explode(F.array("symbol", F.lit("ALL")))
+    found = outcomes(flagged_candidates(candles, symbols, step, product).withColumn("symbol", both), ["symbol"])
+    many = signals(candles, symbols, step).withColumn("symbol", both).groupBy("symbol", "flag", "split").agg(F.sum("n_signals").alias("n_signals"))
+    rows = grid(candles).withColumn("symbol", both).distinct().join(found, ["symbol", *KEYS], "left").join(many, ["symbol", "flag", "split"], "left")
+    rows = rows.withColumn("scope", F.when(F.col("symbol") == "ALL", "pooled").otherwise("symbol"))
+    return rows.na.fill(0, ["n_effective", "n_non_tied", "wins", "n_signals"])
+
+
 def tested(rows: DataFrame) -> DataFrame:
-    """Adds the one-sided exact binomial p, its adjustment over all rows, and the Bonferroni p."""
-    rows = rows.withColumn("p", F.when(F.col("n_non_tied") > 0, stats.binomial_sf("wins", "n_non_tied", F.lit(0.5))).otherwise(1.0))
-    return stats.benjamini_hochberg(rows).withColumn("bonferroni", F.least(F.lit(1.0), F.col("p") * F.count("*").over(Window.partitionBy())))
+    """Adds the one-sided exact binomial p (1 without a trade that counts), its adjustment over all rows and the least detectable deviation."""
+    p = F.when(F.col("n_non_tied") > 0, stats.binomial_sf("wins", "n_non_tied", F.lit(0.5))).otherwise(1.0)
+    rows = rows.withColumn("binomial_p", p).withColumn("mde_points", stats.least_detectable(F.col("n_effective").cast("double")))
+    return stats.benjamini_hochberg(rows, "binomial_p", "binomial_adjusted_p")
+
+
+def turned(candles: DataFrame, symbols: DataFrame, step: int, product: Product) -> DataFrame:
+    """(symbol, hypothesis, decision, run, on, net): all candidates of a hypothesis and whether its flag is on."""
+    rows = candidates(candles, step, product).join(marked(candles, symbols, step), ["symbol", "decision"], "left")
+    each = F.array(*[F.struct(F.lit(f).alias("flag"), F.coalesce(F.array_contains("flags", f), F.lit(False)).alias("on")) for f in screen.FLAGS])
+    return rows.withColumn("x", F.explode(each)).select("symbol", "x.flag", "horizon", "direction", "split", "decision", "run", "x.on", "net")
+
+
+def shift_sums(on: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Entry k: the sum of value over the places of `on`, each k further, around the end."""
+    return np.fft.irfft(np.conj(np.fft.rfft(on.astype(float))) * np.fft.rfft(value), len(value)) if len(value) else np.zeros(0)
+
+
+def _turns(rows: DataFrame, test) -> DataFrame:
+    kind = "symbol string, flag string, horizon int, direction string, split string, p double"
+    names = ["symbol", *KEYS]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_SERIES:
+            raise ValueError(f"over {MAX_SERIES} candidates in one series")
+        pdf = pdf.sort_values("decision", ignore_index=True)
+        return pd.DataFrame([[*pdf.loc[0, names], test(pdf)]], columns=[*names, "p"])
+
+    return rows.groupBy(*names).applyInPandas(run, kind)
+
+
+def shift_p_all(rows: DataFrame) -> DataFrame:
+    """p of every hypothesis and symbol of turned() rows: how many turns of the marks over the whole split have as large a sum; 1 without a mark."""
 
+    def test(pdf: pd.DataFrame) -> float:
+        on = pdf["on"].to_numpy(bool)
+        if not on.any() or len(on) < 2:
+            return 1.0
+        sums = shift_sums(on, pdf["net"].to_numpy(float))
+        return float((1 + (sums[1:] >= sums[0] - 1e-6).sum()) / len(on))
 
-def confirmed(tests: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
+    return _turns(rows, test)
+
+
+def shift_p(rows: DataFrame, shifts: int, seed: int) -> DataFrame:
+    """p of every hypothesis and symbol of turned() rows: each run is turned by itself, by amounts drawn from the hypothesis' own seed."""
+
+    def test(pdf: pd.DataFrame) -> float:
+        on = pdf["on"].to_numpy(bool)
+        if not on.any():
+            return 1.0
+        key = pdf.iloc[0]
+        text = f"{key.symbol}|{key.flag}|{key.horizon}|{key.direction}|{key.split}|shift"
+        draw, total = np.random.default_rng(seed + sum((i + 1) * ord(c) for i, c in enumerate(text))), np.zeros(shifts)
+        for _, part in pdf.groupby("run", sort=True):
+            sums = shift_sums(part["on"].to_numpy(bool), part["net"].to_numpy(float))
+            total += sums[0] if len(sums) < 2 else sums[draw.integers(1, len(sums), shifts)]
+        return float((1 + (total >= pdf["net"].to_numpy(float)[on].sum() - 1e-6).sum()) / (shifts + 1))
+
+    return _turns(rows, test)
+
+
+def stouffer(rows: DataFrame, p: str, keys: list[str]) -> DataFrame:
+    """(keys, stouffer_z): z values of members' p, weighted by the root of n_effective; null where no member has a trade."""
+    safe = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
+    rows = rows.where("n_effective > 0").withColumn("_z", stats.normal_isf(safe)).withColumn("_w", F.sqrt("n_effective"))
+    return rows.groupBy(*keys).agg((F.sum(F.col("_z") * F.col("_w")) / F.sqrt(F.sum(F.col("_w") * F.col("_w")))).alias("stouffer_z"))
+
+
+def analysis(candles: DataFrame, symbols: DataFrame, step: int, product: Product, shifts: int | None = None, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """All hypotheses with both families of p values adjusted, Bonferroni, and whether discovery and confirmation agree.
+
+    The p of a turned series is exhaustive, or by `shifts` draws for each run; a pooled one combines those of its members."""
+    rows = tested(hypotheses(candles, symbols, step, product))
+    turns = turned(candles, symbols, step, product)
+    found = shift_p_all(turns) if shifts is None else shift_p(turns, shifts, seed)
+    own = rows.where("scope = 'symbol'").join(found.withColumnRenamed("p", "circular_shift_p"), ["symbol", *KEYS], "left").na.fill(1.0, ["circular_shift_p"])
+    z = stouffer(own, "circular_shift_p", KEYS)
+    pooled = rows.where("scope = 'pooled'").join(z, KEYS, "left").withColumn("circular_shift_p", F.coalesce(1 - stats.normal_cdf("stouffer_z"), F.lit(1.0)))
+    rows = own.withColumn("stouffer_z", F.lit(None).cast("double")).unionByName(pooled)
+    rows = stats.benjamini_hochberg(rows, "circular_shift_p", "adjusted_p")
+    rows = rows.withColumn("bonferroni_adjusted_p", F.least(F.lit(1.0), F.col("circular_shift_p") * F.count("*").over(Window.partitionBy())))
+    keys = ["scope", "symbol", "flag", "horizon", "direction"]
+    return rows.join(confirmed(rows, ["scope", "symbol"], "adjusted_p", alpha), keys)
+
+
+def confirmed(tests: DataFrame, keys: list[str], q: str = "q", alpha: float = 0.05) -> DataFrame:
     """Hypotheses with q under alpha and a gain after costs in both splits."""
-    good = F.count(F.when((F.col("q") < alpha) & (F.col("net_mean_bps") > 0), 1)) == 2
+    good = F.count(F.when((F.col(q) < alpha) & (F.col("net_mean_bps") > 0), 1)) == 2
     return tests.groupBy(*keys, "flag", "horizon", "direction").agg(good.alias("confirmed"))
 
 
+def top_pooled(tests: DataFrame, q: str, n: int = 15) -> DataFrame:
+    """The pooled hypotheses with the least q."""
+    return tests.where("scope = 'pooled'").orderBy(q, "flag", "horizon", "direction", "split").limit(n)
+
+
+def pooled_pairs(tests: DataFrame, q: str, n: int = 15) -> DataFrame:
+    """Discovery and confirmation of each pooled hypothesis side by side, the least q in confirmation first."""
+    late = F.col("split") == SPLITS[1]
+    rows = tests.where("scope = 'pooled'").groupBy("flag", "horizon", "direction").agg(
+        F.max(F.when(~late, F.col("net_mean_bps"))).alias("discovery_net_bps"), F.max(F.when(late, F.col("net_mean_bps"))).alias("confirmation_net_bps"), F.max(F.when(late, F.col(q))).alias("confirmation_q"),
+        F.max(F.when(late, F.col("n_effective"))).alias("n_effective"),
+    )
+    return rows.orderBy("confirmation_q", "flag", "horizon", "direction").limit(n)
+
+
 def break_even(rows: DataFrame, payout: float) -> DataFrame:
-    """Wins against the rate at which a fixed payout breaks even, and the expected value of a unit stake."""
+    """Wins against the rate at which a fixed payout breaks even, and the expected value of a unit stake, over rows with a trade that counts."""
     need = 1 / (1 + payout)
-    rows = rows.where("n_non_tied > 0").withColumn("break_even", F.lit(need)).withColumn("expected_value", F.col("hit_rate") * (1 + payout) - 1)
+    rows = rows.where("n_non_tied > 0").withColumn("wins", F.bround(F.col("hit_rate") * F.col("n_non_tied")).cast("long")).withColumn("win_rate", F.col("wins") / F.col("n_non_tied"))
+    rows = rows.withColumn("break_even", F.lit(need)).withColumn("expected_value", F.col("win_rate") * payout - (1 - F.col("win_rate")))
     return stats.benjamini_hochberg(rows.withColumn("p", stats.binomial_sf("wins", "n_non_tied", F.lit(need))))
 
 
+def replicated(rows: DataFrame, least: int = 100) -> DataFrame:
+    """Pooled (flag, horizon, direction) with an expected gain in both splits, each of `least` trades or more."""
+    good = F.count(F.when((F.col("n_non_tied") >= least) & (F.col("expected_value") > 0), 1)) == 2
+    return rows.where("scope = 'pooled'").groupBy("flag", "horizon", "direction").agg(good.alias("good")).where("good").drop("good")
+
+
+def payout_summary(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
+    return rows.agg(
+        F.count("*").alias("rows_tested"), F.count(F.when(F.col("win_rate") > F.col("break_even"), 1)).alias("rows_above_break_even"), F.count(F.when(F.col("q") < alpha, 1)).alias("significant_rows"), F.min("q").alias("least_q"),
+    )
+
+
 def ranked(rows: DataFrame, least: int = 30, top: int = 8) -> DataFrame:
     """The best hypotheses by p, to six places as sums of tails near 1 differ by rounding, then by expected value."""
-    names = [c for c in ("flag", "horizon", "direction", "split") if c in rows.columns]
-    return rows.where(F.col("n_non_tied") >= least).orderBy(F.round("p", 6), F.desc("expected_value"), *names).limit(top)
-
-
-def bootstrap_means(rows: DataFrame, step: int, keys: list[str], value: str, replications: int, seed: int) -> DataFrame:
-    """One mean for each key and replication of a stationary bootstrap: blocks of geometric length, sqrt(n) on average.
-
-    The sum of a block is a difference of running sums, so a replication is about sqrt(n) lookups and no task holds a
-    series. Random numbers come from (seed, replication), however the work is dealt."""
-    rows = numbered(rows.where(F.col(value).isNotNull()), step, keys)
-    chunk = F.floor(F.col("at") / 1024)
-    rows = rows.select(*keys, "at", F.col(value).alias("v")).withColumn("chunk", chunk)
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "chunk").agg(F.sum("v").alias("t")).select(*keys, "chunk", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("base"))
-    inside = F.sum("v").over(Window.partitionBy(*keys, "chunk").orderBy("at"))
-    running = rows.withColumn("s", inside).join(totals, [*keys, "chunk"]).select(*keys, (F.col("at") + 1).alias("at"), (F.col("s") + F.col("base")).alias("s"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
-
-    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.to_dict("records"):
-                n, left, out, draw = int(row["n"]), int(row["n"]), [], np.random.default_rng([seed, int(row["replication"])])
-                while left > 0:
-                    start, size = int(draw.integers(0, n)), min(int(draw.geometric(1 / max(1.0, n**0.5))), left)
-                    left -= size
-                    turns, end = divmod(start + size, n)
-                    out.append((start, end, turns))
-                yield pd.DataFrame({k: row[k] for k in [*keys, "replication", "n", "total"]} | {c: [x[i] for x in out] for i, c in enumerate(("start", "end", "turns"))})
-
-    each = sizes.withColumn("replication", F.explode(F.sequence(F.lit(0), F.lit(replications - 1)))).repartition(*keys, "replication")
-    kinds = dict(sizes.dtypes)
-    drawn = each.mapInPandas(blocks, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", replication int, n long, total double, start long, end long, turns long")
-    for edge in ("start", "end"):
-        drawn = drawn.join(running.select(*keys, F.col("at").alias(edge), F.col("s").alias(f"{edge}_sum")), [*keys, edge], "left")
-    got = F.coalesce("end_sum", F.lit(0.0)) - F.coalesce("start_sum", F.lit(0.0)) + F.col("turns") * F.col("total")
-    return drawn.groupBy(*keys, "replication").agg((F.sum(got) / F.first("n")).alias("mean"))
-
-
-def bootstrap_interval(means: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
-    tail = (1 - confidence) / 2
-    return means.groupBy(*keys).agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
+    names = [c for c in ("scope", "symbol", *KEYS) if c in rows.columns]
+    return rows.where(F.col("n_non_tied") >= least).orderBy(F.round("p", 6), F.desc(F.round("expected_value", 9)), *names).limit(top)
+
+
+def confidence(rows: DataFrame, step: int, keys: list[str], replications: int, seed: int) -> DataFrame:
+    """(keys, low, high): percentile interval of the mean net outcome; every run of a symbol is resampled by itself."""
+    rows = rows.withColumn("group", F.concat_ws("|", "symbol", "run")).withColumn("epoch", F.col("decision"))
+    return resampling.interval(resampling.grouped_means(rows, step, keys, "group", "net", replications, seed), keys)
 
 
 def data_window(candles: DataFrame) -> DataFrame:
@@ -141,21 +238,32 @@ def data_window(candles: DataFrame) -> DataFrame:
     return ends.agg(F.min("n").alias("candles"), F.max("first").alias("first_epoch"), F.min("last").alias("last_epoch"))
 
 
+#: The phrases of a technical read.
+UP, DOWN, UNCLEAR = "up (short average above long)", "down (short average below long)", "unclear"
+WALK, OFF_WALK, NOT_TOLD = "consistent with a random walk", "small deviation from random walk (usually noise)", "n/a"
+MOMENTUM = ("oversold", "overbought", "neutral")
+STRETCH = ("far above average", "above average", "far below average", "below average", "near average")
+VOLATILITY = ("running hotter than stated", "running cooler than stated", "as stated")
+
+
 def technical_read(latest: DataFrame) -> DataFrame:
-    """Phrases for the last screen row of each symbol; a null measure reads n/a."""
+    """Phrases for the row on display of each symbol, and the calls its strategies make; a null measure reads n/a."""
     c = F.col
 
-    def phrase(name: str, shown: str, *cases: tuple[Column, str], otherwise: str) -> Column:
-        out = F.when(c(name).isNull(), "n/a")
-        for when, text in cases:
+    def phrase(name: str, shown: str, cases: tuple[Column, ...], texts: tuple[str, ...]) -> Column:
+        out = F.when(c(name).isNull(), NOT_TOLD)
+        for when, text in zip(cases, texts, strict=False):
             out = out.when(when, F.format_string(f"{text} ({shown})", name))
-        return out.otherwise(F.format_string(f"{otherwise} ({shown})", name))
-
-    walk = c("hurst").between(0.45, 0.55) & c("vr").between(0.85, 1.15)
-    return latest.select(
-        "symbol", F.when(c("trend") == "above", "up").when(c("trend") == "below", "down").otherwise("unclear").alias("trend"),
-        phrase("rsi", "RSI %.0f", (c("rsi") < 30, "oversold"), (c("rsi") > 70, "overbought"), otherwise="neutral").alias("momentum"),
-        phrase("z", "z %+.1f", (c("z") >= 2, "far above average"), (c("z") >= 1, "above average"), (c("z") <= -2, "far below average"), (c("z") <= -1, "below average"), otherwise="near average").alias("stretch"),
-        phrase("vol_ratio", "%.2fx", (c("vol_ratio") > 1.15, "running hotter than stated"), (c("vol_ratio") < 0.85, "running cooler than stated"), otherwise="as stated").alias("volatility"),
-        F.when(c("hurst").isNull() | c("vr").isNull(), "n/a").when(walk, "consistent with a random walk").otherwise("small deviation from a random walk").alias("behaviour"),
+        return out.otherwise(F.format_string(f"{texts[-1]} ({shown})", name))
+
+    walk = c("hurst").between(0.45, 0.55) & c("vr").between(0.85, 1.15) & (F.abs("autocorr") < 0.1)
+    rows = latest.select(
+        "symbol", c("close").alias("price"),
+        F.when(c("trend") == "ema20_above_ema50", UP).when(c("trend") == "ema20_below_ema50", DOWN).otherwise(UNCLEAR).alias("trend"),
+        phrase("rsi", "RSI %.0f", (c("rsi") < 30, c("rsi") > 70), MOMENTUM).alias("momentum"),
+        phrase("z", "z %+.1f", (c("z") >= 2, c("z") >= 1, c("z") <= -2, c("z") <= -1), STRETCH).alias("stretch"),
+        phrase("vol_ratio", "%.2fx", (c("vol_ratio") > 1.15, c("vol_ratio") < 0.85), VOLATILITY).alias("volatility"),
+        F.when(c("hurst").isNull() | c("vr").isNull() | c("autocorr").isNull(), NOT_TOLD).when(walk, WALK).otherwise(OFF_WALK).alias("behaviour"),
+        F.concat_ws(",", *[F.when(d == 1, f"{n}:long").when(d == -1, f"{n}:short") for n, d in ledger.rules().items() if n != "coin"]).alias("calls"),
     )
+    return rows.withColumn("headline", F.format_string("Trend %s; momentum %s; price %s.", "trend", "momentum", "stretch"))

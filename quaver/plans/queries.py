@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaver.operators import indicators as ind
-from quaver.operators import edge, ledger, quality, risk, screen, stats, trades
+from quaver.operators import edge, ledger, quality, resampling, risk, screen, stats, trades
 from quaver.operators.trades import Product, body_signal
-from quaver.sources import market
+from quaver.sources import history, market
+from quaver.sources.store import Store
 from quaver.sources.market import DAY, HOUR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +42,20 @@ def with_symbols(f: Callable, *args) -> Query:
     return lambda spark, d: rounded(f(market.daily(spark, d), market.symbols(spark), DAY, *args))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all machines share."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints/quaver")
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_ticks_range(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(market.ticks(spark, d).where("symbol = 'click' and epoch % 3600 < 600").select("symbol", "epoch", "quote", "tick_id"))
+    """All symbols' ticks between two inclusive epochs; the bounds reach the scan."""
+    return rounded(market.ticks(spark, d, None, *TICK_RANGE).select("symbol", "epoch", "quote", "tick_id"))
 
 
 def ticks_between(rows: DataFrame, symbol: str, start: int, end: int) -> DataFrame:
@@ -50,17 +64,44 @@ def ticks_between(rows: DataFrame, symbol: str, start: int, end: int) -> DataFra
 
 
 def scan_ticks_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ticks_between(market.ticks(spark, d), "click", *TICK_RANGE))
+    return rounded(market.ticks(spark, d, "click", *TICK_RANGE).select("symbol", "epoch", "quote", "tick_id"))
 
 
 def scan_candles_range(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(market.daily(spark, d).where(F.col("epoch").between(*RANGE) & (F.col("symbol") == "A")))
+    return rounded(market.daily(spark, d, "A", *RANGE))
+
+
+def store_candles(spark: SparkSession, d: str, name: str) -> Store:
+    """A store with all daily candles, and all hourly ones put in twice."""
+    store = Store(spark, shared_folder(spark, name))
+    store.put_candles(market.daily(spark, d), DAY)
+    hourly = market.hourly(spark, d)
+    store.put_candles(hourly.withColumn("close", F.col("close") + 1), HOUR)
+    store.put_candles(hourly, HOUR)
+    return store
+
+
+def upsert_candles(spark: SparkSession, d: str) -> DataFrame:
+    store = store_candles(spark, d, "upsert")
+    return rounded(store.candles(DAY).withColumn("granularity", F.lit(DAY)).unionByName(store.candles(HOUR).withColumn("granularity", F.lit(HOUR))))
+
+
+def store_scan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(store_candles(spark, d, "scan").candles(DAY, "A", *RANGE))
+
+
+def export_parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    store = store_candles(spark, d, "export")
+    path = store.path("exported")
+    store.export("candles", path, DAY)
+    return rounded(spark.read.parquet(path))
 
 
 def upsert_latest_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Every tick is stored; then every tick comes again half an hour later, with twice its quote."""
     ticks = market.ticks(spark, d).select("symbol", "epoch", "quote", F.col("tick_id").cast("long").alias("tick_id"))
-    stored = quality.upserted(ticks.limit(0), ticks.where("tick_id % 2 = 0").withColumn("at", F.col("tick_id")), ["symbol", "epoch"], "at")
-    return rounded(quality.upserted(stored, ticks.where("tick_id % 3 = 0").withColumn("at", F.col("tick_id")), ["symbol", "epoch"], "at"))
+    stored = quality.upserted(ticks.limit(0), ticks.withColumn("at", F.col("tick_id")), ["symbol", "epoch"], "at")
+    return rounded(quality.upserted(stored, ticks.withColumns({"at": F.col("tick_id"), "epoch": F.col("epoch") + 1800, "quote": F.col("quote") * 2}), ["symbol", "epoch"], "at"))
 
 
 def upsert_all_ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -71,9 +112,78 @@ def upsert_all_ticks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.upserted(stored, ticks.withColumn("quote", F.col("quote") + 1), ["symbol", "epoch"], "at"))
 
 
+#: Codes of the sample's symbols.
+CODE = "^[A-Za-z]+$"
+
+
 def symbol_registry_diff(spark: SparkSession, d: str) -> DataFrame:
-    active, known = market.daily(spark, d).select("symbol").distinct(), market.symbols(spark).select("symbol")
-    return known.join(active, "symbol", "left_anti").select("symbol", F.lit("missing").alias("state")).unionByName(active.join(known, "symbol", "left_anti").select("symbol", F.lit("unregistered").alias("state"))).unionByName(active.join(known, "symbol", "left_semi").select("symbol", F.lit("available").alias("state")))
+    return history.registry_diff(market.daily(spark, d).select("symbol"), market.symbols(spark), CODE)
+
+
+def tick_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All ticks as pages of JSON text, a day each, which overlap by the first ten minutes of the next day."""
+    rows = market.ticks(spark, d).select("symbol", "epoch", "quote").withColumn("page", F.floor(F.col("epoch") / DAY))
+    rows = rows.unionByName(rows.where(F.col("epoch") % DAY < 600).withColumn("page", F.col("page") - 1))
+    held = F.sort_array(F.collect_list(F.struct("epoch", "quote")))
+    rows = rows.groupBy("symbol", "page").agg(held.alias("x"))
+    return rows.select("symbol", "page", F.to_json(F.struct(F.struct(F.col("x.epoch").alias("times"), F.col("x.quote").alias("prices")).alias("history"))).alias("json"))
+
+
+def candle_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All daily candles as pages of JSON text, a year each; a later page has the first candles of a year again, one higher."""
+    rows = market.daily(spark, d).withColumn("page", F.floor(F.col("epoch") / (365 * DAY)))
+    again = rows.where(F.col("epoch") % (365 * DAY) < 30 * DAY).withColumn("page", F.col("page") + 1).withColumn("close", F.col("close") + 1)
+    held = F.collect_list(F.struct("epoch", "open", "high", "low", "close"))
+    return rows.unionByName(again).groupBy("symbol", "page").agg(F.to_json(F.struct(held.alias("candles"))).alias("json"))
+
+
+def parse_history_json(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(history.tick_pages(tick_pages(spark, d)))
+
+
+def history_pages_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(history.merged_ticks(history.tick_pages(tick_pages(spark, d)), *TICK_RANGE))
+
+
+def candle_pages_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(history.merged_candles(history.candle_pages(candle_pages(spark, d)), *RANGE))
+
+
+REPORTS = [(f"r{i}", f"UTC report date: 2024-01-0{i}\nAlpha: 0.05\nEligible rows per p-value family: {1120 + i}\nBonferroni discoveries: {i}\nSeeded driftless GBM replications: 20\nTests per replication: 1120\nConfirmed null edges: 0\n\n| A | {86400 - i} | {1000 + i} | 9000 |\n| B | 86400 | 1100 | {8000 + i} |\n") for i in (1, 2)]
+
+
+def parse_report_header(spark: SparkSession, d: str) -> DataFrame:
+    """Of two literal reports; no table has any."""
+    return history.parse_reports(spark.createDataFrame(REPORTS, "name string, text string"))
+
+
+def bad_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Every tick with its quote, and with a quote of 0, below 0, that isn't a number, and without one, by the number of the tick."""
+    spoiled = F.array(F.lit(0.0), -F.col("quote"), F.lit(float("nan")), F.lit(None).cast("double"), F.lit(float("inf")), F.col("quote"))
+    return market.ticks(spark, d).withColumn("quote", F.element_at(spoiled, (F.col("tick_id").cast("long") % 6 + 1).cast("int")))
+
+
+def invalid_prices(spark: SparkSession, d: str) -> DataFrame:
+    rows = quality.invalid_prices(bad_ticks(spark, d), ["quote"])
+    return rows.select("symbol", "epoch", "field", F.when(F.isnan("price"), "nan").otherwise(F.when(F.abs("price") == float("inf"), "inf").otherwise(F.round("price", 6).cast("string"))).alias("kind")).select("symbol", "epoch", "field", F.when(F.col("kind").isin("nan", "inf"), F.col("kind")).when(F.col("kind").isNull(), "null").otherwise("not positive").alias("kind"))
+
+
+def hourly_report(spark: SparkSession, d: str) -> DataFrame:
+    return quality.daily_report(market.hourly(spark, d), HOUR, ["open", "high", "low", "close"])
+
+
+def symbol_status(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quality.symbol_status(hourly_report(spark, d), market.symbols(spark), 50.0))
+
+
+def union_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The reports of hourly and of daily candles as one."""
+    daily = quality.daily_report(market.daily(spark, d), DAY, ["open", "high", "low", "close"])
+    return rounded(hourly_report(spark, d).withColumn("granularity", F.lit(HOUR)).unionByName(daily.withColumn("granularity", F.lit(DAY))))
+
+
+#: The grid of gaps and backfills over hourly candles: it begins before the first and ends after the last one.
+GRID = (1_703_980_800, 1_707_004_800)
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -81,10 +191,45 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_n(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    return rounded(screen.latest_rows(market.daily(spark, d), 20))
+
+
+def of_screen(f: Callable) -> Query:
+    """f of the calibration signals of every symbol."""
+    return lambda spark, d: rounded(f(screen.calibration_signals(market.daily(spark, d), market.symbols(spark), DAY)))
+
+
+def screen_rows(spark: SparkSession, d: str) -> DataFrame:
+    return screen.latest(market.daily(spark, d), market.symbols(spark), DAY)
+
+
+def screen_latest(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(screen_rows(spark, d).withColumn("flags", F.array_join("flags", ",")))
+
+
+def screen_flags_array(spark: SparkSession, d: str) -> DataFrame:
+    return screen_rows(spark, d).select("symbol", F.posexplode("flags").alias("place", "flag"))
+
+
+def screen_json(spark: SparkSession, d: str) -> DataFrame:
+    return screen.as_json(screen.screen(market.daily(spark, d), market.symbols(spark), DAY))
+
+
+def last_segment(spark: SparkSession, d: str) -> DataFrame:
+    return screen.last_segments(screen.split(market.daily(spark, d)), DAY).groupBy("symbol").agg(F.count("*").alias("n"), F.min("epoch").alias("first"), F.max("epoch").alias("last"))
+
+
+def seed_hash(spark: SparkSession, d: str) -> DataFrame:
+    rows = market.symbols(spark).select("symbol").withColumn("flag", F.explode(F.array(*map(F.lit, screen.FLAGS))))
+    return rows.select("symbol", "flag", screen.seed_hash(12345, F.concat("symbol", "flag")).cast("long").alias("seed"))
+
 
-    rows = market.daily(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("epoch"))))
-    return rounded(rows.where("rank <= 20"))
+def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol of the registry with its state, the row on display and the last monitor window, where it has them."""
+    monitor = stats.latest_monitor(stats.volatility_monitor(market.daily(spark, d), market.symbols(spark), DAY, 500))
+    state = quality.symbol_status(quality.daily_report(market.daily(spark, d), DAY, ["open", "high", "low", "close"]), market.symbols(spark))
+    rows = state.select("symbol", F.col("status").alias("data_status")).join(screen_latest(spark, d).select("symbol", "epoch", "close", "trend", "flags"), "symbol", "left")
+    return rounded(rows.join(monitor.select("symbol", F.col("status").alias("monitor_status"), "realized", "alert"), "symbol", "left"))
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -95,18 +240,55 @@ def forward(horizon: int, product: Product) -> Query:
     return lambda spark, d: rounded(trades.forward_trades(market.daily(spark, d), DAY, body_signal(), horizon, product))
 
 
-def backtest_report(spark: SparkSession, d: str) -> DataFrame:
+def strided(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.strided_trades(market.daily(spark, d), DAY, body_signal(), 5, PRODUCT))
+
+
+def one_day(spark: SparkSession, d: str, product: Product = PRODUCT) -> tuple[DataFrame, DataFrame]:
     rows = market.daily(spark, d)
-    return rounded(trades.report(rows, trades.forward_trades(rows, DAY, body_signal(), 1, PRODUCT), DAY, PRODUCT))
+    return rows, trades.forward_trades(rows, DAY, body_signal(), 1, product)
+
+
+def backtest_report(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.report(*one_day(spark, d), DAY, PRODUCT))
+
+
+def backtest_payout(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.report(*one_day(spark, d, PAYOUT), DAY, PAYOUT, trials=20))
 
 
 def backtest_drawdown(spark: SparkSession, d: str) -> DataFrame:
-    rows = market.daily(spark, d)
-    return rounded(trades.drawdown(trades.forward_trades(rows, DAY, body_signal(), 1, PRODUCT), DAY, 10_000.0))
+    return rounded(trades.drawdown(one_day(spark, d)[1], DAY, 10_000.0))
+
+
+def wf_backtest(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.walk_forward(*one_day(spark, d), DAY, PRODUCT, 500, 200, 250))
+
+
+def dsr(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.deflated_sharpe(one_day(spark, d)[1], PRODUCT.stake, 10, ["symbol"]))
+
+
+def strategies(spark: SparkSession, d: str) -> DataFrame:
+    """(strategy, epoch, value): daily candles' body and range against the open, summed over symbols, as returns of two strategies."""
+    rows = market.daily(spark, d).groupBy("epoch").agg(F.avg(F.col("close") / F.col("open") - 1).alias("body"), F.avg(F.col("open") / F.col("close") - 1).alias("fade"))
+    return rows.select("epoch", F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("value")) for n in ("body", "fade")])).alias("x")).select("x.strategy", "epoch", "x.value")
+
+
+def wrc_statistic(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.reality_check(strategies(spark, d), DAY, 199, 3, 5)).select("observed", "strategies")
+
+
+def wrc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.reality_check(strategies(spark, d), DAY, 199, 3, 5))
 
 
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.breaker(trades.forward_trades(market.daily(spark, d), DAY, body_signal(), 1, PRODUCT), 60.0, 4)
+    return rounded(ledger.breaker(one_day(spark, d)[1], 5.0, 3))
+
+
+def circuit_breaker_fold(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ledger.breaker_fold(one_day(spark, d)[1], 5.0, 12))
 
 
 def kelly(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +298,23 @@ def kelly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ledger.sizes(market.symbols(spark), 10_000.0, 0.1, 2.0, 0.01, 0.5, 0.2, 0.001))
+    return rounded(ledger.sizes(market.symbols(spark), 10_000.0, 0.1, Product(stake=1.0, multiplier=2.0, stop_out=0.5, commission=0.2, spread=0.001), 0.03))
+
+
+def settle_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Every candle as a trade on its own open, high, low and close, in both directions."""
+    rows = market.daily(spark, d).select("symbol", F.col("epoch").alias("at"), F.col("epoch").alias("last"), F.col("open").alias("entry"), F.col("close").alias("exit"), "low", "high", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("direction"))
+    return rounded(trades.settled(rows.where("entry > 0"), DAY, PRODUCT).select("symbol", "decision", "direction", "gross", "net", "reason"))
+
+
+def portfolio_corr(spark: SparkSession, d: str) -> DataFrame:
+    known = market.symbols(spark).where(F.col("symbol").isin("A", "R"))
+    return rounded(risk.portfolio_view(ind.log_return(market.daily(spark, d), DAY), known)[0])
+
+
+def portfolio_risk(spark: SparkSession, d: str) -> DataFrame:
+    known = market.symbols(spark).where(F.col("symbol").isin("A", "R"))
+    return rounded(risk.portfolio_view(ind.log_return(market.daily(spark, d), DAY), known, threshold=0.05)[1])
 
 
 def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
@@ -124,60 +322,123 @@ def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
     rows = market.daily(spark, d).groupBy("symbol", F.floor(F.col("epoch") / 31_557_600).alias("year")).agg(F.count("*").alias("n"), F.count(F.when(F.col("close") > F.col("open"), 1)).alias("k"))
     rows = rows.withColumn("p", stats.binomial_sf(F.col("k"), F.col("n"), F.lit(0.5)))
     tests = stats.benjamini_hochberg(rows)
-    return rounded(tests.withColumn("bonferroni", F.least(F.lit(1.0), F.col("p") * rows.count())))
+    return rounded(tests.withColumn("bonferroni", F.least(F.lit(1.0), F.col("p") * F.count("*").over(Window.partitionBy()))))
 
 
 def ledger_calls(spark: SparkSession, d: str) -> DataFrame:
     return ledger.directions(screen.features(market.daily(spark, d), market.symbols(spark), DAY))
 
 
+#: When the ledger is looked at, and when a screen is recorded.
+NOW, RECORDED = 852_076_800, 800_000_000
+
+
+def ledger_record(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of all screen rows whose entry isn't open at RECORDED; the reversion calls are known already."""
+    rows = screen.features(market.daily(spark, d), market.symbols(spark), DAY)
+    known = ledger.directions(rows).where("strategy = 'reversion'").select(F.concat_ws("|", "symbol", "strategy", "epoch").alias("id"))
+    return ledger.recorded(rows, known, DAY, RECORDED)
+
+
+def ledger_score(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ledger.scored(ledger_calls(spark, d), market.daily(spark, d), DAY, now=NOW))
+
+
+def ledger_recent(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ledger.recent(ledger.scored(ledger_calls(spark, d), market.daily(spark, d), DAY, now=NOW)))
+
+
 def ledger_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ledger.summary(ledger.scored(ledger_calls(spark, d), market.daily(spark, d), DAY)))
+    return rounded(ledger.summary(ledger.scored(ledger_calls(spark, d), market.daily(spark, d), DAY, now=NOW)))
 
 
-def randomness_battery(spark: SparkSession, d: str) -> DataFrame:
-    """p values of the Ljung-Box and runs tests as one family."""
-    rows = market.daily(spark, d)
-    one = stats.ljung_box(rows, DAY).select("symbol", F.lit("ljung_box").alias("test"), stats.chi2_sf(F.col("q"), F.lit(5.0)).alias("p"))
-    two = stats.runs_test(rows, DAY).select("symbol", F.lit("runs").alias("test"), stats.normal_two_sided(F.col("z")).alias("p"))
-    return stats.benjamini_hochberg(one.unionByName(two))
+def monitor(spark: SparkSession, d: str, n: int) -> DataFrame:
+    return stats.volatility_monitor(market.daily(spark, d), market.symbols(spark), DAY, n)
+
+
+def hypothesis_rows(spark: SparkSession, d: str) -> DataFrame:
+    return edge.hypotheses(market.daily(spark, d), market.symbols(spark), DAY, PRODUCT)
+
+
+def edge_scope(scope: str) -> Query:
+    return lambda spark, d: rounded(hypothesis_rows(spark, d).where(F.col("scope") == scope))
+
+
+def edge_tests(spark: SparkSession, d: str) -> DataFrame:
+    return edge.tested(hypothesis_rows(spark, d))
+
+
+def edge_shift_p_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(edge.shift_p_all(edge.turned(market.daily(spark, d), market.symbols(spark), DAY, PRODUCT)))
+
+
+def edge_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(edge.analysis(market.daily(spark, d), market.symbols(spark), DAY, PRODUCT))
+
+
+def edge_analysis_seeded(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(edge.analysis(market.daily(spark, d), market.symbols(spark), DAY, PRODUCT, 2000, 12345))
+
+
+def edge_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path, rows = shared_folder(spark, "csv"), rounded(hypothesis_rows(spark, d))
+    history.write_csv(rows, path)
+    return history.read_csv(spark, path, ", ".join(f"{c} {t}" for c, t in rows.dtypes))
+
+
+def payouts(spark: SparkSession, d: str) -> DataFrame:
+    return edge.break_even(hypothesis_rows(spark, d), 0.95)
 
 
-def edge_rows(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
-    return edge.hypotheses(edge.flagged_candidates(market.daily(spark, d), market.symbols(spark), DAY, PRODUCT), keys)
+def payout_summary(spark: SparkSession, d: str) -> DataFrame:
+    parts = [edge.payout_summary(edge.break_even(hypothesis_rows(spark, d), p)).withColumn("payout", F.lit(p)) for p in (0.9, 0.95, 1.0)]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 def edge_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    net = trades.forward_trades(market.daily(spark, d), DAY, body_signal(), 1, PRODUCT).select("symbol", F.col("decision").alias("epoch"), "net")
-    return rounded(edge.bootstrap_interval(edge.bootstrap_means(net, DAY, ["symbol"], "net", 200, 7), ["symbol"]))
+    net = one_day(spark, d)[1].select("symbol", F.col("decision").alias("epoch"), "net")
+    return rounded(resampling.interval(resampling.stationary_means(net, DAY, ["symbol"], "net", 200, 7), ["symbol"]))
 
 
-def vol_breach_rate(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.breach_rate(stats.volatility_monitor(market.daily(spark, d), market.symbols(spark), DAY, 100), DAY, 100))
+def edge_confidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = edge.flagged_candidates(market.daily(spark, d), market.symbols(spark), DAY, PRODUCT)
+    return rounded(edge.confidence(rows, DAY, edge.KEYS, 50, 7))
 
 
-def pooled_tests(spark: SparkSession, d: str) -> DataFrame:
-    return edge.tested(edge_rows(spark, d, []))
+def signal(f: Callable, *args) -> Query:
+    return lambda spark, d: rounded(f(market.daily(spark, d), DAY, body_signal(), *args))
 
 
 QUERIES: dict[str, Query] = {
     "scan_ticks_range": scan_ticks_range,
     "scan_ticks_bounds": scan_ticks_bounds,
     "scan_candles_range": scan_candles_range,
+    "upsert_candles": upsert_candles,
+    "store_scan": store_scan,
+    "export_parquet_roundtrip": export_parquet_roundtrip,
+    "parse_history_json": parse_history_json,
+    "history_pages_dedup": history_pages_dedup,
+    "candle_pages_dedup": candle_pages_dedup,
+    "parse_report_header": parse_report_header,
+    "backfill_missing_epochs": on_hourly(quality.missing_epochs, HOUR, GRID[1]),
+    "backfill_coverage": on_hourly(quality.backfill_coverage, HOUR, *GRID),
+    "dq_symbol_status": symbol_status,
+    "dq_union_reports": union_reports,
     "upsert_latest_wins": upsert_latest_wins,
     "upsert_all_ticks": upsert_all_ticks,
     "symbol_registry_diff": symbol_registry_diff,
     "dq_duplicate_epochs": on_ticks(quality.duplicate_epochs),
     "dq_non_monotonic": on_ticks(quality.non_monotonic),
-    "dq_invalid_prices": on_ticks(quality.invalid_prices, ["quote"]),
+    "dq_invalid_prices": invalid_prices,
     "dq_abnormal_jumps": on_ticks(quality.abnormal_jumps, 3.0, 100),
     "dq_daily_coverage": lambda spark, d: rounded(coverage(spark, d)),
     "dq_coverage_rollup": lambda spark, d: rounded(quality.coverage_rollup(coverage(spark, d))),
-    "find_gaps": on_hourly(quality.gaps, HOUR),
+    "find_gaps": on_hourly(quality.gaps, HOUR, *GRID),
     "gap_count": on_hourly(quality.gap_count, HOUR),
     "segment_islands": lambda spark, d: ind.segmented(market.hourly(spark, d), HOUR).groupBy("symbol", "segment").agg(F.count("*").alias("n"), F.max("epoch").alias("last")),
     "ind_log_return": on_daily(ind.log_return),
     "ind_bollinger_z": on_daily(ind.bollinger_z),
+    "ind_annualize": lambda spark, d: rounded(market.symbols(spark).select("symbol", ind.annualized(F.col("stated_vol"), 60).alias("volatility"))),
     "ind_realized_vol": on_daily(ind.realized_vol),
     "ind_realized_vol_elapsed": on_daily(ind.realized_vol_elapsed),
     "ind_parkinson": on_daily(ind.parkinson),
@@ -192,24 +453,50 @@ QUERIES: dict[str, Query] = {
     "ind_atr": on_daily(ind.atr),
     "screen_features": with_symbols(screen.features),
     "flags_causal": with_symbols(screen.flagged),
-    "screen_latest": with_symbols(screen.latest),
-    "screen_reliability": with_symbols(screen.reliability, PRODUCT),
+    "flags_filled": with_symbols(screen.causal_flags),
+    "screen_latest": screen_latest,
+    "screen_flags_array": screen_flags_array,
+    "screen_json": screen_json,
+    "last_segment": last_segment,
+    "seed_hash": seed_hash,
+    "snapshot_rows": snapshot_rows,
+    "screen_reliability": of_screen(screen.reliability),
+    "screen_shift_p_all": of_screen(screen.shift_p),
+    "screen_shift_p": of_screen(lambda rows: screen.shift_p(rows, 199, 12345)),
+    "screen_bh": of_screen(lambda rows: stats.benjamini_hochberg(screen.shift_p(rows))),
     "latest_n": latest_n,
-    "split_calibration": lambda spark, d: screen.split(market.daily(spark, d), counts(market.daily(spark, d))),
+    "split_calibration": lambda spark, d: screen.split(market.daily(spark, d)).select("symbol", "epoch", "part"),
     "trades_h1": forward(1, PRODUCT),
     "trades_h5": forward(5, PRODUCT),
     "trades_fixed_payout": forward(1, PAYOUT),
+    "trades_strided": strided,
     "backtest_report": backtest_report,
+    "backtest_payout": backtest_payout,
+    "wf_backtest": wf_backtest,
+    "dsr": dsr,
+    "wrc_statistic": wrc_statistic,
+    "wrc": wrc,
+    "settle_returns": settle_returns,
+    "portfolio_corr": portfolio_corr,
+    "portfolio_risk": portfolio_risk,
+    "circuit_breaker_fold": circuit_breaker_fold,
     "backtest_drawdown": backtest_drawdown,
     "wf_splits": lambda spark, d: trades.walk_forward_splits(counts(market.daily(spark, d)), 500, 250, 200),
-    "vol_monitor": with_symbols(lambda c, s, step: stats.volatility_monitor(c, s, step, 500)),
+    "vol_monitor": lambda spark, d: rounded(monitor(spark, d, 500)),
+    "vol_monitor_latest": lambda spark, d: rounded(stats.latest_monitor(monitor(spark, d, 500))),
+    "vol_variance_stat": lambda spark, d: rounded(stats.variance_test(stats.latest_monitor(monitor(spark, d, 100)))),
     "ljung_box": on_daily(stats.ljung_box),
     "runs_test": on_daily(stats.runs_test),
-    "randomness_battery": randomness_battery,
-    "signal_eval": lambda spark, d: rounded(stats.signal_evaluation(market.daily(spark, d), DAY, body_signal(), 5)),
+    "randomness_battery": on_daily(stats.randomness_battery),
+    "signal_eval": signal(stats.signal_evaluation, 5),
+    "signal_eval_h1": signal(stats.signal_evaluation, 1),
+    "signal_bootstrap": signal(stats.signal_bootstrap, 5, 99, 5),
     "xsym_corr": on_daily(stats.cross_correlation),
     "bh_adjust": bh_adjust,
     "ledger_directions": ledger_calls,
+    "ledger_record": ledger_record,
+    "ledger_score": ledger_score,
+    "ledger_recent": ledger_recent,
     "ledger_summary": ledger_summary,
     "size_positions": sizes,
     "size_kelly": kelly,
@@ -217,15 +504,25 @@ QUERIES: dict[str, Query] = {
     "variance_ratio_test": on_daily(stats.variance_ratio_test),
     "arch_lm": on_daily(stats.arch_lm, 1),
     "arch_lm_lags": on_daily(stats.arch_lm, 5),
-    "vol_breach_rate": vol_breach_rate,
-    "identical_ratio_pairs": with_symbols(lambda c, s, step: stats.identical_ratios(stats.volatility_monitor(c, s, step, 100), s)),
-    "edge_candidates": on_daily(edge.candidates, PRODUCT),
-    "edge_symbol_rows": lambda spark, d: rounded(edge_rows(spark, d, ["symbol"])),
-    "edge_pooled_rows": lambda spark, d: rounded(edge_rows(spark, d, [])),
-    "edge_analysis": lambda spark, d: rounded(edge.tested(edge_rows(spark, d, ["symbol"]).unionByName(edge_rows(spark, d, []).withColumn("symbol", F.lit("ALL"))))),
-    "edge_confirmed": lambda spark, d: edge.confirmed(pooled_tests(spark, d), []),
-    "payout_breakeven": lambda spark, d: rounded(edge.break_even(edge_rows(spark, d, []), 0.95)),
-    "payout_top8": lambda spark, d: rounded(edge.ranked(edge.break_even(edge_rows(spark, d, []), 0.95))),
+    "vol_breach_rate": lambda spark, d: rounded(stats.breach_rate(monitor(spark, d, 100), market.symbols(spark), DAY, 100)),
+    "identical_ratio_pairs": lambda spark, d: stats.identical_ratios(monitor(spark, d, 100)),
+    "edge_candidates": lambda spark, d: rounded(edge.candidates(market.daily(spark, d), DAY, PRODUCT).drop("run")),
+    "edge_symbol_rows": edge_scope("symbol"),
+    "edge_pooled_rows": edge_scope("pooled"),
+    "edge_tests": lambda spark, d: rounded(edge_tests(spark, d).drop("mde_points")),
+    "edge_mde": lambda spark, d: rounded(edge_tests(spark, d).select("scope", "symbol", *edge.KEYS, "n_effective", "mde_points")),
+    "edge_shift_p_all": edge_shift_p_all,
+    "edge_csv_roundtrip": edge_csv_roundtrip,
+    "edge_top15": lambda spark, d: rounded(edge.top_pooled(edge_tests(spark, d).drop("mde_points").withColumn("binomial_adjusted_p", F.round("binomial_adjusted_p", 6)), "binomial_adjusted_p")),
+    "pooled_tests": lambda spark, d: rounded(edge.pooled_pairs(edge_tests(spark, d).withColumn("binomial_adjusted_p", F.round("binomial_adjusted_p", 6)), "binomial_adjusted_p")),
+    "edge_analysis_seeded": edge_analysis_seeded,
+    "edge_confidence": edge_confidence,
+    "edge_analysis": edge_analysis,
+    "edge_confirmed": lambda spark, d: edge.confirmed(edge_tests(spark, d), ["scope", "symbol"], "binomial_adjusted_p", 0.9),
+    "payout_breakeven": lambda spark, d: rounded(payouts(spark, d)),
+    "payout_replicated": lambda spark, d: edge.replicated(payouts(spark, d), 5),
+    "payout_summary": payout_summary,
+    "payout_top8": lambda spark, d: rounded(edge.ranked(payouts(spark, d))),
     "edge_bootstrap": edge_bootstrap,
     "data_window": lambda spark, d: edge.data_window(market.daily(spark, d)),
     "technical_read": with_symbols(lambda c, s, step: edge.technical_read(screen.latest(c, s, step))),

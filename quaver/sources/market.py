@@ -34,15 +34,30 @@ def candles(rows: DataFrame, price: str, order: list[str]) -> DataFrame:
     return rows.groupBy("symbol", "epoch").agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"))
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily candles of order line prices by return flag."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), seconds("l_shipdate").alias("epoch"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+def between(column: str, start: int | None, end: int | None) -> list:
+    """Conditions on a timestamp column, as literals that reach the Parquet scan, for seconds from start to end, both inclusive."""
+    at = lambda s: F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + INTERVAL '{s}' SECOND")
+    return [F.col(column) >= at(start)] * (start is not None) + ([F.col(column) < at(end + 1)] if end is not None else [])
+
+
+def kept(rows: DataFrame, conditions: list) -> DataFrame:
+    for c in conditions:
+        rows = rows.where(c)
+    return rows
+
+
+def daily(spark: SparkSession, sf_dir: str, symbol: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Daily candles of order line prices by return flag; a symbol and inclusive bounds of epochs prune the scan."""
+    rows = read(spark, sf_dir, "lineitem")
+    rows = kept(rows, [F.col("l_returnflag") == symbol] * (symbol is not None) + between("l_shipdate", start, None if end is None else end - end % DAY + DAY - 1))
+    rows = rows.select(F.col("l_returnflag").alias("symbol"), seconds("l_shipdate").alias("epoch"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return candles(rows, "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values as ticks; `arrival` is an order of arrival that isn't that of time."""
-    return read(spark, sf_dir, "events").select(
+def ticks(spark: SparkSession, sf_dir: str, symbol: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Event values as ticks; `arrival` is an order of arrival that isn't that of time. Bounds are inclusive and prune the scan."""
+    rows = kept(read(spark, sf_dir, "events"), [F.col("event_type") == symbol] * (symbol is not None) + between("ts", start, end))
+    return rows.select(
         F.col("event_type").alias("symbol"), seconds("ts").alias("epoch"), F.col("value").alias("quote"), F.col("event_id").cast("string").alias("tick_id"), (F.col("event_id") * 7919 % 10007 * 10_000_000 + F.col("event_id")).alias("arrival")
     )
 

@@ -26,3 +26,8 @@ def write_latest(updates: DataFrame, path: str, checkpoint: str):
 def latest(rows: DataFrame) -> DataFrame:
     names = [c for c in rows.columns if c not in ("symbol", "epoch", "batch")]
     return rows.groupBy("symbol", "epoch").agg(F.max_by(F.struct(*names), "batch").alias("v")).select("symbol", "epoch", "v.*")
+
+
+def compact(spark, path: str, target: str) -> None:
+    """Writes the last update of each candle as a table of its own, which takes the place of all batches so far."""
+    latest(spark.read.parquet(path)).withColumn("batch", F.lit(-1)).write.mode("overwrite").parquet(target)

@@ -17,7 +17,7 @@ def keyed(columns, rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    d = FLAGGED if name.startswith(("edge_", "payout_", "technical_")) else D
+    d = FLAGGED if name in ("edge_tests", "edge_shift_p_all", "technical_read", "screen_shift_p_all", "payout_breakeven") else D
     for t in ("lineitem", "events", "orders"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     sql = con.sql(ORACLES[name])

@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from quaver.operators import edge, risk, stats
+from quaver.operators import edge, resampling, risk, stats
+from quaver.operators import trades
 from quaver.operators.trades import Product
 from quaver.plans.queries import QUERIES
 
@@ -37,8 +38,8 @@ def test_arch_lm(spark):
 
 def test_bootstrap(spark):
     rows = spark.createDataFrame([("c", i * 60, 2.5) for i in range(12)] + [("v", i * 60, float(i % 7)) for i in range(400)] + [("one", 0, -1.0), ("n", 0, None)], "k string, epoch long, v double")
-    means = edge.bootstrap_means(rows, 60, ["k"], "v", 60, 3)
-    got = {r["k"]: r for r in edge.bootstrap_interval(means, ["k"]).collect()}
+    means = resampling.stationary_means(rows, 60, ["k"], "v", 60, 3)
+    got = {r["k"]: r for r in resampling.interval(means, ["k"]).collect()}
     assert set(got) == {"c", "v", "one"}
     assert (got["c"]["low"], got["c"]["high"]) == pytest.approx((2.5, 2.5)) and (got["one"]["low"], got["one"]["high"]) == (-1.0, -1.0)
     assert got["v"]["low"] < np.mean([i % 7 for i in range(400)]) < got["v"]["high"]
@@ -73,6 +74,78 @@ def test_confirmation_needs_both_splits(spark):
     assert {r["flag"]: r["confirmed"] for r in edge.confirmed(tests, []).collect()} == {"f": True, "g": False}
 
 
-@pytest.mark.parametrize("name", ["edge_analysis", "edge_confirmed", "edge_bootstrap", "mc_risk", "arch_lm_lags"])
+@pytest.mark.parametrize("name", ["edge_bootstrap", "mc_risk", "arch_lm_lags", "wrc", "signal_bootstrap"])
 def test_queries_without_sql_have_rows(spark, name):
-    assert QUERIES[name](spark, D).count() > 0
+    assert QUERIES[name](spark, D.replace("0.01", "0.001")).count() > 0
+
+
+def test_shift_sums():
+    on, value = np.array([True, False, True, False, False]), np.array([1.0, 2.0, 3.0, 4.0, 5.0])
+    assert edge.shift_sums(on, value) == pytest.approx([sum(value[(i + k) % 5] for i in (0, 2)) for k in range(5)])
+
+
+def turns(spark, on, net, run=None):
+    rows = [("s", "f", 1, "long", "discovery", i, (run or [0] * len(on))[i], bool(on[i]), float(net[i])) for i in range(len(on))]
+    return spark.createDataFrame(rows, "symbol string, flag string, horizon int, direction string, split string, decision long, run long, on boolean, net double")
+
+
+def test_shift_p(spark):
+    r = np.random.default_rng(2)
+    on, net = r.random(40) < 0.3, r.normal(0, 1, 40)
+    sums = [sum(net[(i + k) % 40] for i in np.flatnonzero(on)) for k in range(40)]
+    assert edge.shift_p_all(turns(spark, on, net)).first()["p"] == pytest.approx(sum(x >= sums[0] - 1e-9 for x in sums) / 40)
+    assert edge.shift_p_all(turns(spark, [False] * 4, [1, 2, 3, 4])).first()["p"] == 1.0
+    alone = turns(spark, [True, True, False], [1, 2, -5], [0, 1, 2])  # runs of one row stay as they are
+    assert edge.shift_p(alone, 20, 3).first()["p"] == 1.0
+    text = "s|f|1|long|discovery|shift"
+    draw = np.random.default_rng(9 + sum((i + 1) * ord(c) for i, c in enumerate(text))).integers(1, 40, 50)
+    assert edge.shift_p(turns(spark, on, net), 50, 9).first()["p"] == pytest.approx((1 + sum(sums[k] >= sums[0] - 1e-9 for k in draw)) / 51)
+
+
+def test_stouffer(spark):
+    rows = spark.createDataFrame([("f", 0.5, 100), ("f", 0.02275013194817921, 100), ("f", 0.3, 0), ("g", 0.2, 0)], "flag string, p double, n_effective int")
+    assert {r.flag: r.stouffer_z for r in edge.stouffer(rows, "p", ["flag"]).collect()} == {"f": pytest.approx(2 / math.sqrt(2))}
+
+
+def test_large_families_are_adjusted_alike(spark):
+    r = np.random.default_rng(5)
+    p = [*np.round(r.random(300) ** 3, 3).tolist(), 0.0, 1.0, 1e-12, 0.25, 0.25]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(p)] + [(999, None)], "i int, p double")
+    small, large = ({r.i: r.q for r in f(rows).collect()} for f in (stats.benjamini_hochberg, stats.benjamini_hochberg_large))
+    assert small == pytest.approx(large) and 999 not in small
+    assert {r.i: r.q for r in stats.adjusted(rows).collect()} == {**{k: pytest.approx(v) for k, v in small.items()}, 999: None}
+    with pytest.raises(Exception, match="not a probability"):
+        stats.benjamini_hochberg(spark.createDataFrame([(1.5,)], "p double")).collect()
+
+
+def test_reality_check(spark):
+    r = np.random.default_rng(8)
+    x = np.column_stack([r.normal(0.3, 1, 60), r.normal(0, 1, 60)])
+    rows = spark.createDataFrame([(n, i * 60, float(x[i, k])) for k, n in enumerate("ab") for i in range(60)], "strategy string, epoch long, value double")
+    got = trades.reality_check(rows, 60, 40, 11, 7).first()
+    best, centered = x.mean(0).max(), x - x.mean(0)
+    hits = 0
+    for b in range(40):
+        starts = np.random.default_rng([11, b]).integers(0, 60, 9)
+        hits += centered[((starts[:, None] + np.arange(7)) % 60).ravel()[:60]].mean(0).max() >= best
+    assert (got.observed, got.p, got.strategies) == (pytest.approx(best), pytest.approx((1 + hits) / 41), 2)
+
+
+def test_deflated_sharpe(spark):
+    x = np.random.default_rng(3).normal(0.1, 1, 50)
+    rows = spark.createDataFrame([("s", float(v)) for v in x] + [("flat", 1.0)] * 3, "symbol string, net double")
+    got = {r.symbol: r for r in trades.deflated_sharpe(rows, 1.0, 5, ["symbol"]).collect()}
+    c, sharpe = x - x.mean(), x.mean() / x.std(ddof=1)
+    skew, kurt = (c**3).mean() / (c**2).mean() ** 1.5, (c**4).mean() / (c**2).mean() ** 2
+    z = (sharpe - trades.expected_maximum(5)) * 7 / math.sqrt(1 - skew * sharpe + (kurt - 1) * sharpe**2 / 4)
+    assert got["s"].deflated_sharpe == pytest.approx(math.erfc(-z / math.sqrt(2)) / 2) and got["flat"].deflated_sharpe == 0.5
+
+
+def test_portfolio(spark):
+    known = spark.createDataFrame([("a", 0.5), ("b", 1.0)], "symbol string, stated_vol double")
+    rows = spark.createDataFrame([("a", i, float(i % 3)) for i in range(9)] + [("b", i, float(i % 3)) for i in range(8)], "symbol string, epoch long, r double")
+    pairs, view = risk.portfolio_view(rows, known)
+    assert pairs.first()["correlation"] == pytest.approx(1) and view.first()["warning"] and view.first()["observations"] == 8
+    assert view.first()["annual_volatility"] == pytest.approx(math.sqrt(0.0625 + 0.25))
+    with pytest.raises(ValueError):
+        risk.portfolio_view(rows, known, {"a": 1.0})

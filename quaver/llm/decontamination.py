@@ -8,8 +8,10 @@ reaches the threshold; what is left is searched by block-max WAND, which returns
 Each is verified on word shingles: most of the item, and at least half of its question (the first two thirds) and of
 its answer (the rest), must occur in the passage.
 
-The items come to the driver in blocks of at most MAX_INDEX_BYTES of text, each with an index of its own that is sent
-to the tasks; more items mean more blocks, not a larger index.
+The items come to the driver in blocks of about MAX_INDEX_BYTES of text. A block's index is broadcast, its result is
+written, and the index is released before the next block comes; more items mean more blocks, not a larger index. The
+number of items, their mean and largest length and the document frequencies are those of all items, counted by Spark, so
+blocks score as one index would.
 
 Letters are compared in lower case. Null and empty documents or items match nothing. Items of fewer than five words match where all their words occur in a
 row. Repeated documents and repeated items give repeated pairs. Only doc_id, text, item_id are read by find(); other
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import slices, small_batches, utf8
+from quaver.llm.common import durable, slices, small_batches, utf8
 from quaver.llm.words import SHINGLE, Words, shingles, words
 
 MAX_INDEX_BYTES = 16_000_000
@@ -51,6 +53,16 @@ class Hit(NamedTuple):
     at: int
 
 
+class Statistics(NamedTuple):
+    """Of all items: their number, words in all and in the longest, and the document frequency of some terms, sorted."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 def windows_of(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """The shingle hashes of a run of word hashes, in order."""
     bounds = np.array([0, len(h)])
@@ -95,23 +107,24 @@ class Postings:
 class Index:
     """BM25 postings with block maxima, and each item's shingles for verification."""
 
-    def __init__(self, ids: list[int], texts: list[str], threshold: float):
+    def __init__(self, ids: list[int], texts: list[str], threshold: float, whole: Statistics | None = None):
         data, offs = utf8(pc.utf8_lower(pa.array(texts, pa.string())))
         w = words(data, offs)
         self.threshold = threshold
         n = np.diff(w.bounds)
         full = np.flatnonzero(n)
         self.ids = [ids[i] for i in full]
-        self.longest = int(n.max(initial=0))
-        mean = n[full].mean() if len(full) else 1.0
+        self.longest = int(n.max(initial=0)) if whole is None else whole.longest
+        mean = (n[full].mean() if len(full) else 1.0) if whole is None else whole.words / whole.items
+        many = len(full) if whole is None else whole.items
         self.terms, term = np.unique(w.hash, return_inverse=True)
         self.seen = np.zeros(int(SEEN_MASK) + 1, bool)
         self.seen[self.terms & SEEN_MASK] = True
         place = np.searchsorted(full, w.doc)
         pair, tf = np.unique(term * max(1, len(full)) + place, return_counts=True)
         term, item = pair // max(1, len(full)), pair % max(1, len(full))
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(full) - df + 0.5) / (df + 0.5))
+        df = np.bincount(term, minlength=len(self.terms)) if whole is None else whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log1p((many - df + 0.5) / (df + 0.5))
         size = n[full][item]
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
         own = np.bincount(item, impact, minlength=len(full))
@@ -221,54 +234,83 @@ class Index:
         return list(best.values())
 
 
-def indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
-    """An index for each block of items; blocks are filled in the order of a running sum of bytes."""
+def item_terms(rows: DataFrame) -> DataFrame:
+    """(term, words): every distinct term of an item, and once for each item, as term null, its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            w = words(*utf8(pc.utf8_lower(b.column("text"))))
+            n = np.diff(w.bounds)
+            pair = np.unique(np.stack([w.doc.astype(np.uint64), w.hash]), axis=1)[1] if len(w.hash) else w.hash
+            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.nulls(len(pair), pa.int64())], ["term", "words"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(int((n > 0).sum()), pa.int64()), pa.array(n[n > 0])], ["term", "words"])
+
+    return rows.mapInArrow(run, "term long, words long")
+
+
+def indexes(items: DataFrame, threshold: float) -> Iterator[tuple[Index, bool]]:
+    """(index, whether there are others) of each block of items; items fall into blocks by the hash of their text."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total <= MAX_INDEX_BYTES:
+    many = 1 if total <= MAX_INDEX_BYTES else -(-2 * total // MAX_INDEX_BYTES)
+    if many == 1:
         got = rows.orderBy("item_id", "text").collect()
-        yield Index([r.item_id for r in got], [r.text for r in got], threshold)
+        yield Index([r.item_id for r in got], [r.text for r in got], threshold), False
         return
-    many = -(-2 * total // MAX_INDEX_BYTES)
+    found = item_terms(rows)
+    size = found.where("words is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.max("words"), F.lit(0)).alias("longest")).first()
+    df = durable(found.where("term is not null").groupBy("term").agg(F.count("*").alias("df")))
     for i in range(many):
-        got = rows.where(F.pmod(F.xxhash64("text"), F.lit(many)) == i).orderBy("item_id", "text").collect()
-        yield Index([r.item_id for r in got], [r.text for r in got], threshold)
+        block = rows.where(F.pmod(F.xxhash64("text"), F.lit(many)) == i)
+        got = block.orderBy("item_id", "text").collect()
+        t = df.join(item_terms(block).where("term is not null").select("term").distinct(), "term").toArrow()
+        terms = t.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        yield Index([r.item_id for r in got], [r.text for r in got], threshold, Statistics(size.n, size.words, size.longest, terms[order], t.column("df").to_numpy()[order])), True
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.75, part: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap, word of every contaminated pair."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found: list[DataFrame] = []
+    for index, others in indexes(items, threshold):
+        shared = spark.sparkContext.broadcast(index)
 
-    def search(index: Index) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text"):
-                hits = index.hits(b.column("text"), overlap, part)
+                hits = shared.value.hits(b.column("text"), overlap, part)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array([h.row for h in hits], pa.int64())), pa.array([index.ids[h.item] for h in hits], pa.int64())]
+                    [b.column("doc_id").take(pa.array([h.row for h in hits], pa.int64())), pa.array([shared.value.ids[h.item] for h in hits], pa.int64())]
                     + [pa.array([getattr(h, k) for h in hits], pa.float64()) for k in ("score", "overlap", "question", "answer")]
                     + [pa.array([h.at for h in hits], pa.int64())],
                     ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "word"],
                 )
 
-        return rows.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, word long")
-
-    return reduce(DataFrame.unionByName, map(search, indexes(items, threshold)))
+        pairs = rows.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, word long")
+        if others:
+            pairs = durable(pairs)
+            shared.unpersist()
+        found.append(pairs)
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.75, part: float = 0.5) -> DataFrame:
     """The documents without any benchmark item, all columns kept; each block of items is one filter over the rows."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    for index, others in indexes(items, threshold):
+        shared = spark.sparkContext.broadcast(index)
 
-    def clean(index: Index) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text"):
                 keep = np.ones(b.num_rows, bool)
-                keep[[h.row for h in index.hits(b.column("text"), overlap, part)]] = False
+                keep[[h.row for h in shared.value.hits(b.column("text"), overlap, part)]] = False
                 yield b.filter(pa.array(keep))
 
-        return run
-
-    for index in indexes(items, threshold):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
+        if others:
+            docs = durable(docs)
+            shared.unpersist()
     return docs

@@ -470,6 +470,43 @@ def test_decontamination(spark, odd):
     assert decontamination.find(make(spark, docs), items.limit(0)).count() == 0
 
 
+def bench_items(r, n):
+    say = lambda k: " ".join("".join(r.choice("abcdefg") for _ in range(2)) for _ in range(k))
+    return [(i, say(r.randrange(6, 40))) for i in range(n)]
+
+
+def test_block_max_wand_scores_every_item():
+    """What the search returns is what scoring every item of every passage returns."""
+    r = random.Random(21)
+    items = bench_items(r, 120)
+    index = decontamination.Index([i for i, _ in items], [t for _, t in items], 0.3)
+    seen = 0
+    for _ in range(150):
+        terms = sorted(r.sample(range(len(index.terms)), r.randrange(1, min(60, len(index.terms)))))
+        want = {}
+        for t in terms:
+            for item, impact in zip(index.item[index.at[t] : index.at[t + 1]].tolist(), index.impact[index.at[t] : index.at[t + 1]].tolist(), strict=True):
+                want[item] = want.get(item, 0.0) + impact
+        got = dict(index.search(terms, 0, len(items)))
+        assert got == pytest.approx({i: s for i, s in want.items() if s >= index.threshold - 1e-9})
+        seen += len(got)
+    assert seen > 50
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Many small indexes find what one does, with the same scores."""
+    r = random.Random(22)
+    items = bench_items(r, 40)
+    docs = [(i, " ".join(["filler words"] * r.randrange(5)) + " " + items[i % 40][1] + " tail", i) for i in range(60)] + [(100, None, 1), (101, "", 1)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((x.doc_id, x.item_id, round(x.score, 9), x.overlap) for x in decontamination.find(docs, table).collect())
+    whole, kept = found(), sorted(map(str, decontamination.drop_contaminated(docs, table).collect()))
+    assert {(i, i % 40) for i in range(60)} <= {x[:2] for x in whole}
+    monkeypatch.setattr(decontamination, "MAX_INDEX_BYTES", 1000)
+    assert found() == whole and sorted(map(str, decontamination.drop_contaminated(docs, table).collect())) == kept
+
+
 def test_chat(spark):
     odd = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd + "\\"), (2, 0, "assistant", "no"), (3, 0, "user", None), (3, 0, "user", None), (None, 1, None, "x\\<|y"), (4, 0, "ro\nle", "<\\|")]

@@ -112,7 +112,7 @@ def kelly(rates: DataFrame, ratio: float, fraction: float, cap: float) -> DataFr
 
 
 def with_day(trades: DataFrame) -> DataFrame:
-    """Adds day, that of UTC, and month, in which windows over days run."""
+    """Adds day, that of UTC."""
     return trades.withColumn("day", F.floor(F.col("exit_epoch") / 86_400))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quaver.operators import ledger, resampling, screen, stats
 from quaver.operators.trades import Product, numbered, paths, settled
+from quaver.session import written
 
 HORIZONS, DISCOVERY = (1, 5, 15), 0.7
 DIRECTIONS = {"long": 1.0, "short": -1.0}
@@ -48,13 +49,13 @@ def candidates(candles: DataFrame, step: int, product: Product, horizons: tuple[
 
 
 def marked(candles: DataFrame, symbols: DataFrame, step: int) -> DataFrame:
-    """(symbol, decision, flags): the active flags of every candle that has one."""
+    """(symbol, decision, flags): the active flags of every candle that has one, written once for all that is asked of them."""
     active = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in screen.FLAGS]))
-    return screen.flagged(candles, symbols, step).select("symbol", F.col("epoch").alias("decision"), active.alias("flags")).where(F.size("flags") > 0)
+    return written(screen.flagged(candles, symbols, step).select("symbol", F.col("epoch").alias("decision"), active.alias("flags")).where(F.size("flags") > 0))
 
 
-def flagged_candidates(candles: DataFrame, symbols: DataFrame, step: int, product: Product) -> DataFrame:
-    rows = candidates(candles, step, product).join(marked(candles, symbols, step), ["symbol", "decision"])
+def flagged_candidates(candles: DataFrame, symbols: DataFrame, step: int, product: Product, marks: DataFrame | None = None) -> DataFrame:
+    rows = candidates(candles, step, product).join(marked(candles, symbols, step) if marks is None else marks, ["symbol", "decision"])
     return rows.withColumn("flag", F.explode("flags")).drop("flags")
 
 
@@ -66,9 +67,9 @@ def outcomes(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def signals(candles: DataFrame, symbols: DataFrame, step: int) -> DataFrame:
+def signals(candles: DataFrame, step: int, marks: DataFrame) -> DataFrame:
     """(symbol, flag, split, n_signals): flagged candles, whether a trade follows or not."""
-    rows = marked(candles, symbols, step).join(split_starts(candles, step), "symbol")
+    rows = marks.join(split_starts(candles, step), "symbol")
     late = F.coalesce(F.col("decision") >= F.col("boundary"), F.lit(False))
     rows = rows.withColumn("split", F.when(late, SPLITS[1]).otherwise(SPLITS[0])).withColumn("flag", F.explode("flags"))
     return rows.groupBy("symbol", "flag", "split").agg(F.count("*").alias("n_signals"))
@@ -82,14 +83,14 @@ def grid(candles: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     return rows
 
 
-def hypotheses(candles: DataFrame, symbols: DataFrame, step: int, product: Product) -> DataFrame:
+def hypotheses(candles: DataFrame, symbols: DataFrame, step: int, product: Product, marks: DataFrame | None = None) -> DataFrame:
     """Every hypothesis of every symbol and, as symbol ALL, of all together; those without trades have counts of 0 and null means."""
-    both = F.explode(F.array("symbol", F.lit("ALL")))
-    found = outcomes(flagged_candidates(candles, symbols, step, product).withColumn("symbol", both), ["symbol"])
-    many = signals(candles, symbols, step).withColumn("symbol", both).groupBy("symbol", "flag", "split").agg(F.sum("n_signals").alias("n_signals"))
+    both, marks = F.explode(F.array("symbol", F.lit("ALL"))), marked(candles, symbols, step) if marks is None else marks
+    found = outcomes(flagged_candidates(candles, symbols, step, product, marks).withColumn("symbol", both), ["symbol"])
+    many = signals(candles, step, marks).withColumn("symbol", both).groupBy("symbol", "flag", "split").agg(F.sum("n_signals").alias("n_signals"))
     rows = grid(candles).withColumn("symbol", both).distinct().join(found, ["symbol", *KEYS], "left").join(many, ["symbol", "flag", "split"], "left")
     rows = rows.withColumn("scope", F.when(F.col("symbol") == "ALL", "pooled").otherwise("symbol"))
-    return rows.na.fill(0, ["n_effective", "n_non_tied", "wins", "n_signals"])
+    return written(rows.na.fill(0, ["n_effective", "n_non_tied", "wins", "n_signals"]))
 
 
 def tested(rows: DataFrame) -> DataFrame:
@@ -99,9 +100,9 @@ def tested(rows: DataFrame) -> DataFrame:
     return stats.benjamini_hochberg(rows, "binomial_p", "binomial_adjusted_p")
 
 
-def turned(candles: DataFrame, symbols: DataFrame, step: int, product: Product) -> DataFrame:
+def turned(candles: DataFrame, symbols: DataFrame, step: int, product: Product, marks: DataFrame | None = None) -> DataFrame:
     """(symbol, hypothesis, decision, run, on, net): all candidates of a hypothesis and whether its flag is on."""
-    rows = candidates(candles, step, product).join(marked(candles, symbols, step), ["symbol", "decision"], "left")
+    rows = candidates(candles, step, product).join(marked(candles, symbols, step) if marks is None else marks, ["symbol", "decision"], "left")
     each = F.array(*[F.struct(F.lit(f).alias("flag"), F.coalesce(F.array_contains("flags", f), F.lit(False)).alias("on")) for f in screen.FLAGS])
     return rows.withColumn("x", F.explode(each)).select("symbol", "x.flag", "horizon", "direction", "split", "decision", "run", "x.on", "net")
 
@@ -166,14 +167,16 @@ def analysis(candles: DataFrame, symbols: DataFrame, step: int, product: Product
     """All hypotheses with both families of p values adjusted, Bonferroni, and whether discovery and confirmation agree.
 
     The p of a turned series is exhaustive, or by `shifts` draws for each run; a pooled one combines those of its members."""
-    rows = tested(hypotheses(candles, symbols, step, product))
-    turns = turned(candles, symbols, step, product)
+    marks = marked(candles, symbols, step)
+    rows = tested(hypotheses(candles, symbols, step, product, marks))
+    turns = turned(candles, symbols, step, product, marks)
     found = shift_p_all(turns) if shifts is None else shift_p(turns, shifts, seed)
     own = rows.where("scope = 'symbol'").join(found.withColumnRenamed("p", "circular_shift_p"), ["symbol", *KEYS], "left").na.fill(1.0, ["circular_shift_p"])
+    own = written(own)
     z = stouffer(own, "circular_shift_p", KEYS)
     pooled = rows.where("scope = 'pooled'").join(z, KEYS, "left").withColumn("circular_shift_p", F.coalesce(1 - stats.normal_cdf("stouffer_z"), F.lit(1.0)))
     rows = own.withColumn("stouffer_z", F.lit(None).cast("double")).unionByName(pooled)
-    rows = stats.benjamini_hochberg(rows, "circular_shift_p", "adjusted_p")
+    rows = written(stats.benjamini_hochberg(rows, "circular_shift_p", "adjusted_p"))
     rows = rows.withColumn("bonferroni_adjusted_p", F.least(F.lit(1.0), F.col("circular_shift_p") * F.count("*").over(Window.partitionBy())))
     keys = ["scope", "symbol", "flag", "horizon", "direction"]
     return rows.join(confirmed(rows, ["scope", "symbol"], "adjusted_p", alpha), keys)
@@ -200,12 +203,13 @@ def pooled_pairs(tests: DataFrame, q: str, n: int = 15) -> DataFrame:
     return rows.orderBy("confirmation_q", "flag", "horizon", "direction").limit(n)
 
 
-def break_even(rows: DataFrame, payout: float) -> DataFrame:
-    """Wins against the rate at which a fixed payout breaks even, and the expected value of a unit stake, over rows with a trade that counts."""
-    need = 1 / (1 + payout)
+def break_even(rows: DataFrame, *payouts: float) -> DataFrame:
+    """Wins against the rate at which each fixed payout breaks even, and the expected value of a unit stake, over rows with a trade that
+    counts; the rows of a payout are a family."""
     rows = rows.where("n_non_tied > 0").withColumn("wins", F.bround(F.col("hit_rate") * F.col("n_non_tied")).cast("long")).withColumn("win_rate", F.col("wins") / F.col("n_non_tied"))
-    rows = rows.withColumn("break_even", F.lit(need)).withColumn("expected_value", F.col("win_rate") * payout - (1 - F.col("win_rate")))
-    return stats.benjamini_hochberg(rows.withColumn("p", stats.binomial_sf("wins", "n_non_tied", F.lit(need))))
+    rows = rows.withColumn("payout", F.explode(F.array(*map(F.lit, payouts)))).withColumn("break_even", 1 / (1 + F.col("payout")))
+    rows = rows.withColumn("expected_value", F.col("win_rate") * F.col("payout") - (1 - F.col("win_rate")))
+    return stats.benjamini_hochberg(rows.withColumn("p", stats.binomial_sf("wins", "n_non_tied", "break_even")), "p", "q", "payout")
 
 
 def replicated(rows: DataFrame, least: int = 100) -> DataFrame:
@@ -215,7 +219,7 @@ def replicated(rows: DataFrame, least: int = 100) -> DataFrame:
 
 
 def payout_summary(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
-    return rows.agg(
+    return rows.groupBy("payout").agg(
         F.count("*").alias("rows_tested"), F.count(F.when(F.col("win_rate") > F.col("break_even"), 1)).alias("rows_above_break_even"), F.count(F.when(F.col("q") < alpha, 1)).alias("significant_rows"), F.min("q").alias("least_q"),
     )
 

@@ -11,6 +11,7 @@ from quaver.functions.series import segmented
 from quaver.operators import indicators as ind
 from quaver.operators import stats
 from quaver.operators.trades import Product, forward_trades
+from quaver.session import written
 
 #: Names of the flags, in their order.
 FLAGS = ["overbought", "stretched", "vol_mismatch", "trending_regime", "mean_reverting_regime"]
@@ -92,7 +93,7 @@ def of_part(rows: DataFrame, part: str) -> DataFrame:
 
 def latest(candles: DataFrame, symbols: DataFrame, step: int, n: int = LATEST) -> DataFrame:
     """The row on display of each symbol, from the last contiguous run of display rows: measures, trend, active flags, sizes of the parts."""
-    parts = split(candles, n)
+    parts = written(split(candles, n))
     rows = features(of_part(last_segments(parts, step), "display"), symbols, step)
     rows = rows.withColumn("trend", trend()).withColumn("flags", F.array_compact(F.array(*[F.when(f, n) for n, f in flags().items()])))
     names = [c for c in rows.columns if c != "symbol"]
@@ -109,10 +110,10 @@ def calibration_signals(candles: DataFrame, symbols: DataFrame, step: int, produ
     """(symbol, epoch, ret, one column for each flag) of the last calibration run: whether a trade follows, and its net return.
 
     The last row of the run can't be traded: its flags are false and its return is null."""
-    rows = of_part(last_segments(split(candles, n), step), "calibration")
+    rows = written(of_part(last_segments(split(candles, n), step), "calibration"))
     trades = forward_trades(rows, step, F.lit(1.0), 1, product).select("symbol", (F.col("decision") - step).alias("epoch"), (F.col("net") / product.stake).alias("ret"))
     marks = causal_flags(rows, symbols, step).join(trades, ["symbol", "epoch"], "left")
-    return marks.select("symbol", "epoch", "ret", *[(F.col(f) & F.col("ret").isNotNull()).alias(f) for f in FLAGS])
+    return written(marks.select("symbol", "epoch", "ret", *[(F.col(f) & F.col("ret").isNotNull()).alias(f) for f in FLAGS]))
 
 
 def by_flag(signals: DataFrame) -> DataFrame:

@@ -165,13 +165,13 @@ def _probability(p: str) -> Column:
     return F.when(F.col(p).between(0, 1), F.col(p)).otherwise(F.raise_error(F.concat(F.lit("not a probability: "), F.col(p).cast("string"))).cast("double"))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
-    """Adds q over all rows that have a p; others drop out. A p outside 0..1 raises an error when it is read.
+def benjamini_hochberg(tests: DataFrame, p: str = "p", q: str = "q", *family: str) -> DataFrame:
+    """Adds q over all rows (of one family) that have a p; others drop out. A p outside 0..1 raises an error when it is read.
 
     For families of hypotheses, which are (symbol, flag, horizon, ...) and as small as such lists are: one task orders them and
     the tests are worked out once. benjamini_hochberg_large() is for families that grow with the data."""
-    rows = tests.where(F.col(p).isNotNull()).withColumn(p, _probability(p)).withColumn("_k", F.row_number().over(Window.orderBy(p))).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    least = F.min(F.col(p) * F.col("_m") / F.col("_k")).over(Window.orderBy("_k").rowsBetween(0, Window.unboundedFollowing))
+    rows = tests.where(F.col(p).isNotNull()).withColumn(p, _probability(p)).withColumn("_k", F.row_number().over(Window.partitionBy(*family).orderBy(p))).withColumn("_m", F.count("*").over(Window.partitionBy(*family)))
+    least = F.min(F.col(p) * F.col("_m") / F.col("_k")).over(Window.partitionBy(*family).orderBy("_k").rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumn(q, F.least(F.lit(1.0), least)).drop("_k", "_m")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quaver.operators import indicators as ind
 from quaver.operators import edge, ledger, quality, resampling, risk, screen, stats, trades
 from quaver.operators.trades import Product, body_signal
+from quaver.session import checkpoint_folder
 from quaver.sources import history, market
 from quaver.sources.store import Store
 from quaver.sources.market import DAY, HOUR
@@ -44,13 +45,7 @@ def with_symbols(f: Callable, *args) -> Query:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all machines share."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "/tmp/checkpoints/quaver")
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def scan_ticks_range(spark: SparkSession, d: str) -> DataFrame:
@@ -387,12 +382,11 @@ def edge_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payouts(spark: SparkSession, d: str) -> DataFrame:
-    return edge.break_even(hypothesis_rows(spark, d), 0.95)
+    return edge.break_even(hypothesis_rows(spark, d), 0.95).drop("payout")
 
 
 def payout_summary(spark: SparkSession, d: str) -> DataFrame:
-    parts = [edge.payout_summary(edge.break_even(hypothesis_rows(spark, d), p)).withColumn("payout", F.lit(p)) for p in (0.9, 0.95, 1.0)]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return rounded(edge.payout_summary(edge.break_even(hypothesis_rows(spark, d), 0.9, 0.95, 1.0)))
 
 
 def edge_bootstrap(spark: SparkSession, d: str) -> DataFrame:

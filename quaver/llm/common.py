@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +121,3 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[i], ..., starts[i]+sizes[i]-1 for each i, one after another."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF

@@ -20,8 +20,8 @@ nor makes one. The component_id is the least doc_id among all rows of a componen
 doc_id equals a null component_id. Only doc_id and text are read; other columns can't clash. An empty table gives an
 empty result.
 
-Joins by class, bucket, leader or component split hot keys (quaver.llm.common.split_join), so that a large group of
-copies is dealt over all tasks.
+Joins of documents or buckets by class, bucket or component split hot keys (quaver.llm.common.split_join), so that a large
+group of copies is dealt over all tasks. Joins of edges, of which a class has few, are left to Spark's skew join.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ SIMILARITY = 75
 LEAST_EQUAL = 66
 #: Members tested in one group against one leader; a larger group is split.
 GROUP_ROWS = 256
+#: Edges that a task reads in a step of the union-find, so that few edges are not dealt over as many tasks as texts are.
+EDGE_ROWS = 8192
 #: Classes in a block of a bucket; a task holds the sets of two blocks.
 TILE_ROWS = 256
 
@@ -127,8 +129,7 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    hot = hot_keys(pairs.groupBy("b").count(), "b", pairs.count())
-    sized = split_join(pairs.join(one, "a"), two, "b", hot).where(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
+    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -140,9 +141,8 @@ def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets. Texts are sent once to each group of pairs with the same b."""
-    groups = pairs.groupBy("b").agg(F.count("*").alias("count"), F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
-    hot = hot_keys(groups, "b", pairs.count())
-    rows = split_join(pairs, groups.drop("count"), "b", hot).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
+    rows = pairs.join(groups, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     asked = rows.select("b", "part", F.col("a").alias("cls"), F.lit(1).alias("kind"))
     leaders = rows.select("b", "part").distinct().select("b", "part", F.col("b").alias("cls"), F.lit(0).alias("kind"))
     asked = asked.unionByName(leaders).join(classes.select("cls", "row"), "cls")
@@ -180,12 +180,16 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def few(e: DataFrame, n: int) -> DataFrame:
+        return e.coalesce(max(1, -(-n // EDGE_ROWS)))
+
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
     while seen[0]:
+        edges = few(edges, seen[0])
         two = both(edges)
-        least = two.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("count"))
-        large = split_join(two, least.drop("count"), "a", hot_keys(least, "a", 2 * seen[0])).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = two.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = two.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = durable(small.where("a <> b").distinct())

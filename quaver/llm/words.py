@@ -94,32 +94,3 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(h), bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     return doc[keep], h[keep]
-
-
-def word_bytes(data: np.ndarray, w: Words, which: np.ndarray, lower: bool = False) -> list[bytes]:
-    """The bytes of the words numbered `which`."""
-    raw = (LOWER[data] if lower else data).tobytes()
-    return [raw[a:b] for a, b in zip(w.start[which].tolist(), (w.start[which] + w.length[which]).tolist(), strict=True)]
-
-
-class Memo:
-    """Dense numbers for word hashes seen in a task, so that work is done once per distinct word.
-
-    Holds at most `limit` words; then it starts anew, which costs time but changes nothing.
-    """
-
-    def __init__(self, limit: int = 1_000_000):
-        self.limit, self.at = limit, {}
-
-    def number(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-        """(number of each word, places in h of the words that are new, whether all earlier numbers are void)."""
-        distinct, place, back = np.unique(h, return_index=True, return_inverse=True)
-        void = len(self.at) + len(distinct) > self.limit
-        if void:
-            self.at = {}
-        at, size = self.at, len(self.at)
-        got = np.fromiter((at.get(x, -1) for x in distinct.tolist()), np.int64, len(distinct))
-        new = got < 0
-        got[new] = np.arange(size, size + new.sum())
-        at.update(zip(distinct[new].tolist(), got[new].tolist(), strict=True))
-        return got[back], place[new], void

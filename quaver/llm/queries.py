@@ -11,10 +11,12 @@ from quaver.llm.common import crc_mod, table
 
 
 WORD_BPE = "word_bpe_49k.json"
+#: Occurrences from which a context is tested.
+CONTEXTS = 512
 
 
 def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+    return suffix_tree.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0, least_context=CONTEXTS)
 
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

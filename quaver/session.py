@@ -14,6 +14,7 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxPlanStringLength", "65536")
     )
     if master:
         b = b.master(master)

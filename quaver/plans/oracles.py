@@ -394,7 +394,7 @@ SELECT *, 'Trend ' || trend || '; momentum ' || momentum || '; price ' || stretc
     "parse_history_json": f"""WITH {TICKS} SELECT symbol, epoch // 86400 AS page, epoch, {unsigned('quote')} AS quote FROM ticks UNION ALL SELECT symbol, epoch // 86400 - 1, epoch, {unsigned('quote')} FROM ticks WHERE epoch % 86400 < 600""",
     "history_pages_dedup": f"WITH {TICKS} SELECT DISTINCT symbol, epoch, {unsigned('quote')} AS quote FROM ticks WHERE epoch BETWEEN 1704672000 AND 1705276800",
     "candle_pages_dedup": f"WITH {DAILY} SELECT symbol, epoch, {unsigned('open')} AS open, {unsigned('high')} AS high, {unsigned('low')} AS low, {unsigned('close + CASE WHEN epoch % 31536000 < 2592000 THEN 1 ELSE 0 END')} AS close FROM daily WHERE epoch BETWEEN 820454400 AND 852076800",
-    "parse_report_header": "SELECT 'r' || i AS name, '2024-01-0' || i AS report_date, 0.05::DOUBLE AS alpha, 1120 + i AS rows_per_family, i AS bonferroni, 20 AS replications, 1120 AS tests, 0 AS confirmed_null, 2 AS symbols, 86400 - i AS candles, 1100 AS first_epoch, 8000 + i AS last_epoch FROM (SELECT unnest([1::BIGINT, 2::BIGINT]) AS i)",
+    "parse_report_header": "SELECT 'r' || i AS name, '2024-01-0' || i AS report_date, 0.05::DOUBLE AS alpha, 1120 + i AS rows_per_family, i AS bonferroni, 20::BIGINT AS replications, 1120::BIGINT AS tests, 0::BIGINT AS confirmed_null, 2 AS symbols, 86400 - i AS candles, 1100::BIGINT AS first_epoch, 8000 + i AS last_epoch FROM (SELECT unnest([1::BIGINT, 2::BIGINT]) AS i)",
     "backfill_missing_epochs": f"""WITH {HOURLY}, l AS (SELECT symbol, min(epoch) AS first, max(epoch) AS last FROM hourly GROUP BY symbol), e AS (SELECT symbol, last, unnest(range(first, 1707004800, 3600)) AS epoch FROM l), m AS (SELECT * FROM e ANTI JOIN hourly USING (symbol, epoch)),
 s AS (SELECT symbol, least(last - 7200, coalesce(min(CASE WHEN epoch < last THEN epoch END), last - 7200)) AS start FROM m GROUP BY symbol, last) SELECT symbol, epoch FROM m JOIN s USING (symbol) WHERE epoch >= start""",
     "backfill_coverage": f"WITH {HOURLY} SELECT symbol, 840::BIGINT AS expected, count(CASE WHEN epoch >= 1703980800 AND epoch < 1707004800 THEN 1 END) AS observed, round(100.0 * count(CASE WHEN epoch >= 1703980800 AND epoch < 1707004800 THEN 1 END) / 840, 6) + 0.0 AS coverage FROM hourly GROUP BY symbol",

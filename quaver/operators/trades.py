@@ -228,7 +228,7 @@ def reality_check(rows: DataFrame, step: int, replications: int, seed: int, bloc
     centered = means.join(sizes.select("strategy", (F.col("total") / F.col("n")).alias("own")), "strategy").groupBy("replication").agg(F.max(F.col("mean") - F.col("own")).alias("best"))
     best = sizes.agg(F.max(F.col("total") / F.col("n")).alias("observed"), F.count("*").alias("strategies")).first()
     p = (1 + F.count(F.when(F.col("best") >= best.observed, 1))) / (replications + 1)
-    return centered.agg(F.lit(best.observed).alias("observed"), p.alias("p"), F.lit(best.strategies).alias("strategies"))
+    return centered.agg(F.lit(best.observed).alias("observed"), p.alias("p"), F.lit(best.strategies).cast("long").alias("strategies"))
 
 
 def walk_forward_splits(counts: DataFrame, train: int, test: int, step: int) -> DataFrame:

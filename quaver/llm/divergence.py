@@ -6,10 +6,10 @@ terms, and each kept term has p = 1 + floor(UNIT (count + 1) / (N + V)) there. T
 floor((p - q) (p - q) / q). Part `pair` sums it over all kept terms for each ordered pair of sources of a language; part
 `term` ranks the terms that a source uses more than its language does, `most` of them. All numbers are exact integers.
 
-Tasks count the terms of slices of text and add them to a radix trie over bytes for each language, whose leaves count
-occurrences by source and documents; a trie that has grown to MAX_LEAVES is handed on in byte order and begun anew.
-Leaves are dealt out by ranges of (language, term), so the tries of one range of prefixes merge in one task, which walks the
-merged trie in UTF-8 order and hands on kept terms in chunks. Chunks meet the language's groups in blocks of BLOCK
+Tasks count the terms of some texts and add them to a radix trie over bytes for each language, whose leaves count
+occurrences by source and documents; tries that have grown to MAX_LEAVES are handed on, leaf by leaf in byte order, and begun
+anew. Leaves are dealt out by ranges of (language, term), so the tries of one range of prefixes merge in one task: equal
+leaves of their walks meet in UTF-8 order, and kept terms are handed on in chunks. Chunks meet the language's groups in blocks of BLOCK
 sources; tasks sum divergences for each pair of blocks, and keep the best `most` candidates of each source, equal values
 in byte order; Spark adds and ranks what they hand on. Only counters are shuffled, never texts.
 
@@ -26,14 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import durable, ragged, slices, small_batches
+from quaver.llm.common import durable, slices, small_batches
 
 UNIT = 1_000_000_000
-#: Leaves of the tries that a task holds before it hands them on; kept terms in a chunk; sources in a block.
-MAX_LEAVES, CHUNK, BLOCK = 250_000, 1024, 128
+#: Counters that a task holds before they go into its tries; leaves of these before it hands them on.
+MAX_HELD, MAX_LEAVES = 400_000, 250_000
+#: Kept terms in a chunk; sources in a block; rows of an Arrow batch of leaves, and of one of chunks.
+CHUNK, BLOCK, LEAF_ROWS, CHUNK_ROWS = 1024, 128, 20_000, 16
 #: Parts into which the chunks of one language are dealt.
 SALT = 64
 #: Bytes of a term: ASCII letters, A-Z as a-z, and all bytes of characters beyond ASCII; others part terms.
@@ -99,7 +102,9 @@ def rows_of(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
         walk = trie.walk()
         while part := [x for _, x in zip(range(20_000), walk)]:
             docs = [leaf.pop(DOCS) for _, leaf in part]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([t.decode() for t, _ in part], pa.string()), pa.array(docs, pa.int64()), pa.array([list(x) for _, x in part], pa.list_(pa.int64())), pa.array([list(x.values()) for _, x in part], pa.list_(pa.int64()))], schema=LEAF)
+            bounds = pa.array(np.cumsum([0, *(len(leaf) for _, leaf in part)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in ([k for _, leaf in part for k in leaf], [c for _, leaf in part for c in leaf.values()])]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([t for t, _ in part], pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), *lists], schema=LEAF)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -107,78 +112,95 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = {}
+        seen: dict[str, dict[int, Counter]] = {}
+        found: dict[str, Counter] = {}
+
+        def gathered() -> None:
+            """The counts held so far go into the tries."""
+            for lang, docs_of in found.items():
+                trie = tries.setdefault(lang, Trie())
+                leaves = {}
+                for term, c in docs_of.items():
+                    leaves[term] = leaf = trie.leaf(term)
+                    leaf[DOCS] = leaf.get(DOCS, 0) + c
+                for source, counts in seen[lang].items():
+                    for term, c in counts.items():
+                        leaf = leaves[term]
+                        leaf[source] = leaf.get(source, 0) + c
+            seen.clear()
+            found.clear()
+
         for b in slices(batches, "text"):
-            seen: dict[tuple[str, int], Counter] = {}
-            found: dict[str, Counter] = {}
             for lang, source, text in zip(*[b.column(c).to_pylist() for c in ("lang", "source", "text")], strict=True):
                 words = text.encode().translate(LETTERS).split()
-                seen.setdefault((lang, source), Counter()).update(words)
-                found.setdefault(lang, Counter()).update(set(words))
-            for (lang, source), counts in seen.items():
-                trie = tries.setdefault(lang, Trie())
-                for term, c in counts.items():
-                    leaf = trie.leaf(term)
-                    leaf[source] = leaf.get(source, 0) + c
-            for lang, counts in found.items():
-                trie = tries[lang]
-                for term, c in counts.items():
-                    leaf = trie.leaf(term)
-                    leaf[DOCS] = leaf.get(DOCS, 0) + c
-            if sum(t.leaves for t in tries.values()) > MAX_LEAVES:
-                yield from rows_of(tries)
-                tries = {}
+                of = seen.get(lang)
+                if of is None:
+                    of, found[lang] = seen.setdefault(lang, {}), Counter()
+                if source not in of:
+                    of[source] = Counter()
+                of[source].update(words)
+                found[lang].update(set(words))
+            if sum(len(x) for of in seen.values() for x in of.values()) > MAX_HELD:
+                gathered()
+                if sum(t.leaves for t in tries.values()) > MAX_LEAVES:
+                    yield from rows_of(tries)
+                    tries.clear()
+        gathered()
         yield from rows_of(tries)
 
     return docs.mapInArrow(run, LEAVES)
 
 
+def merged(t: pa.Table) -> pa.Table:
+    """Leaves in order, those of one term put together."""
+    t = t.combine_chunks()
+    lang, term, docs, sources, counts = (t.column(c).chunk(0) for c in LEAF.names)
+    new = np.ones(len(t), bool)
+    new[1:] = np.asarray(pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])))
+    first = np.flatnonzero(new)
+    runs = np.repeat(np.cumsum(new) - 1, np.asarray(sources.value_lengths()))
+    ids, n = np.asarray(sources.flatten()), np.asarray(counts.flatten())
+    order = np.lexsort((ids, runs))
+    runs, ids, n = runs[order], ids[order], n[order]
+    own = np.ones(len(ids), bool)
+    own[1:] = (runs[1:] != runs[:-1]) | (ids[1:] != ids[:-1])
+    start = np.flatnonzero(own)
+    bounds = pa.array(np.searchsorted(runs[start], np.arange(len(first) + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (ids[start], np.add.reduceat(n, start))]
+    return pa.table([lang.take(pa.array(first)), term.take(pa.array(first)), pa.array(np.add.reduceat(np.asarray(docs), first)), *lists], schema=LEAF)
+
+
 def kept_terms(leaves: DataFrame, least_docs: int) -> DataFrame:
-    """Chunks (lang, chunk, terms, bounds, sources, counts) of the terms in least_docs documents of a language, in byte order.
+    """Chunks (lang, terms, bounds, sources, counts) of the terms in least_docs documents of a language, in byte order.
 
     Term i has counts[bounds[i]:bounds[i + 1]] occurrences in the sources at the same places."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, trie, held, number = None, Trie(), [], 0
-
-        def chunk() -> pa.RecordBatch:
-            nonlocal number
-            bounds = np.cumsum([0, *(len(x) for _, x in held)])
-            number += 1
-            return pa.RecordBatch.from_pydict({"lang": [lang], "chunk": [number], "terms": [[t.decode() for t, _ in held]], "bounds": [bounds.tolist()], "sources": [[k for _, x in held for k in x]], "counts": [[c for _, x in held for c in x.values()]]}, pa.schema([("lang", pa.string()), ("chunk", pa.int64()), ("terms", pa.list_(pa.string())), *[(c, pa.list_(pa.int64())) for c in ("bounds", "sources", "counts")]]))
-
-        def walked(last: bool) -> Iterator[pa.RecordBatch]:
-            """Hands on the terms of the trie but the greatest one, of which more may come; all of them at the end of a language."""
-            nonlocal trie, held
-            rest, before = Trie(), None
-            for x in trie.walk():
-                if before and before[1].pop(DOCS) >= least_docs:
-                    held.append(before)
-                    if len(held) == CHUNK:
-                        yield chunk()
-                        held = []
-                before = x
-            if before and not last:
-                rest.add(before[0], before[1].items())
-            elif before and before[1].pop(DOCS) >= least_docs:
-                held.append(before)
-            if last and held:
-                yield chunk()
-                held = []
-            trie = rest
+    def chunks(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.filter(pc.greater_equal(t.column("docs"), least_docs)).combine_chunks()
+        cuts = pc.run_end_encode(t.column("lang").combine_chunks()) if len(t) else None
+        at = 0
+        for end in cuts.chunk(0).run_ends.to_pylist() if isinstance(cuts, pa.ChunkedArray) else cuts.run_ends.to_pylist() if cuts is not None else []:
+            while at < end:
+                to = min(end, at + CHUNK)
+                part = t.slice(at, to - at).combine_chunks()
+                sources, counts = (part.column(c).chunk(0) for c in ("sources", "counts"))
+                whole = [[np.cumsum([0, *sources.value_lengths().to_pylist()])], [sources.flatten()], [counts.flatten()]]
+                yield pa.RecordBatch.from_arrays([part.column("lang").chunk(0)[:1], pa.array([part.column("term").chunk(0)], pa.list_(pa.string())), *[pa.array(x, pa.list_(pa.int64())) for x in whole]], ["lang", "terms", "bounds", "sources", "counts"])
+                at = to
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # the last term, of which more may come
         for b in batches:
-            rows = zip(*[b.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")], strict=True)
-            for name, term, docs, sources, counts in rows:
-                if name != lang:
-                    yield from walked(True)
-                    lang = name
-                trie.add(term.encode(), [(DOCS, docs), *zip(sources, counts, strict=True)])
-            if trie.leaves > MAX_LEAVES:
-                yield from walked(False)
-        yield from walked(True)
+            if b.num_rows:
+                t = pa.Table.from_batches([b]).cast(LEAF)
+                t = merged(t if rest is None else pa.concat_tables([rest, t]))
+                rest = t.slice(len(t) - 1)
+                yield from chunks(t.slice(0, len(t) - 1))
+        if rest is not None:
+            yield from chunks(rest)
 
     rows = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    return rows.mapInArrow(run, "lang string, chunk long, terms array<string>, bounds array<long>, sources array<long>, counts array<long>")
+    return rows.mapInArrow(run, "lang string, terms array<string>, bounds array<long>, sources array<long>, counts array<long>")
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -261,8 +283,11 @@ def audit(docs: DataFrame, least_docs: int = 3, most: int = 200) -> DataFrame:
     clash = names.groupBy("lang", "id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if clash:
         raise ValueError("two sources of a language have one hash")
+    spark = docs.sparkSession
     leaves = durable(counted(rows.select("lang", F.shiftright(F.xxhash64("source"), 1).alias("source"), "text")))
+    small_batches(spark, LEAF_ROWS)
     chunks = durable(kept_terms(leaves, least_docs))
+    small_batches(spark, CHUNK_ROWS)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, list[int]] = {}
@@ -282,13 +307,15 @@ def audit(docs: DataFrame, least_docs: int = 3, most: int = 200) -> DataFrame:
     one = blocks.select("lang", F.col("block").alias("a"), F.col("sources").alias("one"), F.col("totals").alias("one_totals"))
     two = blocks.select("lang", F.col("block").alias("b"), F.col("sources").alias("two"), F.col("totals").alias("two_totals"))
     pairs = one.join(two, "lang").join(langs, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    dealt = chunks.withColumn("salt", F.pmod(F.xxhash64("chunk", F.element_at("terms", 1)), F.lit(SALT)).cast("int"))
-    parts = durable(audited(dealt.join(pairs, ["lang", "salt"]).drop("salt", "chunk"), most))
+    dealt = chunks.withColumn("salt", F.pmod(F.xxhash64(F.element_at("terms", 1)), F.lit(SALT)).cast("int"))
+    parts = durable(audited(dealt.join(pairs, ["lang", "salt"]).drop("salt"), most))
     found = parts.where("term is null").groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
     every = names.select("lang", F.col("source").alias("name"), F.col("id").alias("source"))
     both = every.join(every.select("lang", F.col("name").alias("item"), F.col("source").alias("other")), "lang").where("source <> other")
     pair = both.join(found, ["lang", "source", "other"], "left").select("lang", F.col("name").alias("source"), F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
-    term = parts.where("term is not null").join(every, ["lang", "source"]).select("lang", F.col("name").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), "value")
-    place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")).cast("int")
-    ranked = pair.withColumn("rank", place)
-    return ranked.unionByName(term.withColumn("rank", place).where(F.col("rank") <= most))
+    small_batches(spark)
+    best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    term = parts.where("term is not null").select("lang", "source", F.col("term").alias("item"), "value")
+    term = term.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= most)
+    term = term.join(every, ["lang", "source"]).select("lang", F.col("name").alias("source"), F.lit("term").alias("part"), "item", "value", "rank")
+    return pair.withColumn("rank", F.row_number().over(best).cast("int")).unionByName(term)

@@ -20,6 +20,7 @@ language is an error. Only text, lang and source are read; other columns can't c
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections import Counter
 from collections.abc import Iterator
@@ -111,6 +112,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """The leaves of the tries that tasks have counted, from (lang, source as a number, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # tries have no cycles, and many nodes to look through
         tries: dict[str, Trie] = {}
         seen: dict[str, dict[int, Counter]] = {}
         found: dict[str, Counter] = {}
@@ -147,6 +149,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     tries.clear()
         gathered()
         yield from rows_of(tries)
+        gc.enable()
 
     return docs.mapInArrow(run, LEAVES)
 

@@ -1,10 +1,10 @@
 """Minimax contiguous partition of documents into shards of near equal bytes.
 
-Equal texts form an atomic group. Groups are ordered by a 64-bit hash of their text. Binary search finds the smallest
-capacity for which greedy filling, in that order, needs no more than the given shards; a group larger than a capacity
-takes a shard of its own, so that one huge group of copies doesn't unbalance the others. The slack that this capacity
-leaves is then spread: each cut falls at the group boundary nearest to an equal share of what remains, as long as the
-rest still fits.
+Equal texts form an atomic group. Groups are ordered by a 64-bit hash of their text. Binary search, from the size of the
+largest group up, finds the smallest capacity for which greedy filling, in that order, needs no more than the given shards;
+no shard has more. Where one huge group of copies makes the capacity large, greedy cuts at it would fill some shards and leave
+others empty. So a second search finds the smallest capacity of the shards that aren't one group larger than it, and cuts
+are made at that: each at the group boundary nearest to an equal share of what remains, as long as the rest still fits.
 
 The driver sees ranges of keys with their bytes instead of groups, 2 ** FIRST_BITS at first. A search over ranges tells
 where its capacity, one byte less than that, and the cuts depend on the inside of a range; only these are split by
@@ -49,17 +49,23 @@ def greedy(sizes: list[int], capacity: int, sums: list[int] | None = None, at: i
     return starts, stops
 
 
-def cuts(sizes: list[int], shards: int) -> tuple[int, list[int], set[int]]:
-    """(smallest feasible capacity, first group of each shard but the first, the groups whose atomicity this rests on)."""
+def cuts(sizes: list[int], shards: int, least: int | None = None) -> tuple[int, list[int], set[int]]:
+    """(smallest feasible capacity, first group of each shard but the first, the groups whose atomicity this rests on).
+
+    least: the size of the largest group, where sizes are those of ranges of groups; such a range may be larger than the capacity,
+    and is then one of those that the result rests on."""
     sums = [0, *accumulate(sizes)]
-    low, high = 0, sums[-1]
-    while low < high:
-        mid = (low + high) // 2
-        if len(greedy(sizes, mid, sums, 0, shards)[0]) <= shards:
-            high = mid
-        else:
-            low = mid + 1
-    rests = {i for capacity in {low, max(0, low - 1)} for i in greedy(sizes, capacity, sums, 0, shards)[1]}
+
+    def smallest(low: int) -> int:
+        high = max(low, sums[-1])
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if len(greedy(sizes, mid, sums, 0, shards)[0]) <= shards else (mid + 1, high)
+        return low
+
+    capacity = smallest(max(sizes, default=0) if least is None else least)
+    low = smallest(0)  # of the shards that aren't one huge group
+    rests = {i for c in {capacity, low, max(0, low - 1)} for i in greedy(sizes, c, sums, 0, shards)[1]}
 
     def fit(at: int, into: int) -> tuple[bool, set[int]]:
         starts, stops = greedy(sizes, low, sums, at, into)
@@ -83,7 +89,7 @@ def cuts(sizes: list[int], shards: int) -> tuple[int, list[int], set[int]]:
             to = enough
             rests |= {to - 1, to} | fit(to, left - 1)[1] | fit(to - 1, left - 1)[1]
         at, left = to, left - 1
-    return low, starts[1:], {i for i in rests if i < len(sizes)}
+    return capacity, starts[1:], {i for i in rests if i < len(sizes)}
 
 
 def ranges(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
@@ -94,8 +100,9 @@ def ranges(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
         return [tuple(r) for r in some.withColumn("bits", bits).groupBy("bits", cell.alias("cell")).agg(F.min("key"), F.max("key"), F.sum("size")).collect()]
 
     found = sorted((low, high, total, bits) for bits, _, low, high, total in sums(groups, F.lit(FIRST_BITS)))
+    least = groups.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
     while True:
-        _, starts, rests = cuts([r[2] for r in found], shards)
+        _, starts, rests = cuts([r[2] for r in found], shards, least)
         split = [found[i] for i in sorted(rests) if found[i][0] != found[i][1]]
         if not split:
             return [r[0] for r in found], starts

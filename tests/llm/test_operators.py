@@ -1,5 +1,6 @@
 """Operators of quaver.llm against brute force, and over nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import itertools
 import json
 import random
 import re
@@ -342,9 +343,33 @@ def test_cuts_are_minimax():
         capacity, starts, _ = sharding.cuts(sizes, shards)
         totals, groups = shards_of(sizes, starts)
         assert len(totals) <= shards
-        assert max((t for t, g in zip(totals, groups, strict=True) if g > 1), default=0) <= capacity
-        several = least_capacity(sizes, shards)
-        assert several <= capacity and len(sharding.greedy(sizes, several)[0]) <= shards and (not capacity or len(sharding.greedy(sizes, capacity - 1)[0]) > shards)
+        assert max(totals) <= capacity
+        assert max((t for t, g in zip(totals, groups, strict=True) if g > 1), default=0) <= least_capacity(sizes, shards) or max(totals) < capacity
+
+
+def test_capacity_is_the_least_of_all_partitions():
+    """Against every way to cut a list into contiguous parts."""
+    r = random.Random(12)
+    assert sharding.cuts([100, 1, 1, 1, 1], 4)[0] == 100
+    for _ in range(300):
+        sizes = [r.choice([1, 2, 5, 9, 60]) * r.randrange(1, 4) for _ in range(r.randrange(1, 9))]
+        shards = r.randrange(1, 6)
+        ways = [c for k in range(min(shards, len(sizes))) for c in itertools.combinations(range(1, len(sizes)), k)]
+        largest = lambda c: max(sum(sizes[a:b]) for a, b in itertools.pairwise([0, *c, len(sizes)]))
+        capacity, starts, _ = sharding.cuts(sizes, shards)
+        assert capacity == min(map(largest, ways))
+        assert largest(starts) <= capacity and len(starts) < shards
+
+
+def test_a_huge_group_leaves_the_others_even():
+    r = random.Random(13)
+    sizes = [r.randrange(20, 60) for _ in range(4000)]
+    sizes[1700] = 80_000  # a third
+    capacity, starts, _ = sharding.cuts(sizes, 40)
+    totals = shards_of(sizes, starts)[0]
+    assert capacity == 80_000 and len(totals) == 40 and max(totals) == 80_000
+    rest = sorted(totals)[:-1]
+    assert rest[-1] < 1.1 * rest[1]
 
 
 def test_shards(spark, odd):

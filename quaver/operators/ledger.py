@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quaver.operators import stats
 from quaver.operators.trades import Product
 
+#: Fixed value: seconds after its record at which a call that still waits becomes void.
+EXPIRY = 3 * 86_400
 #: Payout assumed, scored calls before a verdict, level of significance, candles of a call, results kept.
 PAYOUT, LEAST_CALLS, ALPHA, HORIZON, RECENT = 0.95, 200, 0.05, 5, 100
 #: The strategies; the coin is a control and no part of the family that is corrected for.
@@ -44,12 +46,17 @@ def recorded(features: DataFrame, known: DataFrame, step: int, now: int) -> Data
 def scored(calls: DataFrame, candles: DataFrame, step: int, horizon: int = HORIZON, now: int | None = None) -> DataFrame:
     """win, loss (a flat path too), void (a missing candle) or pending (its last candle not closed by `now`) for each call.
 
-    Entry is at the next open, exit `horizon` closes on."""
+    Entry is at the next open, exit `horizon` closes on. A call that has the epoch at which it was recorded becomes void if it
+    still waits EXPIRY seconds after."""
     entry = candles.select("symbol", (F.col("epoch") - step).alias("epoch"), F.col("open").alias("entry"))
     leave = candles.select("symbol", (F.col("epoch") - horizon * step).alias("epoch"), F.col("close").alias("exit"))
     rows = calls.join(entry, ["symbol", "epoch"], "left").join(leave, ["symbol", "epoch"], "left")
     move = F.col("direction") * (F.col("exit") - F.col("entry"))
     waiting = F.lit(False) if now is None else F.col("epoch") + (horizon + 1) * step > now
+    if now is not None and "recorded" in calls.columns:
+        late = waiting & (F.lit(now) - F.col("recorded") > EXPIRY)
+        rows = rows.withColumns({c: F.when(~late, F.col(c)) for c in ("entry", "exit")})
+        waiting, move = waiting & ~late, F.when(~late, move)
     return rows.withColumn("outcome", F.when(waiting, "pending").when(move.isNull(), "void").when(move > 0, "win").otherwise("loss"))
 
 
@@ -105,10 +112,20 @@ def sizes(symbols: DataFrame, equity: float, target: float, product: Product, fr
     )
 
 
-def kelly(rates: DataFrame, ratio: float, fraction: float, cap: float) -> DataFrame:
+def kelly(rates: DataFrame, ratio: float, fraction: float, cap: float, equity: float | None = None, product: Product | None = None) -> DataFrame:
+    """The share of equity to risk by a fraction of Kelly's rule, capped; with equity and a product also the stake that risks as
+    much, its share of equity, its risk and whether the cap holds. A share that the commission uses up is an error."""
     _fractions(fraction, cap)
     full = F.greatest(F.lit(0.0), F.col("win_rate") - (1 - F.col("win_rate")) / ratio)
-    return rates.select("symbol", (full * fraction).alias("requested"), F.least(full * fraction, F.lit(cap)).alias("applied"))
+    rows = rates.select("symbol", (full * fraction).alias("requested"), F.least(full * fraction, F.lit(cap)).alias("applied"))
+    if equity is None or product is None:
+        return rows
+    if not math.isfinite(equity) or equity <= 0:
+        raise ValueError("equity is above 0")
+    some, free = F.col("applied") > 0, (F.col("applied") * equity - product.commission) / loss_share(product)
+    stake = F.when(some & (free <= 0), F.raise_error(F.lit("a budget of risk must exceed the commission")).cast("double")).when(some, free).otherwise(0.0)
+    rows = rows.withColumn("stake", stake).withColumn("equity_fraction", F.col("stake") / equity)
+    return rows.withColumn("risk", F.when(some, (F.col("stake") * loss_share(product) + product.commission) / equity).otherwise(0.0)).withColumn("capped", F.col("requested") > cap)
 
 
 def with_day(trades: DataFrame) -> DataFrame:

@@ -300,7 +300,8 @@ CASE WHEN strategy = 'coin' THEN 'control' WHEN calls < 200 THEN 'collecting dat
     "size_positions": f"""WITH {NAMED}, s AS (SELECT *, 10000.0 * 0.1 / (stated_vol * 2) AS free FROM symbols), r AS (SELECT *, (free * 0.502 + 0.2) / 10000 AS risk FROM s), c AS (SELECT *, CASE WHEN risk <= 0.02 THEN free ELSE (200.0 - 0.2) / 0.502 END AS stake FROM r)
 SELECT symbol, round(stake, 6) + 0.0 AS vol_target_stake, round(risk, 6) + 0.0 AS vol_target_requested, round((stake * 0.502 + 0.2) / 10000, 6) + 0.0 AS vol_target_risk, round(stake * 2 * stated_vol / 10000, 6) + 0.0 AS expected_volatility, round((200.0 - 0.2) / 0.502, 6) + 0.0 AS fixed_fraction_stake, true AS fixed_fraction_capped, round(stake * 0.502 + 0.2, 6) + 0.0 AS max_loss FROM c""",
     "size_kelly": f"""{BASE}, {trades(1, stop=1.0, commission=0.0, spread=0.0)}, w AS (SELECT symbol, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS p FROM trades GROUP BY symbol), k AS (SELECT symbol, greatest(0, p - (1 - p) / 1.5) * 0.5 AS f FROM w)
-SELECT symbol, round(f, 6) + 0.0 AS requested, round(least(f, 0.02), 6) + 0.0 AS applied FROM k""",
+SELECT symbol, round(f, 6) + 0.0 AS requested, round(least(f, 0.02), 6) + 0.0 AS applied, round(stake, 6) + 0.0 AS stake, round(stake / 10000, 6) + 0.0 AS equity_fraction, round(CASE WHEN f > 0 THEN (stake * 0.502 + 0.2) / 10000 ELSE 0 END, 6) + 0.0 AS risk, f > 0.02 AS capped
+FROM (SELECT *, CASE WHEN f > 0 THEN (least(f, 0.02) * 10000 - 0.2) / 0.502 ELSE 0 END AS stake FROM k)""",
     "circuit_breaker_running": f"""{BASE}, {trades(1)}, d AS (SELECT *, exit_epoch // 86400 AS day, sum((net >= 0)::INT) OVER (PARTITION BY symbol ORDER BY exit_epoch) AS spell FROM trades),
 r AS (SELECT *, sum(net) OVER (PARTITION BY symbol, day ORDER BY exit_epoch) AS daily_net, CAST(sum((net < 0)::INT) OVER (PARTITION BY symbol, spell ORDER BY exit_epoch) AS BIGINT) AS losses FROM d)
 SELECT symbol, exit_epoch, day, round(net, 6) + 0.0 AS net, round(daily_net, 6) + 0.0 AS daily_net, losses, concat_ws(',', CASE WHEN daily_net <= -5 THEN 'daily-loss-limit' END, CASE WHEN losses >= 3 THEN 'consecutive-loss-limit' END) AS reasons FROM r""",
@@ -426,7 +427,18 @@ SELECT symbol, epoch + 86400 AS decision, d AS direction, round(gross, 6) + 0.0
     "vol_variance_stat": f"{BASE}, {monitor(100)}, l AS (SELECT *, 99 * realized * realized / stated_vol / stated_vol AS statistic FROM monitor WHERE status = 'ok' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY epoch DESC) = 1), p AS (SELECT *, {chi2_sf('statistic', '99')} AS above FROM l) SELECT symbol, observations, round(statistic, 6) + 0.0 AS statistic, round(least(1.0, 2 * least(above, 1 - above)), 6) + 0.0 AS p FROM p",
     "signal_eval_h1": signal_eval(1),
     "ledger_record": f"{FEATURES}, {CALLS} SELECT symbol, epoch, strategy, direction, symbol || '|' || strategy || '|' || epoch AS id, 800000000::BIGINT AS recorded FROM calls WHERE epoch + 86400 > 800000000 AND strategy <> 'reversion'",
-    "ledger_score": f"{FEATURES}, {CALLS}, {SCORES} SELECT {SCORE_COLUMNS} FROM scores",
+    "ledger_score": f"{FEATURES}, {CALLS}, {SCORES} SELECT symbol, epoch, strategy, direction, CASE WHEN outcome <> 'pending' OR age <= 259200 THEN round(entry, 6) + 0.0 END AS entry, CASE WHEN outcome <> 'pending' OR age <= 259200 THEN round(exit, 6) + 0.0 END AS exit, CASE WHEN outcome = 'pending' AND age > 259200 THEN 'void' ELSE outcome END AS outcome FROM (SELECT *, 852076800 - epoch AS age FROM scores)",
+    "ledger_store": f"""{FEATURES}, {CALLS}, kept AS (SELECT c.*, e.open AS a, x.close AS b, CASE WHEN c.epoch + 6 * 86400 <= 808640000 THEN 'first' WHEN 8640000 > 259200 THEN 'expired' END AS how
+  FROM calls c LEFT JOIN daily e ON e.symbol = c.symbol AND e.epoch = c.epoch + 86400 LEFT JOIN daily x ON x.symbol = c.symbol AND x.epoch = c.epoch + 5 * 86400 WHERE c.epoch + 86400 > 800000000)
+SELECT symbol || '|' || strategy || '|' || epoch AS id, symbol, epoch, strategy, direction, 800000000::BIGINT AS recorded, CASE WHEN how = 'first' THEN round(a, 6) + 0.0 END AS entry, CASE WHEN how = 'first' THEN round(b, 6) + 0.0 END AS exit,
+  CASE WHEN how = 'expired' OR a IS NULL OR b IS NULL THEN 'void' WHEN direction * (b - a) > 0 THEN 'win' ELSE 'loss' END AS outcome FROM kept""",
+    "upsert_ties": f"""WITH {TICKS}, m AS (SELECT symbol, epoch - epoch % 60 AS epoch, quote, tick_id, CAST(tick_id AS BIGINT) AS number, arrival FROM ticks),
+one AS (SELECT symbol, epoch, arg_max(quote, number) AS quote, arg_max(tick_id, number) AS tick_id FROM m GROUP BY ALL), two AS (SELECT symbol, epoch, arg_max(quote + 1, arrival) AS quote, arg_max(tick_id, arrival) AS tick_id FROM m WHERE epoch % 7200 < 3600 GROUP BY ALL)
+SELECT symbol, epoch, {unsigned('coalesce(two.quote, one.quote)')} AS quote, coalesce(two.tick_id, one.tick_id) AS tick_id FROM one LEFT JOIN two USING (symbol, epoch)""",
+    "history_paged_ticks": f"WITH {TICKS} SELECT DISTINCT symbol, epoch, round(quote, 6) + 0.0 AS quote FROM ticks WHERE epoch BETWEEN 1703980800 AND 1707004800",
+    "history_paged_candles": f"WITH {DAILY} SELECT symbol, epoch, {unsigned('open')} AS open, {unsigned('high')} AS high, {unsigned('low')} AS low, {unsigned('close')} AS close FROM daily",
+    "live_ticks": f"WITH {TICKS} SELECT symbol, epoch, round(quote, 6) + 0.0 AS quote, tick_id FROM ticks",
+    "live_candles": f"WITH {HOURLY} SELECT symbol, epoch, {unsigned('open')} AS open, {unsigned('high')} AS high, {unsigned('low')} AS low, {unsigned('close')} AS close FROM hourly",
     "ledger_recent": f"{FEATURES}, {CALLS}, {SCORES} SELECT {SCORE_COLUMNS} FROM scores WHERE outcome <> 'pending' ORDER BY epoch DESC, symbol, strategy LIMIT 100",
     "edge_tests": f"{TESTS} SELECT {ROW_COLUMNS}, {unsigned('binomial_p')} AS binomial_p, {unsigned('binomial_adjusted_p')} AS binomial_adjusted_p FROM tests",
     "edge_csv_roundtrip": f"{HYPOTHESES} SELECT {ROW_COLUMNS} FROM rows",

@@ -12,9 +12,11 @@ from quaver.operators import indicators as ind
 from quaver.operators import edge, ledger, quality, resampling, risk, screen, stats, trades
 from quaver.operators.trades import Product, body_signal
 from quaver.session import checkpoint_folder
-from quaver.sources import history, market
+from quaver.sources import history, market, recorded
+from quaver.sources.ledgers import LedgerStore
 from quaver.sources.store import Store
 from quaver.sources.market import DAY, HOUR
+from quaver.streaming import candles as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 PRODUCT = Product(stop_out=0.5, commission=0.1, spread=0.002)
@@ -111,6 +113,60 @@ def upsert_all_ticks(spark: SparkSession, d: str) -> DataFrame:
 CODE = "^[A-Za-z]+$"
 
 
+def upsert_ties(spark: SparkSession, d: str) -> DataFrame:
+    """All ticks under the beginning of their minutes, put as one batch: of one minute the tick with the highest number wins. Then the
+    ticks of every other hour come again, in order of arrival, so that the order of rows decides."""
+    store = Store(spark, shared_folder(spark, "ties"))
+    ticks = market.ticks(spark, d).withColumns({"epoch": F.col("epoch") - F.col("epoch") % 60, "number": F.col("tick_id").cast("long")})
+    store.put_ticks(ticks, "number")
+    store.put_ticks(ticks.where(F.col("epoch") % (2 * HOUR) < HOUR).withColumn("quote", F.col("quote") + 1).orderBy("arrival"))
+    return rounded(store.ticks())
+
+
+def history_paged_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """All ticks as recorded pages, read by walking back from the end."""
+    folder, end = shared_folder(spark, "pages"), GRID[1]
+    recorded.record(recorded.pages(market.ticks(spark, d), "ticks", end, 500), folder)
+    return rounded(recorded.read_history(spark, folder, kind="ticks", start=GRID[0], end=end, count=500))
+
+
+def history_paged_candles(spark: SparkSession, d: str) -> DataFrame:
+    """All daily candles as pages that the service cuts at 1000, read in three spans of a symbol."""
+    folder, end = shared_folder(spark, "pages"), 2_000_000_000
+    recorded.record(recorded.pages(market.daily(spark, d), "candles", end, recorded.CANDLE_LIMIT), folder)
+    return rounded(recorded.read_history(spark, folder, kind="candles", start=0, end=end, granularity=DAY, spans=3).drop("granularity"))
+
+
+def live_messages(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """(file, line, json): every event as a message, an hour a file; as a tick, or as what it makes of its hour's candle so far."""
+    rows = market.ticks(spark, d).withColumn("open_time", F.col("epoch") - F.col("epoch") % HOUR).withColumn("number", F.col("tick_id").cast("long"))
+    so_far = Window.partitionBy("symbol", "open_time").orderBy("epoch", "number").rowsBetween(Window.unboundedPreceding, 0)
+    if kind == "tick":
+        said = F.struct("symbol", "epoch", "quote", F.col("tick_id").alias("id"))
+    else:
+        prices = {"open": F.first("quote"), "high": F.max("quote"), "low": F.min("quote"), "close": F.last("quote")}
+        said = F.struct("symbol", "open_time", *[f.over(so_far).cast("string").alias(n) for n, f in prices.items()], F.lit(HOUR).alias("granularity"))
+    rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("open_time").orderBy("epoch", "number")))
+    return rows.select(F.format_string("%012d", "open_time").alias("file"), "line", F.to_json(F.struct(said.alias(kind))).alias("json"))
+
+
+def live_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks of a live stream, each once, though the stream was stopped half-way and its last batch begun anew."""
+    folder = shared_folder(spark, "live")
+    recorded.record_lines(live_messages(spark, d, "tick"), f"{folder}/messages")
+    live.write_latest(recorded.read_live(spark, f"{folder}/messages"), f"{folder}/out", f"{folder}/check").awaitTermination()
+    live.write_latest(recorded.read_live(spark, f"{folder}/messages"), f"{folder}/out", f"{folder}/check").awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").select("symbol", "epoch", "quote", "tick_id"))
+
+
+def live_candles(spark: SparkSession, d: str) -> DataFrame:
+    """The last update of every hour's candle from a live stream."""
+    folder = shared_folder(spark, "live")
+    recorded.record_lines(live_messages(spark, d, "ohlc"), f"{folder}/messages")
+    live.write_latest(recorded.read_live(spark, f"{folder}/messages", "ohlc"), f"{folder}/out", f"{folder}/check", ["file", "line"]).awaitTermination()
+    return rounded(live.LatestTable(spark, f"{folder}/out").read().drop("granularity"))
+
+
 def symbol_registry_diff(spark: SparkSession, d: str) -> DataFrame:
     return history.registry_diff(market.daily(spark, d).select("symbol"), market.symbols(spark), CODE)
 
@@ -289,11 +345,17 @@ def circuit_breaker_fold(spark: SparkSession, d: str) -> DataFrame:
 def kelly(spark: SparkSession, d: str) -> DataFrame:
     rows = market.daily(spark, d)
     rates = trades.forward_trades(rows, DAY, body_signal(), 1, Product()).groupBy("symbol").agg(F.avg(F.when(F.col("won"), 1.0).otherwise(0.0)).alias("win_rate"))
-    return rounded(ledger.kelly(rates, 1.5, 0.5, 0.02))
+    return rounded(ledger.kelly(rates, 1.5, 0.5, 0.02, 10_000.0, SIZED))
+
+
+#: The contract that stakes are measured for.
+SIZED = Product(stake=1.0, multiplier=2.0, stop_out=0.5, commission=0.2, spread=0.001)
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ledger.sizes(market.symbols(spark), 10_000.0, 0.1, Product(stake=1.0, multiplier=2.0, stop_out=0.5, commission=0.2, spread=0.001), 0.03))
+    """Stakes of the symbols that have candles, by the volatility of their last window of 20 returns."""
+    last = ind.realized_vol(market.daily(spark, d), DAY).where("volatility is not null").groupBy("symbol").agg(F.max_by("volatility", "epoch").alias("stated_vol"))
+    return rounded(ledger.sizes(last, 10_000.0, 0.1, SIZED, 0.03))
 
 
 def settle_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +398,19 @@ def ledger_record(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_score(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ledger.scored(ledger_calls(spark, d), market.daily(spark, d), DAY, now=NOW))
+    """Calls recorded at their candle: those that wait at NOW expire after three days."""
+    return rounded(ledger.scored(ledger_calls(spark, d).withColumn("recorded", F.col("epoch")), market.daily(spark, d), DAY, now=NOW).drop("recorded"))
+
+
+def ledger_store(spark: SparkSession, d: str) -> DataFrame:
+    """A stored ledger: calls recorded at RECORDED, twice, and scored at two times, of which the second ends all waiting."""
+    store = LedgerStore(spark, shared_folder(spark, "ledger"))
+    rows, candles = screen.features(market.daily(spark, d), market.symbols(spark), DAY), market.daily(spark, d)
+    for _ in range(2):
+        store.record(rows, DAY, RECORDED)
+    for now in (RECORDED + 100 * DAY, NOW):
+        store.score(candles, DAY, now)
+    return rounded(store.rows())
 
 
 def ledger_recent(spark: SparkSession, d: str) -> DataFrame:
@@ -409,6 +483,11 @@ QUERIES: dict[str, Query] = {
     "scan_candles_range": scan_candles_range,
     "upsert_candles": upsert_candles,
     "store_scan": store_scan,
+    "upsert_ties": upsert_ties,
+    "history_paged_ticks": history_paged_ticks,
+    "history_paged_candles": history_paged_candles,
+    "live_ticks": live_ticks,
+    "live_candles": live_candles,
     "export_parquet_roundtrip": export_parquet_roundtrip,
     "parse_history_json": parse_history_json,
     "history_pages_dedup": history_pages_dedup,
@@ -490,6 +569,7 @@ QUERIES: dict[str, Query] = {
     "ledger_directions": ledger_calls,
     "ledger_record": ledger_record,
     "ledger_score": ledger_score,
+    "ledger_store": ledger_store,
     "ledger_recent": ledger_recent,
     "ledger_summary": ledger_summary,
     "size_positions": sizes,

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.operators import ledger, resampling, screen, stats
+from quaver.functions import shifts
+from quaver.operators import ledger, quality, resampling, screen, stats
 from quaver.operators.trades import Product, numbered, paths, settled
 from quaver.session import written
 
@@ -19,8 +20,8 @@ HORIZONS, DISCOVERY = (1, 5, 15), 0.7
 DIRECTIONS = {"long": 1.0, "short": -1.0}
 SPLITS = ("discovery", "confirmation")
 KEYS = ["flag", "horizon", "direction", "split"]
-#: Candidates of a hypothesis in one symbol that are turned in memory; longer series are refused, not cut.
-MAX_SERIES = 1 << 22
+#: Seconds of a part of a series whose candidates a task numbers.
+SPAN = 1 << 26
 
 
 def split_starts(candles: DataFrame, step: int) -> DataFrame:
@@ -107,53 +108,80 @@ def turned(candles: DataFrame, symbols: DataFrame, step: int, product: Product,
     return rows.withColumn("x", F.explode(each)).select("symbol", "x.flag", "horizon", "direction", "split", "decision", "run", "x.on", "net")
 
 
-def shift_sums(on: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Entry k: the sum of value over the places of `on`, each k further, around the end."""
-    return np.fft.irfft(np.conj(np.fft.rfft(on.astype(float))) * np.fft.rfft(value), len(value)) if len(value) else np.zeros(0)
+TURN_KEYS = ["symbol", *KEYS]
 
 
-def _turns(rows: DataFrame, test) -> DataFrame:
-    kind = "symbol string, flag string, horizon int, direction string, split string, p double"
-    names = ["symbol", *KEYS]
+def shift_p_all(rows: DataFrame) -> DataFrame:
+    """p of every hypothesis and symbol of turned() rows: how many turns of the marks over the whole split have as large a sum; 1 without a mark."""
+    return shifts.turn_p(written(rows), TURN_KEYS, "decision", SPAN, "on", "net")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_SERIES:
-            raise ValueError(f"over {MAX_SERIES} candidates in one series")
-        pdf = pdf.sort_values("decision", ignore_index=True)
-        return pd.DataFrame([[*pdf.loc[0, names], test(pdf)]], columns=[*names, "p"])
 
-    return rows.groupBy(*names).applyInPandas(run, kind)
+def shift_p_drawn(rows: DataFrame, many: int, seed: int) -> DataFrame:
+    """As shift_p_all(), for `many` turns that are drawn without replacement from each series' own seed."""
+    return shifts.turn_p(written(rows), TURN_KEYS, "decision", SPAN, "on", "net", many, seed)
 
 
-def shift_p_all(rows: DataFrame) -> DataFrame:
-    """p of every hypothesis and symbol of turned() rows: how many turns of the marks over the whole split have as large a sum; 1 without a mark."""
+def shift_p(rows: DataFrame, many: int, seed: int) -> DataFrame:
+    """p of every hypothesis and symbol of turned() rows: each run is turned by itself, by amounts drawn from the hypothesis' and the run's own seed.
 
-    def test(pdf: pd.DataFrame) -> float:
-        on = pdf["on"].to_numpy(bool)
-        if not on.any() or len(on) < 2:
-            return 1.0
-        sums = shift_sums(on, pdf["net"].to_numpy(float))
-        return float((1 + (sums[1:] >= sums[0] - 1e-6).sum()) / len(on))
+    Hypotheses up to shifts.IN_TASK rows are worked out in one task each. Of longer ones, tasks add up the sums of some runs, and
+    a run that is longer by itself is turned in tiles."""
+    rows = written(rows)
+    kinds = "symbol string, flag string, horizon int, direction string, split string"
+    runs = rows.groupBy(*TURN_KEYS, "run").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*TURN_KEYS).orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = written(runs.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / shifts.IN_TASK)))
 
-    return _turns(rows, test)
+    def own_seed(key: tuple) -> int:
+        return seed + sum((i + 1) * ord(c) for i, c in enumerate("|".join(map(str, [*key, "shift"]))))
 
+    def drawn(key: tuple, run: int, n: int) -> np.ndarray:
+        return np.random.default_rng([own_seed(key), run]).integers(1, n, many)
 
-def shift_p(rows: DataFrame, shifts: int, seed: int) -> DataFrame:
-    """p of every hypothesis and symbol of turned() rows: each run is turned by itself, by amounts drawn from the hypothesis' own seed."""
+    def totals(key: tuple, pdf: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(many)
+        for run, part in pdf.sort_values("decision").groupby("run", sort=True):
+            sums = shifts.shift_sums(part["on"].to_numpy(bool), part["net"].to_numpy(float))
+            total += sums[0] if len(sums) < 2 else sums[drawn(key, int(run), len(sums))]
+        return total
 
-    def test(pdf: pd.DataFrame) -> float:
+    def p_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         on = pdf["on"].to_numpy(bool)
-        if not on.any():
-            return 1.0
-        key = pdf.iloc[0]
-        text = f"{key.symbol}|{key.flag}|{key.horizon}|{key.direction}|{key.split}|shift"
-        draw, total = np.random.default_rng(seed + sum((i + 1) * ord(c) for i, c in enumerate(text))), np.zeros(shifts)
-        for _, part in pdf.groupby("run", sort=True):
-            sums = shift_sums(part["on"].to_numpy(bool), part["net"].to_numpy(float))
-            total += sums[0] if len(sums) < 2 else sums[draw.integers(1, len(sums), shifts)]
-        return float((1 + (total >= pdf["net"].to_numpy(float)[on].sum() - 1e-6).sum()) / (shifts + 1))
-
-    return _turns(rows, test)
+        p = (1 + (totals(key, pdf) >= pdf["net"].to_numpy(float)[on].sum() - shifts.SLACK).sum()) / (many + 1) if on.any() else 1.0
+        return pd.DataFrame([[*key, float(p)]], columns=[*TURN_KEYS, "p"])
+
+    long = runs.groupBy(*TURN_KEYS).agg(F.sum("n").alias("all")).where(F.col("all") > shifts.IN_TASK).select(*TURN_KEYS)
+    small = rows.join(long, TURN_KEYS, "left_anti").groupBy(*TURN_KEYS).applyInPandas(p_of, f"{kinds}, p double")
+    if not long.limit(1).count():
+        return small
+
+    def part_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key[:-1], totals(key[:-1], pdf).tolist()]], columns=[*TURN_KEYS, "sums"])
+
+    def at_drawn(n: int, own: float, key: int, offsets: np.ndarray, sums: np.ndarray) -> dict:
+        wanted = np.random.default_rng([key >> 32, key & 0xFFFFFFFF]).integers(1, n, many)
+        order = np.argsort(offsets)
+        at = np.minimum(np.searchsorted(offsets[order], wanted), len(offsets) - 1)
+        hit = np.flatnonzero(offsets[order][at] == wanted)
+        return {"draw": hit.astype(np.int64), "sum": sums[order][at[hit]]}
+
+    def names(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The hypothesis' and the run's seeds in one number; runs are epochs and fit into 32 bits or are folded into them."""
+        keys = [tuple(x) for x in pdf[TURN_KEYS].itertuples(index=False)]
+        return pdf.assign(key=[f"{'|'.join(map(str, k))}|{r}" for k, r in zip(keys, pdf["run"], strict=True)], seed=[(own_seed(k) & 0x7FFFFFFF) << 32 | int(r) & 0xFFFFFFFF for k, r in zip(keys, pdf["run"], strict=True)])
+
+    of_long = rows.join(long, TURN_KEYS)
+    parts = of_long.join(runs.where(F.col("n") <= shifts.IN_TASK).select(*TURN_KEYS, "run", "part"), [*TURN_KEYS, "run"])
+    found = parts.groupBy(*TURN_KEYS, "part").applyInPandas(part_sums, f"{kinds}, sums array<double>").select(*TURN_KEYS, F.posexplode("sums").alias("draw", "sum"))
+    alone = runs.where(F.col("n") > shifts.IN_TASK).mapInPandas(lambda parts: map(names, parts), f"{kinds}, run long, n long, part long, key string, seed long")
+    series = quality.numbered_by(of_long.join(alone.drop("part"), [*TURN_KEYS, "run"]), "decision", SPAN, [*TURN_KEYS, "run"])
+    series = series.select("key", "n", F.lit(0.0).alias("own"), "seed", "at", F.col("on").cast("double").alias("on"), F.col("net").alias("value"))
+    turned_alone = shifts.tiled(series, at_drawn, "draw long, sum double").join(alone.select("key", *TURN_KEYS), "key").select(*TURN_KEYS, "draw", "sum")
+    sums = found.unionByName(turned_alone).groupBy(*TURN_KEYS, "draw").agg(F.sum("sum").alias("sum"))
+    own = of_long.groupBy(*TURN_KEYS).agg(F.sum(F.when(F.col("on"), F.col("net"))).alias("own"))
+    hit = F.count(F.when(F.col("sum") >= F.col("own") - shifts.SLACK, 1))
+    large = own.join(sums, TURN_KEYS).groupBy(*TURN_KEYS).agg(F.when(F.first("own").isNull(), 1.0).otherwise((1 + hit) / (many + 1)).alias("p"))
+    return small.unionByName(large)
 
 
 def stouffer(rows: DataFrame, p: str, keys: list[str]) -> DataFrame:
@@ -163,14 +191,14 @@ def stouffer(rows: DataFrame, p: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg((F.sum(F.col("_z") * F.col("_w")) / F.sqrt(F.sum(F.col("_w") * F.col("_w")))).alias("stouffer_z"))
 
 
-def analysis(candles: DataFrame, symbols: DataFrame, step: int, product: Product, shifts: int | None = None, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def analysis(candles: DataFrame, symbols: DataFrame, step: int, product: Product, draws: int | None = None, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """All hypotheses with both families of p values adjusted, Bonferroni, and whether discovery and confirmation agree.
 
-    The p of a turned series is exhaustive, or by `shifts` draws for each run; a pooled one combines those of its members."""
+    The p of a turned series is exhaustive, or by `draws` draws for each run; a pooled one combines those of its members."""
     marks = marked(candles, symbols, step)
     rows = tested(hypotheses(candles, symbols, step, product, marks))
     turns = turned(candles, symbols, step, product, marks)
-    found = shift_p_all(turns) if shifts is None else shift_p(turns, shifts, seed)
+    found = shift_p_all(turns) if draws is None else shift_p(turns, draws, seed)
     own = rows.where("scope = 'symbol'").join(found.withColumnRenamed("p", "circular_shift_p"), ["symbol", *KEYS], "left").na.fill(1.0, ["circular_shift_p"])
     own = written(own)
     z = stouffer(own, "circular_shift_p", KEYS)

@@ -1,64 +1,12 @@
-"""Risk by simulation: null trades on driftless paths, ruin and worst drawdown."""
+"""The portfolio's view of symbols: correlations of aligned returns and the volatility of their sum."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaver.operators.indicators import YEAR
-from quaver.operators.trades import Product
-
-TRADE_SECONDS = 60
-
-
-def settled(close: np.ndarray, high: np.ndarray, low: np.ndarray, direction: np.ndarray, p: Product) -> np.ndarray:
-    """Net results of trades from their returns at the close, the highest and the lowest point."""
-    if p.kind == "multiplier":
-        exposed = p.stake * p.multiplier
-        worst = exposed * direction * np.where(direction > 0, low, high)
-        gross = np.where(worst <= -p.stake * p.stop_out, -p.stake * p.stop_out, exposed * direction * close)
-    else:
-        exposed = p.stake
-        gross = np.where(direction * close > 0, p.stake * p.payout, -p.stake)
-    return gross - p.commission - exposed * p.spread
-
-
-def simulations(spark: SparkSession, volatility: float, tick: int, product: Product, trades: int, count: int, seed: int, equity: float = 1000.0, ruin: float = 0.5) -> DataFrame:
-    """(simulation, drawdown, terminal, ruined). Each simulation has its own seed, so they run anywhere in any order."""
-    if TRADE_SECONDS % tick:
-        raise ValueError("the time between ticks must divide a trade's length")
-    steps, scale, drift = TRADE_SECONDS // tick, volatility * math.sqrt(tick / YEAR), -(volatility**2) * tick / YEAR / 2
-
-    def one(simulation: int) -> tuple:
-        draw = np.random.default_rng([seed, simulation])
-        path = np.cumsum(draw.normal(drift, scale, (trades, steps)), axis=1)
-        side = draw.choice([-1.0, 1.0], trades)
-        ends = (np.expm1(x) for x in (path[:, -1], np.maximum(path.max(axis=1), 0), np.minimum(path.min(axis=1), 0)))
-        worth = equity + np.cumsum(settled(*ends, side, product))
-        broke = np.flatnonzero(worth <= equity * ruin)
-        if len(broke):
-            worth = worth[: broke[0] + 1]
-        peaks = np.maximum.accumulate(np.append(equity, worth))[1:]
-        return simulation, float(np.max((peaks - worth) / peaks, initial=0.0)), float(worth[-1]), bool(len(broke))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame([one(int(i)) for i in pdf["id"]], columns=["simulation", "drawdown", "terminal", "ruined"])
-
-    return spark.range(count).mapInPandas(run, "simulation long, drawdown double, terminal double, ruined boolean")
-
-
-def risk_report(runs: DataFrame) -> DataFrame:
-    return runs.agg(
-        F.count("*").alias("simulations"), F.avg(F.col("ruined").cast("int")).alias("risk_of_ruin"), F.percentile("drawdown", F.lit(0.95)).alias("drawdown_p95"),
-        F.percentile("drawdown", F.lit(0.99)).alias("drawdown_p99"), F.avg("drawdown").alias("mean_drawdown"), F.median("terminal").alias("median_terminal"),
-    )
-
 
 def portfolio_view(returns: DataFrame, symbols: DataFrame, weights: dict[str, float] | None = None, threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """((one, two, correlation) of every pair of symbols; (observations, annual_volatility, max_correlation, warning)).

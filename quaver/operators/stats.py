@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from quaver.functions import dist
+from quaver.functions import dist, shifts
+from quaver.functions.quantiles import quantile
 from quaver.functions.series import last, order, when_full
 from quaver.operators import quality, resampling, trades
 from quaver.operators.indicators import YEAR, rolled
+from quaver.session import written
 
 
 def _each(f, *columns: pd.Series) -> pd.Series:
@@ -128,16 +130,26 @@ def decisions(candles: DataFrame, step: int, signal: Column, horizon: int) -> Da
     return rows.select("symbol", (F.col("at") - horizon).alias("place"), F.col("side").alias("direction"), (F.col("close") / F.col("before") - 1).alias("ret"))
 
 
-def signal_evaluation(candles: DataFrame, step: int, signal: Column, horizon: int) -> DataFrame:
-    """Returns after a signal: moments and ties of all, and hit rate, mean and exact two-sided p of decisions that don't overlap."""
-    rows = decisions(candles, step, signal, horizon).where("direction <> 0").withColumn("out", F.col("direction") * F.col("ret"))
+def signal_evaluation(candles: DataFrame, step: int, signal: Column, horizon: int, permutations: int | None = None, seed: int = 0) -> DataFrame:
+    """Returns after a signal: moments and ties of all, and hit rate, mean, exact two-sided binomial p and permutation p of
+    decisions that don't overlap.
+
+    The permutation p turns the signals of valid decisions, flat ones among them, against their returns: all turns, or
+    `permutations` drawn without replacement; it is two-sided, and null with fewer than two decisions."""
+    every = written(decisions(candles, step, signal, horizon).where("direction IS NOT NULL AND ret IS NOT NULL AND NOT isnan(ret)"))
+    rows = every.where("direction <> 0").withColumn("out", F.col("direction") * F.col("ret"))
     apart = F.col("place") % horizon == 0
     hits, real = F.count(F.when(apart & (F.col("out") > 0), 1)), F.count(F.when(apart & (F.col("out") != 0), 1))
+    median = quantile(every.where("direction <> 0"), ["symbol"], "ret", 0.5, "median")
     rows = rows.groupBy("symbol").agg(
-        F.count("out").alias("observations"), F.count(F.when(F.col("out") == 0, 1)).alias("tie_count"), real.alias("n_effective"), F.avg("ret").alias("mean"), F.percentile("ret", F.lit(0.5)).alias("median"),
+        F.count("out").alias("observations"), F.count(F.when(F.col("out") == 0, 1)).alias("tie_count"), real.alias("n_effective"), F.avg("ret").alias("mean"),
         F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"), F.coalesce(F.try_divide(hits, real), F.lit(0.0)).alias("hit_rate"), F.avg(F.when(apart, F.col("out"))).alias("mean_signed"), hits.alias("hits"),
     )
     p = F.when(F.col("n_effective") > 0, binomial_two_sided("hits", "n_effective", F.lit(0.5))).otherwise(1.0)
+    turned = every.where(apart)
+    turned_p = shifts.turn_p(turned, ["symbol"], "place", 1 << 20, "direction", "ret", permutations, seed, True, 1e-12).withColumnRenamed("p", "permutation_p")
+    enough = turned.groupBy("symbol").agg(F.count("*").alias("valid")).where("valid > 1").select("symbol")
+    rows = rows.join(median, "symbol").join(turned_p.join(enough, "symbol"), "symbol", "left")
     return rows.withColumn("binomial_p", p).withColumn("binomial_is_inferential", F.lit(horizon == 1))
 
 

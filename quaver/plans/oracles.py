@@ -217,15 +217,21 @@ MONITOR_COLUMNS = f"symbol, epoch, observations, {unsigned('stated_vol')} AS sta
 def signal_eval(h: int) -> str:
     return f"""WITH {DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY epoch) - 1 AS place, lead(close, {h}) OVER (PARTITION BY symbol ORDER BY epoch) / close - 1 AS ret, sign(close - open) AS side FROM daily),
 o AS (SELECT *, side * ret AS out, place % {h} = 0 AS apart FROM n WHERE ret IS NOT NULL AND side <> 0),
-a AS (SELECT symbol, count(*) AS observations, count(CASE WHEN out = 0 THEN 1 END) AS tie_count, count(CASE WHEN apart AND out <> 0 THEN 1 END) AS n_effective, avg(ret) AS mean, median(ret) AS median, coalesce(stddev_samp(ret), 0) AS sd, count(CASE WHEN apart AND out > 0 THEN 1 END) AS hits, avg(CASE WHEN apart THEN out END) AS mean_signed FROM o GROUP BY symbol)
-SELECT symbol, observations, tie_count, n_effective, {unsigned('mean')} AS mean, {unsigned('median')} AS median, {unsigned('sd')} AS sd, {unsigned('coalesce(hits / nullif(n_effective, 0), 0)')} AS hit_rate, {unsigned('mean_signed')} AS mean_signed, hits,
-CASE WHEN n_effective > 0 THEN round(least(1.0, 2 * {tail('greatest(hits, n_effective - hits)', 'n_effective', '0.5::DOUBLE')}), 6) + 0.0 ELSE 1.0 END AS binomial_p, {str(h == 1).lower()} AS binomial_is_inferential FROM a"""
+a AS (SELECT symbol, count(*) AS observations, count(CASE WHEN out = 0 THEN 1 END) AS tie_count, count(CASE WHEN apart AND out <> 0 THEN 1 END) AS n_effective, avg(ret) AS mean, median(ret) AS median, coalesce(stddev_samp(ret), 0) AS sd, count(CASE WHEN apart AND out > 0 THEN 1 END) AS hits, avg(CASE WHEN apart THEN out END) AS mean_signed FROM o GROUP BY symbol),
+v AS (SELECT symbol, ret, side, row_number() OVER (PARTITION BY symbol ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS m FROM n WHERE ret IS NOT NULL AND place % {h} = 0),
+k AS (SELECT x.symbol, (y.i - x.i + x.m) % x.m AS k, any_value(x.m) AS m, sum(x.side * y.ret) AS s FROM v x JOIN v y ON x.symbol = y.symbol AND x.side <> 0 GROUP BY 1, 2),
+pp AS (SELECT symbol, count(CASE WHEN abs(s) >= abs(own) - 1e-12 THEN 1 END) / any_value(m) AS permutation_p FROM k JOIN (SELECT symbol, s AS own FROM k WHERE k = 0) USING (symbol) GROUP BY symbol)
+SELECT symbol, round(permutation_p, 6) + 0.0 AS permutation_p, observations, tie_count, n_effective, {unsigned('mean')} AS mean, {unsigned('median')} AS median, {unsigned('sd')} AS sd, {unsigned('coalesce(hits / nullif(n_effective, 0), 0)')} AS hit_rate, {unsigned('mean_signed')} AS mean_signed, hits,
+CASE WHEN n_effective > 0 THEN round(least(1.0, 2 * {tail('greatest(hits, n_effective - hits)', 'n_effective', '0.5::DOUBLE')}), 6) + 0.0 ELSE 1.0 END AS binomial_p, {str(h == 1).lower()} AS binomial_is_inferential FROM a LEFT JOIN pp USING (symbol)"""
 
 
 SCORES = """scores AS (SELECT c.*, e.open AS entry, x.close AS exit, CASE WHEN c.epoch + 6 * 86400 > 852076800 THEN 'pending' WHEN e.open IS NULL OR x.close IS NULL THEN 'void' WHEN direction * (x.close - e.open) > 0 THEN 'win' ELSE 'loss' END AS outcome
   FROM calls c LEFT JOIN daily e ON e.symbol = c.symbol AND e.epoch = c.epoch + 86400 LEFT JOIN daily x ON x.symbol = c.symbol AND x.epoch = c.epoch + 5 * 86400)"""
 SCORE_COLUMNS = "symbol, epoch, strategy, direction, round(entry, 6) + 0.0 AS entry, round(exit, 6) + 0.0 AS exit, outcome"
 
+#: Trades of an hour.
+HOURS = f"WITH RECURSIVE {HOURLY}, {segments('hourly', 3600)}, {trades(1).replace('86400', '3600')}"
+
 ORACLES: dict[str, str] = {
     "scan_ticks_range": f"WITH {TICKS} SELECT symbol, epoch, round(quote, 6) + 0.0 AS quote, tick_id FROM ticks WHERE epoch BETWEEN 1704672000 AND 1705276800",
     "scan_ticks_bounds": f"WITH {TICKS} SELECT symbol, epoch, round(quote, 6) + 0.0 AS quote, tick_id FROM ticks WHERE symbol = 'click' AND epoch BETWEEN 1704672000 AND 1705276800",
@@ -297,14 +303,19 @@ SELECT symbol, year, n, k, round(p, 6) + 0.0 AS p, round(least(1.0, min(p * m /
 p AS (SELECT *, CASE WHEN calls > 0 THEN {tail('wins', 'calls', '(1 / 1.95::DOUBLE)')} END AS p FROM t)
 SELECT strategy, calls, wins, voids, pending, round(wins / nullif(calls, 0), 6) + 0.0 AS hit_rate, round(1 / 1.95::DOUBLE, 6) AS break_even, round(p, 6) + 0.0 AS p, CASE WHEN p IS NOT NULL THEN round(least(1.0, 3 * p), 6) + 0.0 END AS adjusted_p,
 CASE WHEN strategy = 'coin' THEN 'control' WHEN calls < 200 THEN 'collecting data' WHEN 3 * p < 0.05 THEN 'edge detected' ELSE 'no edge detected' END AS verdict FROM p""",
-    "size_positions": f"""WITH {NAMED}, s AS (SELECT *, 10000.0 * 0.1 / (stated_vol * 2) AS free FROM symbols), r AS (SELECT *, (free * 0.502 + 0.2) / 10000 AS risk FROM s), c AS (SELECT *, CASE WHEN risk <= 0.02 THEN free ELSE (200.0 - 0.2) / 0.502 END AS stake FROM r)
+    "size_positions": f"""{BASE}, v AS (SELECT symbol, epoch, {full(f'stddev_samp(r) {w(5)} * sqrt(365)', 5)} AS stated_vol FROM ret), symbols AS (SELECT symbol, arg_max(stated_vol, epoch) AS stated_vol FROM v WHERE stated_vol IS NOT NULL GROUP BY symbol), s AS (SELECT *, 10000.0 * 0.1 / (stated_vol * 2) AS free FROM symbols), r AS (SELECT *, (free * 0.502 + 0.2) / 10000 AS risk FROM s), c AS (SELECT *, CASE WHEN risk <= 0.02 THEN free ELSE (200.0 - 0.2) / 0.502 END AS stake FROM r)
 SELECT symbol, round(stake, 6) + 0.0 AS vol_target_stake, round(risk, 6) + 0.0 AS vol_target_requested, round((stake * 0.502 + 0.2) / 10000, 6) + 0.0 AS vol_target_risk, round(stake * 2 * stated_vol / 10000, 6) + 0.0 AS expected_volatility, round((200.0 - 0.2) / 0.502, 6) + 0.0 AS fixed_fraction_stake, true AS fixed_fraction_capped, round(stake * 0.502 + 0.2, 6) + 0.0 AS max_loss FROM c""",
     "size_kelly": f"""{BASE}, {trades(1, stop=1.0, commission=0.0, spread=0.0)}, w AS (SELECT symbol, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS p FROM trades GROUP BY symbol), k AS (SELECT symbol, greatest(0, p - (1 - p) / 1.5) * 0.5 AS f FROM w)
 SELECT symbol, round(f, 6) + 0.0 AS requested, round(least(f, 0.02), 6) + 0.0 AS applied, round(stake, 6) + 0.0 AS stake, round(stake / 10000, 6) + 0.0 AS equity_fraction, round(CASE WHEN f > 0 THEN (stake * 0.502 + 0.2) / 10000 ELSE 0 END, 6) + 0.0 AS risk, f > 0.02 AS capped
 FROM (SELECT *, CASE WHEN f > 0 THEN (least(f, 0.02) * 10000 - 0.2) / 0.502 ELSE 0 END AS stake FROM k)""",
-    "circuit_breaker_running": f"""{BASE}, {trades(1)}, d AS (SELECT *, exit_epoch // 86400 AS day, sum((net >= 0)::INT) OVER (PARTITION BY symbol ORDER BY exit_epoch) AS spell FROM trades),
+    "circuit_breaker_running": f"""{HOURS}, d AS (SELECT *, exit_epoch // 86400 AS day, sum((net >= 0)::INT) OVER (PARTITION BY symbol ORDER BY exit_epoch) AS spell FROM trades),
 r AS (SELECT *, sum(net) OVER (PARTITION BY symbol, day ORDER BY exit_epoch) AS daily_net, CAST(sum((net < 0)::INT) OVER (PARTITION BY symbol, spell ORDER BY exit_epoch) AS BIGINT) AS losses FROM d)
-SELECT symbol, exit_epoch, day, round(net, 6) + 0.0 AS net, round(daily_net, 6) + 0.0 AS daily_net, losses, concat_ws(',', CASE WHEN daily_net <= -5 THEN 'daily-loss-limit' END, CASE WHEN losses >= 3 THEN 'consecutive-loss-limit' END) AS reasons FROM r""",
+SELECT symbol, exit_epoch, day, round(net, 6) + 0.0 AS net, round(daily_net, 6) + 0.0 AS daily_net, losses, concat_ws(',', CASE WHEN daily_net <= -15 THEN 'daily-loss-limit' END, CASE WHEN losses >= 3 THEN 'consecutive-loss-limit' END) AS reasons FROM r""",
+    "circuit_breaker_fold": f"""{HOURS}, t AS (SELECT symbol, exit_epoch, net, exit_epoch // 86400 AS day, row_number() OVER (PARTITION BY symbol ORDER BY exit_epoch) AS k FROM trades),
+fold AS (SELECT symbol, k - 1 AS k, day, exit_epoch, false AS taken, 0.0::DOUBLE AS total, 0 AS losses FROM t WHERE k = 1
+  UNION ALL SELECT symbol, k, day, exit_epoch, ok, before + CASE WHEN ok THEN net ELSE 0 END, CASE WHEN NOT ok THEN losses WHEN net < 0 THEN losses + 1 ELSE 0 END FROM (
+    SELECT *, before > -15 AND losses < 12 AS ok FROM (SELECT t.*, f.losses, CASE WHEN t.day = f.day THEN f.total ELSE 0 END AS before FROM fold f JOIN t ON t.symbol = f.symbol AND t.k = f.k + 1)))
+SELECT symbol, exit_epoch, taken, {unsigned('total')} AS daily_net, losses FROM fold WHERE k > 0""",
 }
 
 
@@ -395,18 +406,19 @@ SELECT *, 'Trend ' || trend || '; momentum ' || momentum || '; price ' || stretc
     "parse_history_json": f"""WITH {TICKS} SELECT symbol, epoch // 86400 AS page, epoch, {unsigned('quote')} AS quote FROM ticks UNION ALL SELECT symbol, epoch // 86400 - 1, epoch, {unsigned('quote')} FROM ticks WHERE epoch % 86400 < 600""",
     "history_pages_dedup": f"WITH {TICKS} SELECT DISTINCT symbol, epoch, {unsigned('quote')} AS quote FROM ticks WHERE epoch BETWEEN 1704672000 AND 1705276800",
     "candle_pages_dedup": f"WITH {DAILY} SELECT symbol, epoch, {unsigned('open')} AS open, {unsigned('high')} AS high, {unsigned('low')} AS low, {unsigned('close + CASE WHEN epoch % 31536000 < 2592000 THEN 1 ELSE 0 END')} AS close FROM daily WHERE epoch BETWEEN 820454400 AND 852076800",
-    "parse_report_header": "SELECT 'r' || i AS name, '2024-01-0' || i AS report_date, 0.05::DOUBLE AS alpha, 1120 + i AS rows_per_family, i AS bonferroni, 20::BIGINT AS replications, 1120::BIGINT AS tests, 0::BIGINT AS confirmed_null, 2 AS symbols, 86400 - i AS candles, 1100::BIGINT AS first_epoch, 8000 + i AS last_epoch FROM (SELECT unnest([1::BIGINT, 2::BIGINT]) AS i)",
+    "parse_report_header": f"""WITH {DAILY}, {HOURLY} SELECT 'daily' AS name, strftime(make_timestamp(max(last) * 1000000), '%Y-%m-%d') AS report_date, 0.05::DOUBLE AS alpha, CAST(sum(n) AS BIGINT) AS rows_per_family, CAST(sum(up) AS BIGINT) AS bonferroni, count(*) AS replications, max(n) AS tests, CAST(sum(down) AS BIGINT) AS confirmed_null, round(round(100 * sum(up) / sum(n), 3) / 100, 6) + 0.0 AS raw_significant, round(round(100 * sum(down) / sum(n), 3) / 100, 6) + 0.0 AS bh_surviving, CAST(count(*) AS INTEGER) AS symbols, min(n) AS candles, max(first) AS first_epoch, min(last) AS last_epoch FROM (SELECT symbol, count(*) AS n, min(epoch) AS first, max(epoch) AS last, count(CASE WHEN close > open THEN 1 END) AS up, count(CASE WHEN close < open THEN 1 END) AS down FROM daily GROUP BY symbol)
+UNION ALL SELECT 'hourly' AS name, strftime(make_timestamp(max(last) * 1000000), '%Y-%m-%d') AS report_date, 0.05::DOUBLE AS alpha, CAST(sum(n) AS BIGINT) AS rows_per_family, CAST(sum(up) AS BIGINT) AS bonferroni, count(*) AS replications, max(n) AS tests, CAST(sum(down) AS BIGINT) AS confirmed_null, round(round(100 * sum(up) / sum(n), 3) / 100, 6) + 0.0 AS raw_significant, round(round(100 * sum(down) / sum(n), 3) / 100, 6) + 0.0 AS bh_surviving, CAST(count(*) AS INTEGER) AS symbols, min(n) AS candles, max(first) AS first_epoch, min(last) AS last_epoch FROM (SELECT symbol, count(*) AS n, min(epoch) AS first, max(epoch) AS last, count(CASE WHEN close > open THEN 1 END) AS up, count(CASE WHEN close < open THEN 1 END) AS down FROM hourly GROUP BY symbol)""",
     "backfill_missing_epochs": f"""WITH {HOURLY}, l AS (SELECT symbol, min(epoch) AS first, max(epoch) AS last FROM hourly GROUP BY symbol), e AS (SELECT symbol, last, unnest(range(first, 1707004800, 3600)) AS epoch FROM l), m AS (SELECT * FROM e ANTI JOIN hourly USING (symbol, epoch)),
 s AS (SELECT symbol, least(last - 7200, coalesce(min(CASE WHEN epoch < last THEN epoch END), last - 7200)) AS start FROM m GROUP BY symbol, last) SELECT symbol, epoch FROM m JOIN s USING (symbol) WHERE epoch >= start""",
     "backfill_coverage": f"WITH {HOURLY} SELECT symbol, 840::BIGINT AS expected, count(CASE WHEN epoch >= 1703980800 AND epoch < 1707004800 THEN 1 END) AS observed, round(100.0 * count(CASE WHEN epoch >= 1703980800 AND epoch < 1707004800 THEN 1 END) / 840, 6) + 0.0 AS coverage FROM hourly GROUP BY symbol",
     "dq_symbol_status": f"WITH {HOURLY}, {NAMED}, {day_report('hourly', 3600)} SELECT symbol, coverage, duplicates, invalid, gaps, CASE WHEN coverage IS NULL THEN 'missing' WHEN coverage >= 50 THEN 'healthy' ELSE 'degraded' END AS status FROM symbols LEFT JOIN (SELECT symbol, duplicates, invalid, gaps, round(coverage, 6) + 0.0 AS coverage FROM hourly_report) USING (symbol)".replace("SELECT symbol, coverage,", "SELECT symbols.symbol AS symbol, coverage,"),
     "dq_union_reports": f"WITH {HOURLY}, {DAILY}, {day_report('hourly', 3600)}, {day_report('daily', 86400)} SELECT symbol, duplicates, invalid, gaps, round(coverage, 6) + 0.0 AS coverage, 3600 AS granularity FROM hourly_report UNION ALL SELECT symbol, duplicates, invalid, gaps, round(coverage, 6) + 0.0, 86400 FROM daily_report",
-    "ind_annualize": f"WITH {NAMED} SELECT symbol, round(stated_vol * sqrt(31536000 / 60), 6) + 0.0 AS volatility FROM symbols",
+    "ind_annualize": f"{BASE} SELECT symbol, {unsigned('stddev_samp(r) * sqrt(365)')} AS volatility FROM ret GROUP BY symbol",
     "flags_filled": f"{FEATURES} SELECT symbol, epoch, {', '.join(f'coalesce({f}, false) AS {f}' for f in FLAGS)} FROM flags",
     "screen_flags_array": f"""{SCREEN}, top AS (SELECT * FROM flags WHERE symbol LIKE '%|display' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY epoch DESC) = 1), l AS (SELECT split_part(symbol, '|', 1) AS symbol, list_filter([{', '.join(f"CASE WHEN {f} THEN '{f}' END" for f in FLAGS)}], lambda x: x IS NOT NULL) AS found FROM top)
 SELECT symbol, CAST(generate_subscripts(found, 1) - 1 AS INTEGER) AS place, unnest(found) AS flag FROM l""",
     "last_segment": f"WITH {PARTS} SELECT symbol, count(*) AS n, min(epoch) AS first, max(epoch) AS last FROM runs_of_parts GROUP BY symbol",
-    "seed_hash": f"WITH {NAMED} SELECT symbol, flag, CAST(12345 + list_sum(list_transform(range(1, length(symbol || flag) + 1), lambda i: i * ascii(substr(symbol || flag, i, 1)))) AS BIGINT) AS seed FROM symbols, unnest({list(FLAGS)!r}) t(flag)",
+    "seed_hash": f"WITH {DAILY}, {HOURLY}, names AS (SELECT symbol FROM daily UNION SELECT symbol FROM hourly) SELECT symbol, flag, CAST(12345 + list_sum(list_transform(range(1, length(symbol || flag) + 1), lambda i: i * ascii(substr(symbol || flag, i, 1)))) AS BIGINT) AS seed FROM names, unnest({list(FLAGS)!r}) t(flag)",
     "screen_shift_p_all": f"{TURNS} SELECT symbol, flag, round(p, 6) + 0.0 AS p FROM shifts",
     "screen_bh": f"{TURNS} SELECT symbol, flag, round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q FROM {adjusted('(SELECT * FROM shifts WHERE p IS NOT NULL)')}",
     "trades_strided": f"{BASE}, {trades(5, signal='CASE WHEN place % 5 = 0 THEN CAST(sign(close - open) AS DOUBLE) ELSE 0 END').replace('FROM seg)', 'FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY epoch) - 1 AS place FROM seg))')} SELECT {TRADE_COLUMNS} FROM trades",
@@ -421,8 +433,8 @@ UNION ALL SELECT symbol, NULL, {REPORT_COLUMNS}, round(coalesce((SELECT max(draw
     "wrc_statistic": f"WITH {DAILY}, {TWO_STRATEGIES} SELECT round(greatest(avg(body), avg(fade)), 6) + 0.0 AS observed, 2::BIGINT AS strategies FROM strategies",
     "settle_returns": f"""WITH {DAILY}, m AS (SELECT *, d * (close - open) / open AS move, d * (CASE WHEN d > 0 THEN low ELSE high END - open) / open AS worst FROM daily, unnest([1.0::DOUBLE, -1.0::DOUBLE]) t(d) WHERE open > 0), g AS (SELECT *, CASE WHEN 50.0 * worst <= -5.0 THEN -5.0 ELSE 50.0 * move END AS gross FROM m)
 SELECT symbol, epoch + 86400 AS decision, d AS direction, round(gross, 6) + 0.0 AS gross, round(gross - 0.2, 6) + 0.0 AS net, CASE WHEN 50.0 * worst <= -5.0 THEN 'stop_out' ELSE 'bar_close' END AS reason FROM g""",
-    "portfolio_corr": f"{BASE}, a AS (SELECT x.r AS x, y.r AS y FROM ret x JOIN ret y ON x.epoch = y.epoch AND x.symbol = 'A' AND y.symbol = 'R' WHERE x.r IS NOT NULL AND y.r IS NOT NULL) SELECT 'A' AS one, 'R' AS two, round(corr(x, y), 6) + 0.0 AS correlation FROM a",
-    "portfolio_risk": f"{BASE}, a AS (SELECT x.r AS x, y.r AS y FROM ret x JOIN ret y ON x.epoch = y.epoch AND x.symbol = 'A' AND y.symbol = 'R' WHERE x.r IS NOT NULL AND y.r IS NOT NULL) SELECT count(*) AS observations, round(sqrt(0.375 * 0.375 + 0.25), 6) + 0.0 AS annual_volatility, round(abs(corr(x, y)), 6) + 0.0 AS max_correlation, abs(corr(x, y)) > 0.05 AS warning FROM a",
+    "portfolio_corr": f"{BASE}, shared AS (SELECT epoch FROM ret WHERE r IS NOT NULL GROUP BY epoch HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM daily)), a AS (SELECT x.symbol AS one, y.symbol AS two, x.r AS x, y.r AS y FROM ret x JOIN ret y ON x.epoch = y.epoch AND x.symbol < y.symbol JOIN shared b ON b.epoch = x.epoch) SELECT one, two, round(corr(x, y), 6) + 0.0 AS correlation FROM a GROUP BY one, two",
+    "portfolio_risk": f"{BASE}, {NAMED}, shared AS (SELECT epoch FROM ret WHERE r IS NOT NULL GROUP BY epoch HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM daily)), a AS (SELECT x.symbol AS one, y.symbol AS two, x.r AS x, y.r AS y FROM ret x JOIN ret y ON x.epoch = y.epoch AND x.symbol < y.symbol JOIN shared b ON b.epoch = x.epoch), c AS (SELECT corr(x, y) AS c FROM a GROUP BY one, two), t AS (SELECT stated_vol FROM symbols SEMI JOIN daily USING (symbol)) SELECT (SELECT count(*) FROM shared) AS observations, round((SELECT sqrt(sum(stated_vol * stated_vol)) / count(*) FROM t), 6) + 0.0 AS annual_volatility, round(max(abs(c)), 6) + 0.0 AS max_correlation, max(abs(c)) > 0.05 AS warning FROM c",
     "vol_monitor_latest": f"{BASE}, {monitor(500)} SELECT {MONITOR_COLUMNS} FROM monitor QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY monitor.epoch DESC) = 1",
     "vol_variance_stat": f"{BASE}, {monitor(100)}, l AS (SELECT *, 99 * realized * realized / stated_vol / stated_vol AS statistic FROM monitor WHERE status = 'ok' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY epoch DESC) = 1), p AS (SELECT *, {chi2_sf('statistic', '99')} AS above FROM l) SELECT symbol, observations, round(statistic, 6) + 0.0 AS statistic, round(least(1.0, 2 * least(above, 1 - above)), 6) + 0.0 AS p FROM p",
     "signal_eval_h1": signal_eval(1),

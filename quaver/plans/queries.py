@@ -200,12 +200,27 @@ def candle_pages_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rounded(history.merged_candles(history.candle_pages(candle_pages(spark, d)), *RANGE))
 
 
-REPORTS = [(f"r{i}", f"UTC report date: 2024-01-0{i}\nAlpha: 0.05\nEligible rows per p-value family: {1120 + i}\nBonferroni discoveries: {i}\nSeeded driftless GBM replications: 20\nTests per replication: 1120\nConfirmed null edges: 0\n\n| A | {86400 - i} | {1000 + i} | 9000 |\n| B | 86400 | 1100 | {8000 + i} |\n") for i in (1, 2)]
+def report_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(name, text): a report on daily candles and one on hourly ones, with the window of each symbol."""
+
+    def of(name: str, rows: DataFrame) -> DataFrame:
+        each = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.min("epoch").alias("first"), F.max("epoch").alias("last"), F.count(F.when(F.col("close") > F.col("open"), 1)).alias("up"), F.count(F.when(F.col("close") < F.col("open"), 1)).alias("down"))
+        lines = F.array_join(F.sort_array(F.collect_list(F.format_string("| %s | %d | %d | %d |", "symbol", "n", "first", "last"))), "\n")
+        numbers = {
+            "UTC report date": F.from_unixtime(F.max("last"), "yyyy-MM-dd"), "Alpha": F.lit("0.05"), "Eligible rows per p-value family": F.sum("n"), "Bonferroni discoveries": F.sum("up"), "Seeded driftless GBM replications": F.count("*"),
+            "Tests per replication": F.max("n"), "Raw circular-shift p < alpha": F.format_string("%.3f%%", 100 * F.sum("up") / F.sum("n")), "BH survivors / all null tests": F.format_string("%.3f%%", 100 * F.sum("down") / F.sum("n")), "Confirmed null edges": F.sum("down"),
+        }
+        text = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in numbers.items()], F.lit("\n| symbol | candles | first | last |\n|---|---|---|---|"), lines)
+        return each.agg(text.alias("value")).withColumn("name", F.lit(name))
+
+    return of("daily", market.daily(spark, d)).unionByName(of("hourly", market.hourly(spark, d)))
 
 
 def parse_report_header(spark: SparkSession, d: str) -> DataFrame:
-    """Of two literal reports; no table has any."""
-    return history.parse_reports(spark.createDataFrame(REPORTS, "name string, text string"))
+    """Of reports that are stored as text files."""
+    folder = shared_folder(spark, "reports")
+    report_texts(spark, d).write.partitionBy("name").option("lineSep", "\n").text(folder)
+    return rounded(history.parse_reports(spark.read.text(folder, wholetext=True).withColumnRenamed("value", "text")))
 
 
 def bad_ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -271,10 +286,18 @@ def last_segment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_hash(spark: SparkSession, d: str) -> DataFrame:
-    rows = market.symbols(spark).select("symbol").withColumn("flag", F.explode(F.array(*map(F.lit, screen.FLAGS))))
+    """The seeds of all flags of all symbols that have candles."""
+    names = market.daily(spark, d).select("symbol").unionByName(market.hourly(spark, d).select("symbol")).distinct()
+    rows = names.withColumn("flag", F.explode(F.array(*map(F.lit, screen.FLAGS))))
     return rows.select("symbol", "flag", screen.seed_hash(12345, F.concat("symbol", "flag")).cast("long").alias("seed"))
 
 
+def annualized(spark: SparkSession, d: str) -> DataFrame:
+    """The volatility of all returns of each symbol, as one of a year."""
+    rows = ind.log_return(market.daily(spark, d), DAY).groupBy("symbol").agg(F.stddev_samp("r").alias("v"))
+    return rounded(rows.select("symbol", ind.annualized(F.col("v"), DAY).alias("volatility")))
+
+
 def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every symbol of the registry with its state, the row on display and the last monitor window, where it has them."""
     monitor = stats.latest_monitor(stats.volatility_monitor(market.daily(spark, d), market.symbols(spark), DAY, 500))
@@ -334,12 +357,17 @@ def wrc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trades.reality_check(strategies(spark, d), DAY, 199, 3, 5))
 
 
+def one_hour(spark: SparkSession, d: str) -> DataFrame:
+    """Trades of an hour each, so that a day has many."""
+    return trades.forward_trades(market.hourly(spark, d), HOUR, body_signal(), 1, PRODUCT)
+
+
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ledger.breaker(one_day(spark, d)[1], 5.0, 3))
+    return rounded(ledger.breaker(one_hour(spark, d), 15.0, 3))
 
 
 def circuit_breaker_fold(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ledger.breaker_fold(one_day(spark, d)[1], 5.0, 12))
+    return rounded(ledger.breaker_fold(one_hour(spark, d), 15.0, 12))
 
 
 def kelly(spark: SparkSession, d: str) -> DataFrame:
@@ -353,8 +381,8 @@ SIZED = Product(stake=1.0, multiplier=2.0, stop_out=0.5, commission=0.2, spread=
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Stakes of the symbols that have candles, by the volatility of their last window of 20 returns."""
-    last = ind.realized_vol(market.daily(spark, d), DAY).where("volatility is not null").groupBy("symbol").agg(F.max_by("volatility", "epoch").alias("stated_vol"))
+    """Stakes of the symbols that have candles, by the volatility of their last window of 5 returns."""
+    last = ind.realized_vol(market.daily(spark, d), DAY, 5).where("vol is not null").groupBy("symbol").agg(F.max_by("vol", "epoch").alias("stated_vol"))
     return rounded(ledger.sizes(last, 10_000.0, 0.1, SIZED, 0.03))
 
 
@@ -364,14 +392,20 @@ def settle_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trades.settled(rows.where("entry > 0"), DAY, PRODUCT).select("symbol", "decision", "direction", "gross", "net", "reason"))
 
 
+def traded(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The registry's symbols that have candles."""
+    return market.symbols(spark).join(rows.select("symbol").distinct(), "symbol", "left_semi")
+
+
 def portfolio_corr(spark: SparkSession, d: str) -> DataFrame:
-    known = market.symbols(spark).where(F.col("symbol").isin("A", "R"))
-    return rounded(risk.portfolio_view(ind.log_return(market.daily(spark, d), DAY), known)[0])
+    """Of all symbols that have daily candles."""
+    rows = market.daily(spark, d)
+    return rounded(risk.portfolio_view(ind.log_return(rows, DAY), traded(spark, rows))[0])
 
 
 def portfolio_risk(spark: SparkSession, d: str) -> DataFrame:
-    known = market.symbols(spark).where(F.col("symbol").isin("A", "R"))
-    return rounded(risk.portfolio_view(ind.log_return(market.daily(spark, d), DAY), known, threshold=0.05)[1])
+    rows = market.daily(spark, d)
+    return rounded(risk.portfolio_view(ind.log_return(rows, DAY), traded(spark, rows), threshold=0.05)[1])
 
 
 def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
@@ -511,7 +545,7 @@ QUERIES: dict[str, Query] = {
     "segment_islands": lambda spark, d: ind.segmented(market.hourly(spark, d), HOUR).groupBy("symbol", "segment").agg(F.count("*").alias("n"), F.max("epoch").alias("last")),
     "ind_log_return": on_daily(ind.log_return),
     "ind_bollinger_z": on_daily(ind.bollinger_z),
-    "ind_annualize": lambda spark, d: rounded(market.symbols(spark).select("symbol", ind.annualized(F.col("stated_vol"), 60).alias("volatility"))),
+    "ind_annualize": annualized,
     "ind_realized_vol": on_daily(ind.realized_vol),
     "ind_realized_vol_elapsed": on_daily(ind.realized_vol_elapsed),
     "ind_parkinson": on_daily(ind.parkinson),
@@ -600,5 +634,4 @@ QUERIES: dict[str, Query] = {
     "edge_bootstrap": edge_bootstrap,
     "data_window": lambda spark, d: edge.data_window(market.daily(spark, d)),
     "technical_read": with_symbols(lambda c, s, step: edge.technical_read(screen.latest(c, s, step))),
-    "mc_risk": lambda spark, d: rounded(risk.risk_report(risk.simulations(spark, 0.5, 2, PRODUCT, 80, 200, 707))),
 }

@@ -5,6 +5,9 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from quaver.functions import quantiles, shifts
 from quaver.operators import edge, resampling, risk, stats
 from quaver.operators import trades
 from quaver.operators.trades import Product
@@ -51,37 +54,20 @@ def test_bootstrap(spark):
     assert means.where("k = 'v' and replication = 5").first()["mean"] == pytest.approx(np.mean(out))
 
 
-def test_settled_returns():
-    a = np.array
-    p = Product(stop_out=0.5, commission=0.1, spread=0.002)
-    assert risk.settled(a([0.01, 0.01]), a([0.02, 0.02]), a([0.0, -0.2]), a([1.0, 1.0]), p) == pytest.approx([0.3, -5.2])
-    q = Product(kind="fixed_payout", stake=20.0, payout=0.8, commission=0.2, spread=0.01)
-    assert risk.settled(a([0.01, -0.01, 0.0]), a([0.0] * 3), a([0.0] * 3), a([1.0, -1.0, 1.0]), q) == pytest.approx([15.6, 15.6, -20.4])
-
-
-def test_simulations_do_not_depend_on_partitions(spark):
-    runs = risk.simulations(spark, 0.5, 2, Product(), 30, 12, 7)
-    again = risk.simulations(spark, 0.5, 2, Product(), 30, 5, 7)
-    assert set(map(tuple, again.collect())) <= set(map(tuple, runs.collect()))
-    broke = risk.simulations(spark, 0.5, 1, Product(kind="fixed_payout", stake=400.0, payout=0.9), 50, 20, 1).where("ruined").first()
-    assert broke["terminal"] <= 500 and broke["drawdown"] > 0
-    assert risk.risk_report(runs).first()["simulations"] == 12
-
-
 def test_confirmation_needs_both_splits(spark):
     rows = [("f", 1, "long", "discovery", 0.01, 5.0), ("f", 1, "long", "confirmation", 0.02, 1.0), ("g", 1, "long", "discovery", 0.01, 5.0), ("g", 1, "long", "confirmation", 0.01, -1.0)]
     tests = spark.createDataFrame(rows, "flag string, horizon int, direction string, split string, q double, net_mean_bps double")
     assert {r["flag"]: r["confirmed"] for r in edge.confirmed(tests, []).collect()} == {"f": True, "g": False}
 
 
-@pytest.mark.parametrize("name", ["edge_bootstrap", "mc_risk", "arch_lm_lags", "wrc", "signal_bootstrap"])
+@pytest.mark.parametrize("name", ["edge_bootstrap", "arch_lm_lags", "wrc", "signal_bootstrap"])
 def test_queries_without_sql_have_rows(spark, name):
     assert QUERIES[name](spark, D.replace("0.01", "0.001")).count() > 0
 
 
 def test_shift_sums():
     on, value = np.array([True, False, True, False, False]), np.array([1.0, 2.0, 3.0, 4.0, 5.0])
-    assert edge.shift_sums(on, value) == pytest.approx([sum(value[(i + k) % 5] for i in (0, 2)) for k in range(5)])
+    assert shifts.shift_sums(on, value) == pytest.approx([sum(value[(i + k) % 5] for i in (0, 2)) for k in range(5)])
 
 
 def turns(spark, on, net, run=None):
@@ -98,10 +84,59 @@ def test_shift_p(spark):
     alone = turns(spark, [True, True, False], [1, 2, -5], [0, 1, 2])  # runs of one row stay as they are
     assert edge.shift_p(alone, 20, 3).first()["p"] == 1.0
     text = "s|f|1|long|discovery|shift"
-    draw = np.random.default_rng(9 + sum((i + 1) * ord(c) for i, c in enumerate(text))).integers(1, 40, 50)
+    draw = np.random.default_rng([9 + sum((i + 1) * ord(c) for i, c in enumerate(text)), 0]).integers(1, 40, 50)
     assert edge.shift_p(turns(spark, on, net), 50, 9).first()["p"] == pytest.approx((1 + sum(sums[k] >= sums[0] - 1e-9 for k in draw)) / 51)
 
 
+@pytest.fixture
+def tiny(monkeypatch):
+    """Series of over 10 rows are long; tiles have 64 numbers."""
+    monkeypatch.setattr(shifts, "IN_TASK", 10)
+    monkeypatch.setattr(shifts, "TILE", 64)
+
+
+@pytest.mark.parametrize("n", [11, 16, 100, 257, 1000])
+def test_sums_in_tiles_are_those_of_the_whole_series(spark, tiny, n):
+    r = np.random.default_rng(n)
+    on, value = r.normal(0, 1, n), r.normal(0, 1, n)
+    series = spark.createDataFrame([("k", n, 0.0, 1, i, float(on[i]), float(value[i])) for i in range(n)], "key string, n long, own double, seed long, at long, on double, value double")
+    got = shifts.tiled(series, lambda n, own, seed, k, s: {"k": k, "s": s}, "k long, s double").collect()
+    assert np.array([r.s for r in sorted(got, key=lambda r: r.k)]) == pytest.approx(shifts.shift_sums(on, value)) and len(got) == n
+
+
+def test_long_series_have_the_same_p(spark, tiny, monkeypatch):
+    r = np.random.default_rng(2)
+    on, net, run = r.random(90) < 0.3, r.normal(0, 1, 90), [0] * 40 + [40] * 5 + [45] * 8 + [53] * 37
+    rows = turns(spark, on, net, run).union(turns(spark, [True, False], [1, 2]).withColumn("flag", F.lit("g")))
+    found = lambda: [sorted(map(tuple, f.collect())) for f in (edge.shift_p_all(rows), edge.shift_p_drawn(rows, 9, 4), edge.shift_p(rows, 200, 9))]
+    long = found()
+    monkeypatch.setattr(shifts, "IN_TASK", 1000)
+    short = found()
+    assert long[:2] == short[:2]
+    assert [x[:-1] for x in long[2]] == [x[:-1] for x in short[2]] and [x[-1] for x in long[2]] == pytest.approx([x[-1] for x in short[2]], abs=0.12)
+    sums = shifts.shift_sums(on, net)
+    drawn = shifts.drawn(90, 9, 4 + sum((i + 1) * ord(c) for i, c in enumerate("s|f|1|long|discovery")))
+    assert len(set(drawn.tolist())) == 9 and short[1][0][-1] == pytest.approx((1 + sum(sums[k] >= sums[0] for k in drawn)) / 10)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
+def test_permutation(n):
+    p = shifts.Permutation(n, 77)
+    y = p.of(np.arange(n))
+    assert sorted(y.tolist()) == list(range(n)) and p.place(y).tolist() == list(range(n))
+    assert n < 100 or y.tolist() != shifts.Permutation(n, 78).of(np.arange(n)).tolist()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1.0])
+def test_quantiles(spark, share, monkeypatch):
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    r = np.random.default_rng(1)
+    groups = {"a": r.normal(0, 1, 501), "b": r.choice([1.0, 2.0], 100), "c": np.array([5.0]), "d": np.array([1e300, -1e300, 1e-300, 0.0]), "e": np.exp(r.normal(0, 30, 200)), "f": np.full(7, 3.25)}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("z", None), ("b", float("nan"))], "g string, v double")
+    got = {r.g: r.q for r in quantiles.quantile(rows, ["g"], "v", share, "q").collect()}
+    assert got == {k: pytest.approx(np.quantile(x, share), rel=1e-12) for k, x in groups.items()}
+
+
 def test_stouffer(spark):
     rows = spark.createDataFrame([("f", 0.5, 100), ("f", 0.02275013194817921, 100), ("f", 0.3, 0), ("g", 0.2, 0)], "flag string, p double, n_effective int")
     assert {r.flag: r.stouffer_z for r in edge.stouffer(rows, "p", ["flag"]).collect()} == {"f": pytest.approx(2 / math.sqrt(2))}

@@ -8,12 +8,15 @@ pages first, and the wrappers of a host are aligned in two shuffles, of which th
 
 A wrapper's blocks are then labelled: menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
 told by tag, class, id and role; of what is left the article is kept, or, on hosts without such an element, the
-innermost block that holds most of the text that isn't links. A page is matched with the wrapper of its host, and the
-texts in kept blocks are its main text. On hosts whose pages have no article or main element, it is the slots that
-decide: a place in the tree whose text is the same on over half of the host's different pages holds fixed text of the
-wrapper, which drops out, whatever its neighbours fold into; the texts of slots stay. Inside an article nothing is taken
-for fixed, as a line that many articles share is still part of each. A page in which nothing matches, and a page of a
-host that has only one, is matched with a wrapper of its own.
+innermost block that holds most of the text that isn't links. The slots overrule class words: a block that is told by
+class, id or role alone, but has SLOT_SHARE times the slot text of all that is left, is where the pages differ, and its
+name is kept. A page is matched with the wrapper of its host, and the texts in kept blocks are its main text, but for the
+wrapper's fixed texts: a text that stayed the same through all alignments, and is at its place on LEAST_PAGES different pages
+and over half of the host's, belongs to the template, inside an article too, whatever its block is called; texts of slots
+stay, and a line that many articles share in a group of paragraphs is in a slot. On hosts whose pages have no article or main element, a place in
+the tree whose text is the same on over half of the host's different pages holds fixed text as well, whatever its
+neighbours fold into. A page in which nothing matches, and a page of a host that has only one, is matched with a wrapper of
+its own, which has no fixed texts.
 
 Blocks nested deeper than MAX_DEPTH are read at that depth, as browsers do; no text is lost by it. Null and empty pages
 have an empty text. A null url is a host of its own. Repeated rows are returned each, and count once where fixed text is
@@ -42,6 +45,8 @@ MAX_DEPTH = 160
 MAX_STEPS = 1_000_000
 #: Wrappers up to this size in all are sent to all tasks; beyond it pages are joined with them by host.
 MAX_BROADCAST_BYTES = 8_000_000
+#: Pages that a fixed text is on at least; how much more slot text than all else has overrules class words.
+LEAST_PAGES, SLOT_SHARE = 4, 3
 #: Parts into which a host's wrappers are split before the last alignment.
 SALT = 32
 
@@ -257,6 +262,40 @@ def mass(items: list) -> int:
     return sum(x[3] - x[4] if x[0] == "#" else 0 if unwanted(x[0]) else mass(x[1]) for x in items)
 
 
+def slot_mass(items: list, dropped: bool = False) -> int:
+    """Characters of slots' text outside links: without what is always dropped, or with what only its names drop."""
+    return sum((x[3] - x[4] if x[1] is None else 0) if x[0] == "#" else 0 if unwanted(x[0]) and not (dropped and named_only(x[0])) else slot_mass(x[1], dropped) for x in items)
+
+
+def named_only(key: str) -> bool:
+    """Whether class, id or role alone drop a block."""
+    return unwanted(key) and not unwanted(key.partition(".")[0]) and not key.endswith("!")
+
+
+def overruled(items: list) -> set[str]:
+    """The keys of blocks that their names drop although SLOT_SHARE times more of the slots' text is in them than in all that is left."""
+    left, out = slot_mass(items), set()
+
+    def look(some: list) -> None:
+        for x in some:
+            if x[0] == "#":
+                continue
+            if named_only(x[0]):
+                if slot_mass(x[1], True) > SLOT_SHARE * max(left, 1):
+                    out.add(x[0])
+                    look(x[1])
+            elif not unwanted(x[0]):
+                look(x[1])
+
+    look(items)
+    return out
+
+
+def renamed(items: list, names: set[str]) -> list:
+    """Items whose blocks of these keys have their tag only, so that nothing drops them."""
+    return [x if x[0] == "#" else [x[0].partition(".")[0] if x[0] in names else x[0], renamed(x[1], names), *x[2:]] for x in items]
+
+
 def unwanted(key: str, inside: bool = False) -> bool:
     tag, _, names = key.partition(".")
     if key.endswith("!") or tag in DROP_TAGS or (tag == "header" and not inside):
@@ -302,44 +341,47 @@ def places_of(items: list, above: int = 0) -> Iterator[tuple[int, int]]:
 
 
 class Extractor:
-    """A labelled wrapper; fixed holds the names of texts that the host's pages share."""
+    """A labelled wrapper of so many different pages; template and, on hosts without articles, fixed hold the names of texts that
+    the host's pages share, template those that are fixed in the wrapper as well."""
 
-    def __init__(self, items: list, fixed: set[int]):
-        self.items = items
-        blocks, sure = main_blocks(items)
+    def __init__(self, items: list, fixed: set[int], template: set[int] = frozenset(), pages: int = 1):
+        self.names = overruled(items) if pages >= LEAST_PAGES else set()
+        self.items = renamed(items, self.names) if self.names else items
+        blocks, sure = main_blocks(self.items)
         self.main, self.fixed = set(blocks), set() if sure else fixed
+        self.template = template
 
     def places(self, page: list) -> list[int]:
         """The places of the page's texts that fall into kept slots."""
         out: list[int] = []
-        self._match(page, self.items, 0 in self.main, out)
-        if self.fixed and out:
-            still = {at for name, at in places_of(page) if name in self.fixed}
-            out = [at for at in out if at not in still]
-        return out
+        names = {at: name for name, at in places_of(page)} if self.fixed or self.template else {}
+        page = renamed(page, self.names) if self.names else page
+        self._match(page, self.items, 0 in self.main, out, {at for at, name in names.items() if name in self.template})
+        return [at for at in out if names.get(at) not in self.fixed] if self.fixed else out
 
-    def _match(self, page: list, items: list, keep: bool, out: list[int]) -> None:
+    def _match(self, page: list, items: list, keep: bool, out: list[int], shared: set[int]) -> None:
         flat = [y for x in items for y in (x[1] if x[0] == "()" else [x])]
         inside = {id(y): id(x) in self.main for x in items if x[0] == "()" for y in x[1]}
         where: dict[str, list[int]] = {}
         for k, y in enumerate(flat):
             where.setdefault(y[0], []).append(k)
+        fixed = {y[1] for y in flat if y[0] == "#"}
         at = 0
         for x in page:
             if x[0] == "#":
-                if keep:
+                if keep and not (x[5] in shared and x[1] in fixed):
                     out.append(x[5])
                 continue
             if unwanted(x[0], keep):
                 continue
             found = where.get(x[0])
             if not found:
-                self._match(x[1], [], keep, out)  # no page of the host that was aligned has it here
+                self._match(x[1], [], keep, out, shared)  # no page of the host that was aligned has it here
                 continue
             p = bisect_left(found, at)
             at = found[p] if p < len(found) else found[0]
             w = flat[at]
-            self._match(x[1], w[1], keep or id(w) in self.main or inside.get(id(w), False), out)
+            self._match(x[1], w[1], keep or id(w) in self.main or inside.get(id(w), False), out, shared)
 
 
 def main_text(page: str, wrapper: Extractor | None) -> str:
@@ -351,29 +393,29 @@ def main_text(page: str, wrapper: Extractor | None) -> str:
 
 
 def shared_texts(pages: DataFrame) -> DataFrame:
-    """(host, fixed): the names of texts, in their blocks, that over half of a host's different pages have; two at least.
+    """(host, pages, template, fixed): a host's different pages, and the names of texts, in their blocks, that over half of them have.
 
-    Pages with an article or main tag aren't read for it. A text that so many pages have is at most twice as common
-    as an average page is long, so a row is as small as a page.
-    """
+    template: of all pages, LEAST_PAGES at least; fixed: of the pages without an article or main tag, two at least. A text that
+    so many pages have is at most twice as common as an average page is long, so a row is as small as two pages."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            hosts, names = [], []
+            hosts, found = [], []
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                if page and not ARTICLE.search(page):
-                    items = parse(page)[0]
-                    mine = {name for name, _ in places_of(items)}
-                    body = hash_of(",".join(map(str, sorted(mine))))
+                if page:
+                    mine = {name for name, _ in places_of(parse(page)[0])}
+                    body, plain = hash_of(",".join(map(str, sorted(mine)))), not ARTICLE.search(page)
                     hosts += [host] * (len(mine) + 1)
-                    names += [(body, None), *((body, name) for name in mine)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64())], ["host", "body", "name"])
+                    found += [(body, plain, None), *((body, plain, name) for name in mine)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int64()))]], ["host", "body", "plain", "name"])
 
-    rows = durable(pages.select("host", "html").mapInArrow(named, "host string, body long, name long").distinct())
-    many = rows.where("name is null").groupBy("host").agg(F.count("*").alias("pages"))
-    often = rows.where("name is not null").groupBy("host", "name").agg(F.count("*").alias("c"))
-    fixed = often.where("c > 1").join(many, "host").where("2 * c > pages")
-    return fixed.groupBy("host").agg(F.collect_list("name").alias("fixed"))
+    rows = durable(pages.select("host", "html").mapInArrow(named, "host string, body long, plain boolean, name long").distinct())
+    count = [F.count("*").alias("c"), F.count(F.when(F.col("plain"), 1)).alias("plain")]
+    many = rows.where("name is null").groupBy("host").agg(F.count("*").alias("pages"), F.count(F.when(F.col("plain"), 1)).alias("plain_pages"))
+    often = rows.where("name is not null").groupBy("host", "name").agg(*count).where("c > 1").join(many, "host")
+    template = F.collect_list(F.when((F.col("c") >= LEAST_PAGES) & (2 * F.col("c") > F.col("pages")), F.col("name")))
+    fixed = F.collect_list(F.when((F.col("plain") > 1) & (2 * F.col("plain") > F.col("plain_pages")), F.col("name")))
+    return many.select("host", "pages").join(often.groupBy("host").agg(template.alias("template"), fixed.alias("fixed")), "host", "left")
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -417,10 +459,10 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", url.alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     kind = dict(rows.dtypes)["page_id"]
     wrappers = durable(infer(rows).join(shared_texts(rows), "host", "left"))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + 8 * F.coalesce(F.size("fixed"), F.lit(0))), F.lit(0))).first()[0]
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + 8 * (F.coalesce(F.size("fixed"), F.lit(0)) + F.coalesce(F.size("template"), F.lit(0)))), F.lit(0))).first()[0]
     known: dict[str, tuple] | None = None
     if size <= MAX_BROADCAST_BYTES:
-        known = {r.host: (r.wrapper, r.fixed) for r in wrappers.collect()}
+        known = {r.host: (r.wrapper, r.fixed, r.template, r.pages) for r in wrappers.collect()}
     else:
         counts = rows.groupBy("host").count()
         rows = split_join(rows, wrappers, "host", hot_keys(counts, "host", rows.count()), "left")
@@ -430,12 +472,12 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in slices(batches, "html"):
             texts = []
             hosts = b.column("host").to_pylist()
-            found = [known.get(h, (None, None)) for h in hosts] if known is not None else zip(b.column("wrapper").to_pylist(), b.column("fixed").to_pylist(), strict=True)
-            for name, page, (wrapper, fixed) in zip(hosts, b.column("html").to_pylist(), found, strict=True):
+            found = [known.get(h, (None, None, None, 0)) for h in hosts] if known is not None else zip(*[b.column(c).to_pylist() for c in ("wrapper", "fixed", "template", "pages")], strict=True)
+            for name, page, (wrapper, fixed, template, many) in zip(hosts, b.column("html").to_pylist(), found, strict=True):
                 if wrapper and name not in ready:
                     if len(ready) > 1000:
                         ready.clear()
-                    ready[name] = Extractor(json.loads(wrapper), set(fixed or []))
+                    ready[name] = Extractor(json.loads(wrapper), set(fixed or []), set(template or []), many or 1)
                 texts.append(main_text(page, ready.get(name)) if page else "")
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

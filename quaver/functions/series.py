@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaver.session import written
+
 CHUNK_ROWS = 1024
 
 
@@ -21,7 +23,7 @@ def chunk_of(step: int, rows: int = CHUNK_ROWS) -> Column:
 
 def segmented(candles: DataFrame, step: int) -> DataFrame:
     """Adds chunk and segment, the epoch at which the contiguous run of candles begins that a row is in."""
-    rows = candles.withColumn("chunk", chunk_of(step))
+    rows = written(candles.withColumn("chunk", chunk_of(step)))  # candles are asked for thrice
     by_symbol = Window.partitionBy("symbol").orderBy("chunk")
     ends = rows.groupBy("symbol", "chunk").agg(F.max("epoch").alias("last"))
     ends = ends.withColumn("before", F.lag("last").over(by_symbol)).drop("last")
@@ -70,19 +72,21 @@ def affine(rows: DataFrame, **steps: tuple[Column, Column]) -> DataFrame:
     A chunk's rows are composed as arrays, chunks are chained by their last rows, and the values follow from both.
     """
     names = list(steps)
-    slim = rows.select("symbol", "chunk", "epoch", *[c.cast("double").alias(f"{k}{i}") for i, pair in enumerate(steps.values()) for k, c in zip("ab", pair, strict=True)])
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))  # a number for each row, as epochs may be repeated
+    slim = rows.select("_row", "symbol", "chunk", "epoch", *[c.cast("double").alias(f"{k}{i}") for i, pair in enumerate(steps.values()) for k, c in zip("ab", pair, strict=True)])
     columns = [f"{k}{i}" for i in range(len(names)) for k in "ab"]
     ends = ", ".join(f"{c} double" for c in columns)
 
     def composed(pdf: pd.DataFrame, order: str) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
+        pdf = pdf.sort_values(order, ignore_index=True, kind="stable")
         a, b = scanned(pdf[[f"a{i}" for i in range(len(names))]].to_numpy(), pdf[[f"b{i}" for i in range(len(names))]].to_numpy())
         return pdf.assign(**{f"a{i}": a[:, i] for i in range(len(names))}, **{f"b{i}": b[:, i] for i in range(len(names))})
 
-    done = slim.groupBy("symbol", "chunk").applyInPandas(lambda pdf: composed(pdf, "epoch"), f"symbol string, chunk long, epoch long, {ends}")
+    done = slim.groupBy("symbol", "chunk").applyInPandas(lambda pdf: composed(pdf, "epoch"), f"_row long, symbol string, chunk long, epoch long, {ends}")
+    done = written(done)
     last_rows = done.groupBy("symbol", "chunk").agg(*[F.max_by(c, "epoch").alias(c) for c in columns])
     chained = last_rows.groupBy("symbol").applyInPandas(lambda pdf: composed(pdf, "chunk"), f"symbol string, chunk long, {ends}")
     before = Window.partitionBy("symbol").orderBy("chunk")
     starts = chained.select("symbol", "chunk", *[F.coalesce(F.lag(f"b{i}").over(before), F.lit(0.0)).alias(f"y{i}") for i in range(len(names))])
-    done = done.join(starts, ["symbol", "chunk"]).select("symbol", "epoch", *[(F.col(f"a{i}") * F.col(f"y{i}") + F.col(f"b{i}")).alias(n) for i, n in enumerate(names)])
-    return rows.join(done, ["symbol", "epoch"])
+    done = done.join(starts, ["symbol", "chunk"]).select("_row", *[(F.col(f"a{i}") * F.col(f"y{i}") + F.col(f"b{i}")).alias(n) for i, n in enumerate(names)])
+    return rows.join(done, "_row").drop("_row")

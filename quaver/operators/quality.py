@@ -42,7 +42,7 @@ def abnormal_jumps(ticks: DataFrame, sigma: float = 8.0, n: int = 100) -> DataFr
     """Returns beyond sigma deviations of up to n returns before, in order of arrival and over rising epochs only.
 
     Kept returns are numbered; a window of n runs in a chunk of numbers that begins with a halo of the n before."""
-    valid = ticks.where("quote > 0 and not isnan(quote)")
+    valid = ticks.where("quote > 0 and quote < double('infinity')")  # NaN is above infinity
     kept = with_previous(valid, "arrival", ARRIVALS, "epoch", "quote").where("epoch > previous_epoch").withColumn("r", F.log(F.col("quote") / F.col("previous_quote")))
     kept = numbered_by(kept.select("symbol", "arrival", "epoch", "r"), "arrival", ARRIVALS, ["symbol"])
     kept = in_parts(kept, n)

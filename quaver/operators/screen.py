@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -169,3 +171,18 @@ def as_json(rows: DataFrame) -> DataFrame:
     """(symbol, json): a row as JSON text, in which what isn't a finite number is null."""
     safe = {c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(None)).otherwise(F.col(c)) for c, t in rows.dtypes if t == "double"}
     return rows.withColumns(safe).select("symbol", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def causality(candles: DataFrame, symbols: DataFrame, step: int, cuts: int = 50, flags_of: Callable = flagged) -> DataFrame:
+    """(symbol, cuts, compared, differing): whether the flags of a candle change when later candles are taken away.
+
+    Each symbol's time is cut at `cuts` even points; what is before a cut is a series of its own, named symbol|cut, so one plan
+    works out the flags of all prefixes, and each row of each prefix is compared with the same row of the whole series."""
+    ends = candles.groupBy("symbol").agg(F.min("epoch").alias("_low"), F.max("epoch").alias("_high"))
+    cut = F.col("_low") + F.floor((F.col("_high") - F.col("_low")) * F.col("_k") / cuts)
+    rows = candles.join(ends, "symbol").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(cuts)))).where(F.col("epoch") <= cut)
+    rows = rows.withColumn("symbol", F.concat_ws(MARK, "symbol", "_k")).drop("_low", "_high", "_k")
+    part = flags_of(rows, symbols, step).withColumn("symbol", F.split_part("symbol", F.lit(MARK), F.lit(1)))
+    whole = flags_of(candles, symbols, step).select("symbol", "epoch", F.struct(*FLAGS).alias("_whole"))
+    same = F.struct(*FLAGS).eqNullSafe(F.col("_whole"))
+    return part.join(whole, ["symbol", "epoch"]).groupBy("symbol").agg(F.lit(cuts).alias("cuts"), F.count("*").alias("compared"), F.count(F.when(~same, 1)).alias("differing"))

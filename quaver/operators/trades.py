@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.dist import NORMAL
 from quaver.functions.series import chunk_of, haloed, last, order, segmented
 from quaver.operators import quality, resampling, stats
 from quaver.operators.indicators import YEAR
+from quaver.session import written
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,39 @@ class Product:
             raise ValueError(f"not a product: {self}")
 
 
+def validated(candles: DataFrame, place: str | None = None, single: bool = False) -> DataFrame:
+    """The candles, written; ValueError with the first bad row if prices aren't above 0 and finite, an epoch of a symbol comes again or,
+    in the order of the column `place`, doesn't rise, granularities are mixed, or, where a single one is asked for, symbols are.
+
+    The checks are metrics of the write, so the candles are read once."""
+    rows = candles
+    if place is None:
+        rows = rows.withColumn("_bad", F.count("*").over(Window.partitionBy("symbol", "epoch")) > 1)
+    else:
+        rows = quality.with_previous(rows, place, quality.ARRIVALS, "epoch").withColumn("_bad", F.coalesce(F.col("epoch") <= F.col("previous_epoch"), F.lit(False))).drop("previous_epoch")
+    price = F.lit(False)
+    for c in ("open", "high", "low", "close"):
+        price = price | ~F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))
+    row, grain = F.struct("symbol", "epoch"), F.col("granularity") if "granularity" in candles.columns else F.lit(1)
+    seen = Observation()
+    rows = rows.observe(
+        seen, F.min(F.when(F.col("_bad"), row)).alias("epoch"), F.min(F.when(price, row)).alias("price"), F.min("symbol").alias("first"), F.max("symbol").alias("last"),
+        F.min(grain).alias("fine"), F.max(grain).alias("coarse"),
+    )
+    out = written(rows.drop("_bad"))
+    found = seen.get
+    if found["fine"] != found["coarse"]:
+        raise ValueError(f"granularities are mixed: {found['fine']} and {found['coarse']}")
+    if found["fine"] is not None and found["fine"] <= 0:
+        raise ValueError("a granularity is above 0")
+    if single and found["first"] != found["last"]:
+        raise ValueError(f"symbols are mixed: {found['first']} and {found['last']}")
+    for what, says in (("epoch", "epochs don't rise"), ("price", "prices aren't above 0")):
+        if found[what] is not None:
+            raise ValueError(f"{says}: {found[what]['symbol']} at {found[what]['epoch']}")
+    return out
+
+
 def body_signal() -> Column:
     """1 for a rising candle, -1 for a falling one, else 0."""
     return F.signum(F.col("close") - F.col("open"))

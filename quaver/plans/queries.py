@@ -314,6 +314,12 @@ def forward(horizon: int, product: Product) -> Query:
     return lambda spark, d: rounded(trades.forward_trades(market.daily(spark, d), DAY, body_signal(), horizon, product))
 
 
+def validated_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Trades over candles that have been checked in the pass that writes them."""
+    rows = trades.validated(market.daily(spark, d).withColumn("granularity", F.lit(DAY)))
+    return rounded(trades.forward_trades(rows.drop("granularity"), DAY, body_signal(), 1, PRODUCT))
+
+
 def strided(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trades.strided_trades(market.daily(spark, d), DAY, body_signal(), 5, PRODUCT))
 
@@ -561,6 +567,8 @@ QUERIES: dict[str, Query] = {
     "screen_features": with_symbols(screen.features),
     "flags_causal": with_symbols(screen.flagged),
     "flags_filled": with_symbols(screen.causal_flags),
+    "causality": with_symbols(screen.causality, 20),
+    "validated_trades": validated_trades,
     "screen_latest": screen_latest,
     "screen_flags_array": screen_flags_array,
     "screen_json": screen_json,

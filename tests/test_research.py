@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaver.functions import quantiles, shifts
-from quaver.operators import edge, resampling, risk, stats
+from quaver.operators import edge, resampling, risk, screen, stats
 from quaver.operators import trades
 from quaver.operators.trades import Product
 from quaver.plans.queries import QUERIES
@@ -184,3 +184,36 @@ def test_portfolio(spark):
     assert view.first()["annual_volatility"] == pytest.approx(math.sqrt(0.0625 + 0.25))
     with pytest.raises(ValueError):
         risk.portfolio_view(rows, known, {"a": 1.0})
+
+
+@pytest.mark.parametrize(("change", "says"), [
+    (lambda c: c.union(c.where("epoch = 60")), "epochs don't rise: x at 60"), (lambda c: c.withColumn("low", F.when(F.col("epoch") == 120, 0.0).otherwise(F.col("low"))), "prices aren't above 0: x at 120"),
+    (lambda c: c.withColumn("high", F.when(F.col("epoch") == 120, float("inf")).otherwise(F.col("high"))), "prices"), (lambda c: c.withColumn("close", F.when(F.col("epoch") > 0, F.col("close"))), "x at 0"),
+    (lambda c: c.withColumn("granularity", F.col("epoch") + 60), "granularities are mixed"), (lambda c: c.withColumn("granularity", F.lit(0)), "granularity is above 0"),
+    (lambda c: c.union(c.withColumn("symbol", F.lit("y"))), "symbols are mixed: x and y"),
+])
+def test_bad_candles_are_refused(spark, change, says):
+    rows = candles(spark, [5, 6, 7, 8])
+    assert trades.validated(rows, single=True).count() == 4 and trades.validated(rows.limit(0), single=True).count() == 0
+    with pytest.raises(ValueError, match=says):
+        trades.validated(change(rows), single=True)
+
+
+def test_epochs_rise_in_order_of_arrival(spark):
+    rows = candles(spark, [5, 6, 7, 8]).withColumn("place", F.col("epoch"))
+    assert trades.validated(rows, "place").count() == 4
+    with pytest.raises(ValueError, match="x at 60"):
+        trades.validated(rows.withColumn("place", F.when(F.col("epoch") == 60, 999).otherwise(F.col("place"))), "place")
+
+
+def test_a_flag_that_looks_ahead_is_found(spark):
+    symbols = spark.createDataFrame([("x", 0.5, 1)], "symbol string, stated_vol double, tick_interval int")
+    rows = candles(spark, 100 + np.arange(90) % 7)
+
+    def ahead(c, s, step):
+        last = c.groupBy("symbol").agg(F.max("epoch").alias("last"))
+        out = screen.flagged(c, s, step).join(last, "symbol")
+        return out.withColumn(screen.FLAGS[0], F.col("epoch") == F.col("last")).drop("last")
+
+    assert [tuple(r) for r in screen.causality(rows, symbols, 60, 6).collect()] == [("x", 6, 15 + 30 + 45 + 60 + 75 + 90, 0)]
+    assert screen.causality(rows, symbols, 60, 6, ahead).first().differing == 5

@@ -7,8 +7,9 @@ at least GAIN nats for each string it stores. Suffixes of states are states. Sto
 what that leaves is given to the suffix's distribution, down to the root, (c + 0.1) / (N + 0.1 (V + 1)). A text's score
 is the sum of log10 probabilities, each in the longest suffix of its history that is a state.
 
-All counts are exact and over all training texts, by passes over the table: words, then strings of two words, three and
-so on, each counted in the tasks and summed by Spark. A filter of fixed size spares strings with a part that is too rare
+All counts are exact and over all training texts. Words are counted first, then names of strings: of two words that are
+both frequent, then of longer ones all of whose pairs are. Names travel sorted and packed by range, so that the many
+rare strings cost few bytes. Filters of fixed size spare strings with a part that is too rare
 to be stored; what it lets through is dropped by its count. The tree is a table: each token's log10 probability is a sum
 of terms that are named by the 64-bit hashes of strings and states. The terms of the most frequent strings, HOT at most
 of each kind, are sent to all tasks; the others are joined to the texts that may need them. How many are sent changes
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import durable, slices, small_batches, utf8
+from quaver.llm.common import durable, hot_keys, slices, small_batches, split_join, utf8
 from quaver.llm.words import mix, words
 
 LEAST_COUNT = 16
@@ -42,6 +43,8 @@ HOT = 1 << 20
 FILTER_BITS = 27
 #: Counters a task holds before it hands them on.
 MAX_HELD = 4_000_000
+#: Training tokens for each task that adds counters up.
+KEYS_A_PART = 4_000_000
 _U = np.uint64
 END = np.uint64(0x9D5C0FB1E3A76F21)
 
@@ -141,58 +144,152 @@ def held_by_all(terms: DataFrame, most: int) -> int:
     return bar
 
 
+def gathered(batches: Iterator[pa.RecordBatch], keys: Callable[[pa.Array], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct keys of the texts and how often each occurs, in as few parts as MAX_HELD counters allow."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for b in slices(batches, "text"):
+        k, c = np.unique(keys(b.column("text")), return_counts=True)
+        held.append((k, c.astype(np.int64)))
+        size += len(k)
+        if size > MAX_HELD:
+            held = [merged(held)]
+            size = len(held[0][0])
+            if size > MAX_HELD // 2:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield merged(held)
+
+
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    k, c = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    return k[first], np.add.reduceat(c, first)
+
+
+def counters(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(k), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["key", "c"])
+
+
 def counted(docs: DataFrame, keys: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """(key, c): how often the keys that `keys` makes of the texts occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, c in gathered(batches, keys):
+            yield from counters(k, c)
+
+    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits, their highest bytes together, so that small ones compress well."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def frequent(docs: DataFrame, keys: Callable[[pa.Array], np.ndarray], least: int, parts: int) -> DataFrame:
+    """(key, c) of the evenly spread keys that occur `least` times; `parts` tasks add the counters up.
+
+    Most keys are rare, so no row is made of each: a task sorts its keys and hands on their differences, packed by range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, c in gathered(batches, keys):
+            part = ((k >> _U(32)) * _U(parts)) >> _U(32)
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = np.append(first[1:], len(k))
+            blocks = [(packed(np.diff(k[i:j], prepend=_U(0))), packed(c[i:j])) for i, j in zip(first, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*blocks, strict=True))], ["part", "k", "c"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        for b in batches:
+            for k, c in zip(b.column("k"), b.column("c"), strict=True):
+                held.append((np.cumsum(unpacked(k.as_py()), dtype=np.uint64), unpacked(c.as_py()).astype(np.int64)))
+                size += len(held[-1][0])
+            if size > MAX_HELD:
+                held = [merged(held)]
+                size = 0
+        if held:
+            k, c = merged(held)
+            yield from counters(k[c >= least], c[c >= least])
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, c = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            order = np.argsort(k)
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            return k[first], np.add.reduceat(c, first)
+    blocks = docs.select("text").mapInArrow(run, "part int, k binary, c binary")
+    return durable(blocks.repartitionById(parts, "part").mapInArrow(added, "key long, c long"))
 
-        def out() -> Iterator[pa.RecordBatch]:
-            k, c = held[0]
-            for at in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["key", "c"])
 
-        for b in slices(batches, "text"):
-            k, c = np.unique(keys(b.column("text")), return_counts=True)
-            held.append((k, c.astype(np.int64)))
-            size += len(k)
-            if size > MAX_HELD:
-                held = [merged()] if len(k) else held
-                size = len(held[0][0])
-                if size > MAX_HELD // 2:
-                    yield from out()
-                    held, size = [], 0
-        if size:
-            held = [merged()]
-            yield from out()
+def kept_runs(t: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each place: how many strings of two words in a row, up to the one that ends there, pass the filter."""
+    at, a, b = next(histories(t, bounds, 1))
+    ok = np.zeros(len(t), bool)
+    ok[at] = passes(bits, chained(a, b))
+    place = np.arange(len(t))
+    return place - np.maximum.accumulate(np.where(ok, -1, place))
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
+def strings(docs: DataFrame, able: DataFrame, total: int, depth: int) -> DataFrame:
+    """(k, a, b, c, key): all strings of context a, of k words, and b that occur LEAST_COUNT times, their counts and names.
+
+    Three passes whatever the depth: names of strings of two words; names of longer ones all of whose pairs are frequent;
+    contexts and suffixes of the strings whose names are. able: the words that occur LEAST_COUNT times.
+    """
+    sc = docs.sparkSession.sparkContext
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // KEYS_A_PART))
+    known = sc.broadcast(filter_of(able.select("key")))
+
+    def pairs(column: pa.Array) -> np.ndarray:
+        t, bounds = tokens(column)
+        ok = passes(known.value, t)
+        at, a, b = next(histories(t, bounds, 1))
+        both = ok[at - 1] & ok[at]
+        return chained(a[both], b[both])
+
+    two = sc.broadcast(filter_of(frequent(docs, pairs, LEAST_COUNT, parts).select("key")))
+    known.unpersist()
+
+    def longer(column: pa.Array) -> np.ndarray:
+        t, bounds = tokens(column)
+        runs = kept_runs(t, bounds, two.value)
+        found = [chained(a[runs[at] >= k], b[runs[at] >= k]) for k, (at, a, b) in enumerate(histories(t, bounds, depth), 1) if k > 1]
+        return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-def strings(docs: DataFrame, parts: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(a, b, c, key): the strings of context a and b that occur LEAST_COUNT times, their counts and names."""
+    more = sc.broadcast(filter_of(frequent(docs, longer, LEAST_COUNT, parts).select("key")) if depth > 1 else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            x, y = parts(b.column("text"))
-            _, first, c = np.unique(chained(x, y), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64)), pa.array(c)], ["a", "b", "c"])
+            t, bounds = tokens(b.column("text"))
+            runs = kept_runs(t, bounds, two.value)
+            for k, (at, x, y) in enumerate(histories(t, bounds, depth), 1):
+                ok = runs[at] >= k
+                x, y = x[ok], y[ok]
+                key = chained(x, y)
+                if k > 1:
+                    ok = passes(more.value, key)
+                    x, y, key = x[ok], y[ok], key[ok]
+                _, first, c = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64)), pa.array(c)], ["k", "a", "b", "c"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (b.column(k).to_numpy().view(np.uint64) for k in "ab")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chained(x, y).view(np.int64))], ["a", "b", "c", "key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chained(x, y).view(np.int64))], ["k", "a", "b", "c", "key"])
+
+    rows = docs.select("text").mapInArrow(run, "k int, a long, b long, c long").groupBy("k", "a", "b").agg(F.sum("c").alias("c"))
+    return durable(rows.where(F.col("c") >= LEAST_COUNT).mapInArrow(named, "k int, a long, b long, c long, key long"))
 
-    rows = docs.select("text").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    return durable(rows.where(F.col("c") >= LEAST_COUNT).mapInArrow(named, "a long, b long, c long, key long"))
+
+def joined(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """rows joined with right, which has one row for each key; words that many rows have are sent to all tasks."""
+    counts = rows.groupBy(key).count()
+    return split_join(rows, right, key, hot_keys(counts, key, rows.count()))
 
 
 def states(rows: DataFrame) -> DataFrame:
@@ -217,30 +314,20 @@ class Model(NamedTuple):
 
 def learn(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_COUNT) -> Model:
     """The tree of the training texts; counts: their words' counts. Contexts that occur less than least_context times aren't tested."""
-    sc = docs.sparkSession.sparkContext
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     able = counts.where(F.col("c") >= LEAST_COUNT)
+    stored = strings(docs, able, total, depth)
     shorter = able.select("key", "c", ((F.col("c") + ALPHA) / (total + ALPHA * (kinds + 1))).alias("p"))
     rows: list[DataFrame] = []
     tests: list[DataFrame] = []
     for k in range(1, depth + 1):
-        contexts = shorter.where(F.col("c") >= least_context)
-        known = sc.broadcast((filter_of(contexts.select("key")), filter_of(shorter.select("key"))))
-
-        def parts(column: pa.Array, k: int = k, known=known) -> tuple[np.ndarray, np.ndarray]:
-            t, bounds = tokens(column)
-            *_, (_, a, b) = histories(t, bounds, k)
-            ok = passes(known.value[0], a)
-            a, b = a[ok], b[ok]
-            ok = passes(known.value[1], b)
-            return a[ok], b[ok]
-
-        found = strings(docs, parts)
-        found = found.join(shorter.select(F.col("key").alias("b"), F.col("p").alias("below")), "b").join(contexts.select(F.col("key").alias("a"), F.col("c").alias("total")), "a")
+        found = stored.where(F.col("k") == k).drop("k")
+        contexts = shorter.where(F.col("c") >= least_context).select(F.col("key").alias("a"), F.col("c").alias("total"))
+        found = joined(found, shorter.select(F.col("key").alias("b"), F.col("p").alias("below")), "b")
+        found = durable(joined(found, contexts, "a"))
         test = states(found)
         add = (F.col("c") - DISCOUNT) / F.col("total")
-        shorter = durable(found.drop("total").join(test, "a").select("a", "b", "c", "key", "rest", "below", (add + F.col("rest") * F.col("below")).alias("p")))
-        known.unpersist()
+        shorter = durable(joined(found.drop("total"), test, "a").select("a", "b", "c", "key", "rest", "below", (add + F.col("rest") * F.col("below")).alias("p")))
         rows.append(shorter)
         tests.append(test.where("stays").select("a"))
     # suffixes of states are states: the context a of k words is a string of the level before, whose b is its suffix

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,21 @@ def test_places(n):
     ask = np.concatenate([keys, keys + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
     where = {k: i for i, k in enumerate(keys.tolist())}
     assert suffix_tree.Places(keys).of(ask).tolist() == [where.get(k, -1) for k in ask.tolist()]
+
+
+def test_packed_numbers_come_back():
+    x = np.concatenate([np.arange(300, dtype=np.uint64), np.array([(1 << 64) - 1, 1 << 63], np.uint64)])
+    assert (suffix_tree.unpacked(suffix_tree.packed(x)) == x).all()
+    assert len(suffix_tree.unpacked(suffix_tree.packed(x[:0]))) == 0
+
+
+@pytest.mark.parametrize("held", [1, 4_000_000])
+def test_frequent_keys(spark, monkeypatch, held):
+    monkeypatch.setattr(suffix_tree, "MAX_HELD", held)
+    r = random.Random(held)
+    texts = [None, ""] + [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(30)) for _ in range(60)]
+    want = Counter(int(h) for t in texts for h in suffix_tree.tokens(pa.array([t]))[0])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = suffix_tree.frequent(docs, lambda c: suffix_tree.tokens(c)[0], 60, 5).collect()
+    assert sorted((g.key % (1 << 64), g.c) for g in got) == sorted((k, c) for k, c in want.items() if c >= 60)
+    assert not suffix_tree.frequent(docs.limit(0), lambda c: suffix_tree.tokens(c)[0], 1, 5).count()

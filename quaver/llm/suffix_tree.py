@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import durable, hot_keys, slices, small_batches, split_join, utf8
+from quaver.llm.common import HOT_SHARE, durable, hot_keys, slices, small_batches, split_join, utf8
 from quaver.llm.words import mix, words
 
 LEAST_COUNT = 16
@@ -45,6 +45,8 @@ FILTER_BITS = 27
 MAX_HELD = 4_000_000
 #: Training tokens for each task that adds counters up.
 KEYS_A_PART = 4_000_000
+#: Rows of one key that a task may join.
+ROWS_A_KEY = 100_000
 _U = np.uint64
 END = np.uint64(0x9D5C0FB1E3A76F21)
 
@@ -286,10 +288,10 @@ def strings(docs: DataFrame, able: DataFrame, total: int, depth: int) -> DataFra
     return durable(rows.where(F.col("c") >= LEAST_COUNT).mapInArrow(named, "k int, a long, b long, c long, key long"))
 
 
-def joined(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """rows joined with right, which has one row for each key; words that many rows have are sent to all tasks."""
-    counts = rows.groupBy(key).count()
-    return split_join(rows, right, key, hot_keys(counts, key, rows.count()))
+def joined(rows: DataFrame, n: int, right: DataFrame, key: str) -> DataFrame:
+    """rows, n at most, joined with right, which has one row for each key; keys of ROWS_A_KEY rows are sent to all tasks."""
+    hot = hot_keys(rows.groupBy(key).count(), key, max(n, int(ROWS_A_KEY / HOT_SHARE))) if n >= ROWS_A_KEY else []
+    return split_join(rows, right, key, hot)
 
 
 def states(rows: DataFrame) -> DataFrame:
@@ -317,17 +319,19 @@ def learn(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, least_context:
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     able = counts.where(F.col("c") >= LEAST_COUNT)
     stored = strings(docs, able, total, depth)
+    sizes = {r.k: r["count"] for r in stored.groupBy("k").count().collect()}
     shorter = able.select("key", "c", ((F.col("c") + ALPHA) / (total + ALPHA * (kinds + 1))).alias("p"))
     rows: list[DataFrame] = []
     tests: list[DataFrame] = []
     for k in range(1, depth + 1):
         found = stored.where(F.col("k") == k).drop("k")
         contexts = shorter.where(F.col("c") >= least_context).select(F.col("key").alias("a"), F.col("c").alias("total"))
-        found = joined(found, shorter.select(F.col("key").alias("b"), F.col("p").alias("below")), "b")
-        found = durable(joined(found, contexts, "a"))
+        n = sizes.get(k, 0)
+        found = joined(found, n, shorter.select(F.col("key").alias("b"), F.col("p").alias("below")), "b")
+        found = durable(joined(found, n, contexts, "a"))
         test = states(found)
         add = (F.col("c") - DISCOUNT) / F.col("total")
-        shorter = durable(joined(found.drop("total"), test, "a").select("a", "b", "c", "key", "rest", "below", (add + F.col("rest") * F.col("below")).alias("p")))
+        shorter = durable(joined(found.drop("total"), n, test, "a").select("a", "b", "c", "key", "rest", "below", (add + F.col("rest") * F.col("below")).alias("p")))
         rows.append(shorter)
         tests.append(test.where("stays").select("a"))
     # suffixes of states are states: the context a of k words is a string of the level before, whose b is its suffix
@@ -352,7 +356,7 @@ def terms(m: Model) -> DataFrame:
         return rows.groupBy("a").agg(F.sum("c").alias("c"), F.log10(F.first("rest")).alias("v")).mapInArrow(run, "key long, c long, v double")
 
     found = [part for rows in m.levels for part in (rows.select("key", "c", F.log10(F.col("p") / F.col("below") / F.col("rest")).alias("v")), states_of(rows))]
-    return durable(reduce(DataFrame.unionByName, found))
+    return durable(reduce(DataFrame.unionByName, found).coalesce(int(m.counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least_context: int = LEAST_COUNT) -> DataFrame:

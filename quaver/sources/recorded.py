@@ -4,8 +4,9 @@
 epoch, and is named after that epoch: symbol=S/END.json. A partition walks one symbol's pages backwards from its end: the
 next request ends before the oldest row of the page before. It stops at the start, at an empty page, and at a page with
 fewer rows than were asked for, unless the page is one of candles that the service has cut at CANDLE_LIMIT rows. With
-`spans`, a symbol's time is dealt to so many partitions, each of which walks its own part. Pages that don't go back, and
-malformed ones, are errors.
+`spans`, a symbol's time is dealt to so many partitions, each of which walks its own part. A row isn't after the end of its
+page, so a partition hands on what the pages before that end can't hold, and keeps no more than a few pages. Pages that don't
+go back, and malformed ones, are errors.
 
 `quaver_live` reads a folder of subscription messages as a stream: files of one JSON object a line, NAME.jsonl, which are
 never changed and whose names ascend. An offset is the last file read, so a query that restarts reads the same files again
@@ -81,6 +82,9 @@ class HistoryReader(DataSourceReader):
         return [Walk(s, a, b - 1) for s in symbols for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
     def read(self, partition: Walk) -> Iterator[tuple]:
+        def row(r: tuple) -> tuple:
+            return (partition.symbol, *r) if self.kind == "ticks" else (partition.symbol, *r, self.granularity)
+
         ends = sorted(int(n) for n in _names(f"{self.path}/symbol={partition.symbol}", ".json"))
         cursor, before = partition.end, None
         kept: dict[tuple, tuple] = {}
@@ -93,14 +97,18 @@ class HistoryReader(DataSourceReader):
             if before is not None and oldest >= before:
                 raise RuntimeError(f"history of {partition.symbol} doesn't go back beyond {oldest}")
             for r in page:
+                if before is not None and r[0] > ends[k]:
+                    raise RuntimeError(f"history of {partition.symbol} up to {ends[k]} holds {r[0]}")
                 if partition.start <= r[0] <= partition.end:
                     kept[r if self.kind == "ticks" else r[:1]] = r
+            if k:
+                done = [x for x, r in kept.items() if r[0] > ends[k - 1]]
+                yield from map(row, sorted(kept.pop(x) for x in done))
             cut = self.kind == "candles" and len(page) == CANDLE_LIMIT
             if oldest <= partition.start or (len(page) < self.count and not cut):
                 break
             before, cursor = oldest, oldest - 1
-        for r in sorted(kept.values()):
-            yield (partition.symbol, *r) if self.kind == "ticks" else (partition.symbol, *r, self.granularity)
+        yield from map(row, sorted(kept.values()))
 
 
 class History(DataSource):
@@ -195,7 +203,9 @@ def read_live(spark: SparkSession, path: str, kind: str = "tick") -> DataFrame:
 
 
 def pages(rows: DataFrame, kind: str, end: int, count: int) -> DataFrame:
-    """(symbol, end, json): the answers to requests for `count` rows that walk back from `end`; rows of one epoch stay on one page."""
+    """(symbol, end, json): the answers to requests for `count` rows that walk back from `end`; rows of one epoch stay on one page.
+
+    The last answer of a symbol is empty: a page of its first rows may be as long as was asked for, and is then not the last."""
     of = Window.partitionBy("symbol")
     page = F.floor((F.dense_rank().over(of.orderBy(F.desc("epoch"))) - 1) / count)
     rows = rows.where(F.col("epoch") <= end).withColumn("page", page)
@@ -207,7 +217,10 @@ def pages(rows: DataFrame, kind: str, end: int, count: int) -> DataFrame:
         rows = rows.groupBy("symbol", "page").agg(F.sort_array(F.collect_list(F.struct("epoch", *PRICES))).alias("candles"), F.min("epoch").alias("oldest"))
         rows = rows.withColumn("json", F.to_json(F.struct("candles")))
     newer = F.lag("oldest").over(of.orderBy("page")) - 1
-    return rows.select("symbol", F.coalesce(newer, F.lit(end)).alias("end"), "json")
+    answer = F.struct(F.coalesce(newer, F.lit(end)).alias("end"), "json")
+    empty = F.struct((F.col("oldest") - 1).alias("end"), F.lit('{"history":{"times":[],"prices":[]}}' if kind == "ticks" else '{"candles":[]}').alias("json"))
+    last = F.lead("oldest").over(of.orderBy("page")).isNull()
+    return rows.select("symbol", answer.alias("x"), last.alias("last"), empty.alias("none")).select("symbol", F.explode(F.when(F.col("last"), F.array("x", "none")).otherwise(F.array("x"))).alias("x")).select("symbol", "x.*")
 
 
 def record(answers: DataFrame, path: str) -> int:

@@ -69,6 +69,26 @@ def test_history_must_go_back(spark, tmp_path):
             history(spark, path, **{"start": 0, "end": 100, **wrong})
 
 
+@pytest.mark.parametrize("kind", ["ticks", "candles"])
+def test_a_walk_ends_though_its_last_page_is_full(spark, tmp_path, kind):
+    ticks = spark.range(12).selectExpr("'X' symbol", "id div 3 * 10 epoch", "cast(id as double) quote")  # three of each epoch
+    candles = spark.range(2 * recorded.CANDLE_LIMIT).selectExpr("'X' symbol", "id * 60 epoch", *[f"cast(id + 1 as double) {p}" for p in recorded.PRICES])
+    rows, count = (ticks, 2) if kind == "ticks" else (candles, recorded.CANDLE_LIMIT)
+    recorded.record(recorded.pages(rows, kind, 200_000, count), str(tmp_path))
+    for spans in (1, 3):
+        got = recorded.read_history(spark, str(tmp_path), kind=kind, start=-50_000, end=200_000, count=count, spans=spans, **({} if kind == "ticks" else {"granularity": 60}))
+        assert sorted(map(tuple, got.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_walk_hands_on_page_by_page(tmp_path, monkeypatch):
+    path = recording(tmp_path, "X", {60 * k + 60_000 - 1: candle_page(range(60 * k, 60 * k + 60_000, 60)) for k in range(0, 3000, 1000)})
+    reader, read = recorded.HistoryReader({"path": path, "kind": "candles", "start": "0", "end": "200000", "granularity": "60"}), []
+    monkeypatch.setattr(recorded, "_text", lambda p, text=recorded._text: read.append(p) or text(p))
+    rows = reader.read(reader.partitions()[0])
+    assert next(rows)[1] == 120_000 and len(read) == 1  # the two pages before aren't asked for yet
+    assert [r[1] for r in rows] == [60 * k for k in (*range(2001, 3000), *range(1000, 2000), *range(1000))]
+
+
 def say(folder, name, *messages):
     folder.mkdir(exist_ok=True)
     (folder / f"{name}.jsonl").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in messages))

@@ -16,9 +16,12 @@ over, malformed ones are errors.
 
 from __future__ import annotations
 
+import io
 import json
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -48,6 +51,13 @@ def _text(path: str) -> str:
         return f.read().decode()
 
 
+def _lines(path: str) -> Iterator[str]:
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f, io.TextIOWrapper(f, "utf-8") as text:
+        for line in text:
+            yield line.rstrip("\n")
+
+
 class Walk(InputPartition):
     def __init__(self, symbol: str, start: int, end: int):
         self.symbol, self.start, self.end = symbol, start, end
@@ -163,7 +173,7 @@ class LiveReader(DataSourceStreamReader):
 
     def read(self, partition: Lines) -> Iterator[tuple]:
         for name in partition.names:
-            for number, x in updates(iter(_text(f"{self.path}/{name}.jsonl").splitlines()), self.kind):
+            for number, x in updates(_lines(f"{self.path}/{name}.jsonl"), self.kind):
                 try:
                     if self.kind == "tick":
                         yield str(x["symbol"]), int(x["epoch"]), float(x["quote"]), None if x.get("id") is None else str(x["id"]), name, number
@@ -241,17 +251,20 @@ def record(answers: DataFrame, path: str) -> int:
 
 
 def record_lines(messages: DataFrame, path: str) -> int:
-    """Writes (file, line, json) messages into a folder as one file for each name, its lines in order; returns how many files."""
+    """Writes (file, line, json) messages into a folder as one file for each name, its lines in order; returns how many files.
+    A task writes its sorted messages as they come and holds a batch of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)
         system.create_dir(root, recursive=True)
-        for b in batches:
-            for r in b.to_pylist():
-                with system.open_output_stream(f"{root}/_{r['file']}") as f:
-                    f.write("\n".join(x["json"] for x in r["lines"]).encode())
-                system.move(f"{root}/_{r['file']}", f"{root}/{r['file']}.jsonl")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
-
-    files = messages.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "json"))).alias("lines"))
-    return files.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = ((name, text) for b in batches for name, text in zip(b.column("file").to_pylist(), b.column("json").to_pylist(), strict=True))
+        n = 0
+        for name, lines in groupby(rows, itemgetter(0)):
+            with system.open_output_stream(f"{root}/_{name}") as f:
+                f.writelines((b"\n" if i else b"") + text.encode() for i, (_, text) in enumerate(lines))
+            system.move(f"{root}/_{name}", f"{root}/{name}.jsonl")
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    rows = messages.select("file", "line", "json").repartition("file").sortWithinPartitions("file", "line")
+    return rows.select("file", "json").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -111,6 +111,19 @@ def test_a_restarted_stream_gives_each_tick_once(spark, tmp_path):
     assert [(r.epoch, r.quote, r.tick_id, r.file) for r in got] == [(1, 1.5, "7", "001"), (2, 2.5, None, "001"), (3, 3.5, None, "002"), (4, 4.5, None, "003")]
 
 
+def test_messages_are_written_and_read_as_they_come(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).selectExpr("lpad(id % 3, 3, '0') file", "3000 - id line", "to_json(named_struct('tick', named_struct('symbol', '\u2028X', 'epoch', id, 'quote', 1.5))) json")
+    plain = type(rows).groupBy
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *keys: pytest.fail("a file's messages are gathered into one row") if keys else plain(self))
+    assert recorded.record_lines(rows, str(tmp_path / "m")) == 3
+    held = [[json.loads(x)["tick"]["epoch"] for x in (tmp_path / f"m/{k:03d}.jsonl").read_text().split("\n")] for k in range(3)]
+    assert held == [list(range(2997 + k, -1, -3)) for k in range(3)]
+    monkeypatch.setattr(recorded, "_text", lambda _: pytest.fail("a file is read whole"))
+    reader = recorded.LiveReader({"path": str(tmp_path / "m")})
+    got = [r for part in reader.partitions({"file": "000"}, reader.latestOffset()) for r in reader.read(part)]
+    assert [(r[0], r[1], r[4], r[5]) for r in got] == [("\u2028X", e, f"{k:03d}", i) for k in (1, 2) for i, e in enumerate(held[k])]
+
+
 @pytest.mark.parametrize(("line", "says"), [("{", "not JSON"), ("[1]", "not a message"), ({"tick": {"symbol": "X"}}, "malformed"), ({"error": {"code": "Busy", "message": "later"}}, "Busy: later")])
 def test_bad_messages_end_the_stream(spark, tmp_path, line, says):
     say(tmp_path / "m", "1", line)

@@ -27,8 +27,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Whether the shuffles of a query are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there.
+    """df, written to the shared checkpoint folder and read from there. Its shuffles, which nothing reads any more, are deleted.
 
     The folder is the session's spark.checkpoint.dir. Only where that is unset and all runs in one process (tests, bench)
     a local one is taken; on a cluster a folder that all machines share must be named.
@@ -39,7 +43,13 @@ def durable(df: DataFrame) -> DataFrame:
         if not folder and not re.fullmatch(r"local(\[[^,]*(, *\d+)?\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or "/tmp/checkpoints/quaver")
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own, so that df keeps its shuffles if it is run elsewhere
+    finally:
+        conf.set(CLEANUP, before)
 
 
 #: A key with at least this fraction of the rows is hot; so there are at most 1 / HOT_SHARE hot keys.

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -541,3 +542,19 @@ def test_chat(spark):
     assert not back[2].valid and not back[3].valid and [tuple(t) for t in back[3].turns] == [("user", "")] * 2
     assert tuple(back[None].turns[0]) == ("", "x\\<|y") and tuple(back[4].turns[0]) == ("ro\nle", "<\\|")
     assert chat.format_chats(table.limit(0)).count() == 0
+
+
+def test_durable_gives_up_its_shuffles(spark):
+    dirs = [Path(str(d)) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {x.name for d in dirs for x in d.rglob("shuffle_*.data")}
+    rows = spark.range(5000).groupBy((F.col("id") % 70).alias("k")).count()
+    before = shuffles()
+    assert len(rows.collect()) == 70 and shuffles() - before  # its own shuffle stays
+    before = shuffles()
+    joined = rows.join(spark.range(70).withColumnRenamed("id", "k").repartition(3), "k")
+    held = common.durable(joined)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert sum(r["count"] for r in held.collect()) == sum(r["count"] for r in joined.collect()) == 5000 and len(rows.collect()) == 70

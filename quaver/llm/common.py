@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside have their shuffles deleted as they end."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there. Its shuffles, which nothing reads any more, are deleted.
 
@@ -43,13 +55,16 @@ def durable(df: DataFrame) -> DataFrame:
         if not folder and not re.fullmatch(r"local(\[[^,]*(, *\d+)?\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or "/tmp/checkpoints/quaver")
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
-    try:
+    with swept(df.sparkSession):
         return df.select("*").checkpoint()  # a query of its own, so that df keeps its shuffles if it is run elsewhere
-    finally:
-        conf.set(CLEANUP, before)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what durable() wrote of the frames, which nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._jdf.logicalPlan().rdd().getCheckpointFile().get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A key with at least this fraction of the rows is hot; so there are at most 1 / HOT_SHARE hot keys.

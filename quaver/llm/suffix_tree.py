@@ -13,7 +13,8 @@ rare strings cost few bytes. Filters of fixed size spare strings with a part tha
 to be stored; what it lets through is dropped by its count. The tree is a table: each token's log10 probability is a sum
 of terms that are named by the 64-bit hashes of strings and states. The terms of the most frequent strings, HOT at most
 of each kind, are sent to all tasks; the others are joined to the texts that may need them. How many are sent changes
-no score.
+no score. The more of the tree isn't sent, the more rounds there are: each scores a share of the texts, and what it asked
+and shuffled is deleted before the next. All texts are scored, each in one round.
 
 Null and empty texts consist of END alone. Repeated rows are learned from and scored each. held_out rows (null counts
 as false) are never learned from. A null doc_id stays null. Only doc_id and text are read; other columns can't clash. An
@@ -22,6 +23,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import HOT_SHARE, durable, hot_keys, slices, small_batches, split_join, utf8
+from quaver.llm.common import HOT_SHARE, dropped, durable, hot_keys, slices, small_batches, split_join, swept, utf8
 from quaver.llm.words import mix, words
 
 LEAST_COUNT = 16
@@ -40,6 +42,8 @@ GAIN, DISCOUNT, ALPHA = 4.0, 0.5, 0.1
 DEPTH = 4
 #: Terms of each kind (words, other strings and states) that are sent to all tasks, at most.
 HOT = 1 << 20
+#: Names that a round asks for: one for so many training tokens, about.
+TOKENS_A_NAME = 8
 FILTER_BITS = 27
 #: Counters a task holds before it hands them on.
 MAX_HELD = 4_000_000
@@ -128,7 +132,8 @@ def filter_of(names: DataFrame) -> np.ndarray:
             at = np.concatenate(bits_of(b.column(0).to_numpy().view(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(1 << (at & 31))], ["word", "mask"])
 
-    t = names.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    with swept(names.sparkSession):
+        t = names.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
     out[t.column("word").to_numpy()] = t.column("mask").to_numpy().astype("<u4")
     return out.view(np.uint8)
@@ -136,7 +141,7 @@ def filter_of(names: DataFrame) -> np.ndarray:
 
 def held_by_all(terms: DataFrame, most: int) -> int:
     """The least count such that at most `most` rows have it or more."""
-    step = F.floor(4 * F.log2("c")).cast("int")
+    step = F.floor(32 * F.log2("c")).cast("int")
     left, bar = most, 1 << 62
     for r in sorted(terms.where(F.col("c") > 0).groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("low")).collect(), key=lambda r: -r.s):
         left -= r.n
@@ -254,8 +259,10 @@ def strings(docs: DataFrame, able: DataFrame, total: int, depth: int) -> DataFra
         both = ok[at - 1] & ok[at]
         return chained(a[both], b[both])
 
-    two = sc.broadcast(filter_of(frequent(docs, pairs, LEAST_COUNT, parts).select("key")))
-    known.unpersist()
+    names = frequent(docs, pairs, LEAST_COUNT, parts)
+    two = sc.broadcast(filter_of(names.select("key")))
+    dropped(names)
+    known.destroy()
 
     def longer(column: pa.Array) -> np.ndarray:
         t, bounds = tokens(column)
@@ -263,7 +270,10 @@ def strings(docs: DataFrame, able: DataFrame, total: int, depth: int) -> DataFra
         found = [chained(a[runs[at] >= k], b[runs[at] >= k]) for k, (at, a, b) in enumerate(histories(t, bounds, depth), 1) if k > 1]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-    more = sc.broadcast(filter_of(frequent(docs, longer, LEAST_COUNT, parts).select("key")) if depth > 1 else None)
+    if depth > 1:
+        names = frequent(docs, longer, LEAST_COUNT, parts)
+        more = sc.broadcast(filter_of(names.select("key")))
+        dropped(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -285,12 +295,17 @@ def strings(docs: DataFrame, able: DataFrame, total: int, depth: int) -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chained(x, y).view(np.int64))], ["k", "a", "b", "c", "key"])
 
     rows = docs.select("text").mapInArrow(run, "k int, a long, b long, c long").groupBy("k", "a", "b").agg(F.sum("c").alias("c"))
-    return durable(rows.where(F.col("c") >= LEAST_COUNT).mapInArrow(named, "k int, a long, b long, c long, key long"))
+    out = durable(rows.where(F.col("c") >= LEAST_COUNT).mapInArrow(named, "k int, a long, b long, c long, key long"))
+    two.destroy()
+    if depth > 1:
+        more.destroy()
+    return out
 
 
 def joined(rows: DataFrame, n: int, right: DataFrame, key: str) -> DataFrame:
     """rows, n at most, joined with right, which has one row for each key; keys of ROWS_A_KEY rows are sent to all tasks."""
-    hot = hot_keys(rows.groupBy(key).count(), key, max(n, int(ROWS_A_KEY / HOT_SHARE))) if n >= ROWS_A_KEY else []
+    with swept(rows.sparkSession):
+        hot = hot_keys(rows.groupBy(key).count(), key, max(n, int(ROWS_A_KEY / HOT_SHARE))) if n >= ROWS_A_KEY else []
     return split_join(rows, right, key, hot)
 
 
@@ -333,15 +348,20 @@ def learn(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, least_context:
         add = (F.col("c") - DISCOUNT) / F.col("total")
         shorter = durable(joined(found.drop("total"), n, test, "a").select("a", "b", "c", "key", "rest", "below", (add + F.col("rest") * F.col("below")).alias("p")))
         rows.append(shorter)
-        tests.append(test.where("stays").select("a"))
+        dropped(found)
+        tests.append(test)
+    dropped(stored)
     # suffixes of states are states: the context a of k words is a string of the level before, whose b is its suffix
-    stay, levels = tests[-1], []
+    passed = [test.where("stays").select("a") for test in tests]
+    stay, stays, levels = passed[-1], [], []
     for k in range(depth, 0, -1):
         stay = durable(stay.distinct())
+        stays.append(stay)
         levels.append(durable(rows[k - 1].join(stay, "a", "left_semi")))
         if k > 1:
             suffix = stay.join(rows[k - 2].select(F.col("key").alias("a"), F.col("b").alias("w")), "a").select(F.col("w").alias("a"))
-            stay = tests[k - 2].union(suffix)
+            stay = passed[k - 2].union(suffix)
+    dropped(*rows, *tests, *stays)
     return Model(counts, total, kinds, levels[::-1])
 
 
@@ -368,8 +388,10 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least_context:
     counts = durable(counted(training, lambda column: tokens(column)[0]))
     m = learn(training, counts, depth, least_context)
     bottom = m.total + ALPHA * (m.kinds + 1)
+    unseen = math.log10(ALPHA / bottom)
     roots = counts.select("key", "c", F.log10((F.col("c") + ALPHA) / bottom).alias("v"))
     tree = terms(m)
+    dropped(*m.levels)
     bars = [held_by_all(roots.where(F.col("c") >= LEAST_COUNT), HOT), held_by_all(tree, HOT)]
 
     def sent(rows: DataFrame, bar: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,12 +405,13 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least_context:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root_keys, root_v, keys, v, bits = shared.value
-        root_v, v = np.append(root_v, 0.0), np.append(v, 0.0)
+        root_v, v = np.append(root_v, unseen), np.append(v, 0.0)
         root_places, places = Places(root_keys), Places(keys)
         for b in slices(batches, "text"):
             t, bounds = tokens(b.column("text"))
             x = root_places.of(t)
-            p, lists = root_v[x], []
+            p, new = root_v[x], np.flatnonzero(x < 0)
+            lists = [(new, t[new])]
             model = p.copy()
             state = np.ones(len(t), bool)  # whether the context so far may be one; no longer one is where it isn't
             for at, context, suffix in histories(t, bounds, depth):
@@ -407,22 +430,35 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least_context:
                         state[at[found]] = True
             asked, names = (np.concatenate([y[i] for y in lists]) for i in (0, 1))
             order = np.argsort(asked, kind="stable")
-            lists = [(np.flatnonzero(x < 0), t[x < 0]), (asked[order], names[order])]
-            cols = [pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), pa.array(h.view(np.int64))) for at, h in lists]
+            names = pa.ListArray.from_arrays(pa.array(np.searchsorted(asked[order], bounds).astype(np.int32)), pa.array(names[order].view(np.int64)))
             sums = [np.add.reduceat(y, bounds[:-1]) for y in ((x >= 0).astype(np.int64), p, model)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(bounds)), *map(pa.array, sums), *cols], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "cold"])
-
-    rows = durable(docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>, cold array<long>").withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("rare").alias("key")).join(roots.where(F.col("c") < bars[0]), "key", "left")
-    rare = rare.select("row", F.col("c").isNotNull().cast("long").alias("known"), F.coalesce("v", F.log10(F.lit(ALPHA / bottom))).alias("p"), F.lit(0.0).alias("q"))
-    more = rows.select("row", F.explode("cold").alias("key")).join(cold, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("p"), F.col("v").alias("q"))
-    rest = rare.unionByName(more).groupBy("row").agg(F.sum("known").alias("known"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return rows.join(rest, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(m.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("p", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.coalesce("p", F.lit(0.0)) + F.coalesce("q", F.lit(0.0))).alias("score"),
-    )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(bounds)), *map(pa.array, sums), names], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "asked"])
+
+    # a word that isn't sent counts as unseen so far
+    rare = roots.where(F.col("c") < bars[0]).select("key", "c", F.lit(1).cast("long").alias("known"), (F.col("v") - unseen).alias("p"), F.lit(0.0).alias("q"))
+    more = rare.unionByName(cold.select("key", "c", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("p"), F.col("v").alias("q")))
+    asked = more.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    rounds = max(1, -(-asked * TOKENS_A_NAME // max(m.total, 1)))
+
+    def scored(some: DataFrame) -> DataFrame:
+        rows = durable(some.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, asked array<long>").withColumn("row", F.monotonically_increasing_id()))
+        found = rows.select("row", F.explode("asked").alias("key")).join(more.drop("c"), "key")
+        rest = durable(found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("p").alias("p"), F.sum("q").alias("q")))
+        out = rows.join(rest, "row", "left").select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+            F.lit(m.total).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("p", F.lit(0.0))).alias("base_score"),
+            (F.col("model") + F.coalesce("p", F.lit(0.0)) + F.coalesce("q", F.lit(0.0))).alias("score"),
+        )
+        out = durable(out)
+        dropped(rows, rest)
+        return out
+
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    out = reduce(DataFrame.unionByName, [scored(docs.where(share == i) if rounds > 1 else docs) for i in range(rounds)])
+    shared.destroy()
+    dropped(counts, tree)
+    return out

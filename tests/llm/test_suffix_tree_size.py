@@ -1,6 +1,7 @@
 """The suffix tree's scores depend neither on the size of the corpus nor on how much of the tree is sent to all tasks."""
 
 import math
+import pathlib
 import random
 import re
 from collections import Counter
@@ -31,6 +32,31 @@ def test_sent_part_changes_nothing(spark, monkeypatch):
     assert score() == pytest.approx(whole)
 
 
+def test_rounds_score_every_text_once(spark, monkeypatch):
+    rows = [(i // 2 or None, "red fox ran off " * (1 + i % 3) + f"word{i % 50} " * (i % 2)) for i in range(90)] + [(900, "red"), (901, None), (902, "fox red new"), (902, "fox red new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda: sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.score(docs, F.col("doc_id") >= 40).collect())
+    monkeypatch.setattr(suffix_tree, "HOT", 3)
+    monkeypatch.setattr(suffix_tree, "TOKENS_A_NAME", 0)
+    whole = score()
+    assert len(whole) == len(rows)
+    rounds, dropped = [], suffix_tree.dropped
+    monkeypatch.setattr(suffix_tree, "dropped", lambda *x: (rounds.append(x), dropped(*x)))
+    monkeypatch.setattr(suffix_tree, "TOKENS_A_NAME", 5)
+    assert score() == whole
+    assert sum("asked" in x[0].columns for x in rounds if x) > 1
+
+
+def test_only_the_result_stays_on_disk(spark):
+    docs = spark.createDataFrame([(i, "red fox ran off " * (1 + i % 3)) for i in range(80)], "doc_id long, text string")
+    suffix_tree.score(docs.limit(0), F.col("doc_id") >= 70).count()
+    folder = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = {p.name for p in folder.glob("rdd-*")}
+    assert before
+    assert suffix_tree.score(docs, F.col("doc_id") >= 70).count() == 80
+    assert len({p.name for p in folder.glob("rdd-*")} - before) == 1
+
+
 def brute_scores(texts, held, depth):
     """The tree in plain dictionaries: counts of strings, divergence tests level by level, longest suffix states."""
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,11 +152,30 @@ def live_messages(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def live_ticks(spark: SparkSession, d: str) -> DataFrame:
-    """Ticks of a live stream, each once, though the stream was stopped half-way and its last batch begun anew."""
-    folder = shared_folder(spark, "live")
-    recorded.record_lines(live_messages(spark, d, "tick"), f"{folder}/messages")
-    live.write_latest(recorded.read_live(spark, f"{folder}/messages"), f"{folder}/out", f"{folder}/check").awaitTermination()
-    live.write_latest(recorded.read_live(spark, f"{folder}/messages"), f"{folder}/out", f"{folder}/check").awaitTermination()
+    """Ticks of a live stream, each once, though the stream was stopped half-way and its last batch begun anew.
+
+    The first stream has the messages before the middle hour. The second has the others too and dies when it has written them,
+    before their batch is done; the third begins this batch anew."""
+    folder, died = shared_folder(spark, "live"), []
+
+    def run(written: Callable[[int], None] | None = None) -> None:
+        live.write_latest(recorded.read_live(spark, f"{folder}/messages"), f"{folder}/out", f"{folder}/check", written=written).awaitTermination()
+
+    def die(number: int) -> None:
+        died.append(number)
+        raise RuntimeError(f"stopped before batch {number} is done")
+
+    middle = market.ticks(spark, d).agg(F.floor((F.min("epoch") + F.max("epoch")) / (2 * HOUR)) * HOUR).first()[0]
+    messages, later = live_messages(spark, d, "tick"), F.col("file") >= F.format_string("%012d", F.lit(middle))
+    recorded.record_lines(messages.where(~later), f"{folder}/messages")
+    run()
+    recorded.record_lines(messages.where(later), f"{folder}/messages")
+    try:
+        run(die)
+    except StreamingQueryException:
+        if not died:
+            raise
+    run()
     return rounded(spark.read.parquet(f"{folder}/out").select("symbol", "epoch", "quote", "tick_id"))
 
 

@@ -256,7 +256,6 @@ def record_lines(messages: DataFrame, path: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)
-        system.create_dir(root, recursive=True)
         rows = ((name, text) for b in batches for name, text in zip(b.column("file").to_pylist(), b.column("json").to_pylist(), strict=True))
         n = 0
         for name, lines in groupby(rows, itemgetter(0)):
@@ -266,5 +265,7 @@ def record_lines(messages: DataFrame, path: str) -> int:
             n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
+    system, root = fs.FileSystem.from_uri(path)
+    system.create_dir(root, recursive=True)  # also without messages: a stream may begin there before the first comes
     rows = messages.select("file", "line", "json").repartition("file").sortWithinPartitions("file", "line")
     return rows.select("file", "json").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

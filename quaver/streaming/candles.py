@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,19 @@ def candles(ticks: DataFrame, step: str = "60 seconds", late: str = "10 minutes"
     return rows.select("symbol", F.unix_timestamp("w.start").alias("epoch"), "open", "high", "low", "close")
 
 
-def write_latest(updates: DataFrame, path: str, checkpoint: str, order: list[str] | None = None):
+def write_latest(updates: DataFrame, path: str, checkpoint: str, order: list[str] | None = None, written: Callable[[int], None] | None = None):
     """Appends every update with its batch number; latest() reads the last one of each candle. With `order`, columns that order
-    the updates of one batch, only the last of these is kept."""
+    the updates of one batch, only the last of these is kept. A batch whose number the checkpoint doesn't hold as done is begun
+    anew by the next stream, and takes the place of what was written of it. `written` is told a batch's number between the two,
+    once it is written and before it is done; what it raises ends the stream there."""
 
     def append(batch: DataFrame, number: int) -> None:
         if order:
             values = [c for c in batch.columns if c not in ("symbol", "epoch", *order)]
             batch = batch.groupBy("symbol", "epoch").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v")).select("symbol", "epoch", "v.*")
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        if written:
+            written(number)
 
     return updates.writeStream.outputMode("append" if order else "update").option("checkpointLocation", checkpoint).foreachBatch(append).trigger(availableNow=True).start()
 

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from quaver.sources import recorded
+from quaver.plans import queries
+from quaver.sources import market, recorded
 from quaver.sources.ledgers import LedgerStore
 from quaver.sources.market import CANDLE
 from quaver.sources.store import Store
@@ -124,6 +126,17 @@ def test_messages_are_written_and_read_as_they_come(spark, tmp_path, monkeypatch
     assert [(r[0], r[1], r[4], r[5]) for r in got] == [("\u2028X", e, f"{k:03d}", i) for k in (1, 2) for i, e in enumerate(held[k])]
 
 
+def test_live_ticks_begin_their_last_batch_anew(spark, monkeypatch):
+    begun, plain = [], DataStreamWriter.foreachBatch
+    monkeypatch.setattr(DataStreamWriter, "foreachBatch", lambda self, f: plain(self, lambda rows, n: (begun.append((n, rows.count())), f(rows, n))))
+    got = queries.live_ticks(spark, "/root/testdata/sf0.001").collect()
+    want = queries.rounded(market.ticks(spark, "/root/testdata/sf0.001").select("symbol", "epoch", "quote", "tick_id")).collect()
+    first, last, again = begun
+    assert (first[0], last[0]) == (0, 1) and again == last
+    assert first[1] and last[1] and first[1] + last[1] == len(want)
+    assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize(("line", "says"), [("{", "not JSON"), ("[1]", "not a message"), ({"tick": {"symbol": "X"}}, "malformed"), ({"error": {"code": "Busy", "message": "later"}}, "Busy: later")])
 def test_bad_messages_end_the_stream(spark, tmp_path, line, says):
     say(tmp_path / "m", "1", line)
